@@ -1,7 +1,7 @@
 """Order-preserving packing into windows of bounded length, by dynamic programming over cut positions.
 
 The token streams of a task's documents, in their stored order, are one line of tokens. Cuts may fall at the end of a
-document (free), at the end of a sentence, or, inside a sentence longer than a window, anywhere; the latter two cost a
+document (free), at the end of a sentence, or, inside a long sentence, every INNER_STEP tokens; the latter two cost a
 truncation penalty, in tokens. A window is padded to the window length unless its length is a power of two. The least
 cost of cutting at position j is
 
@@ -32,6 +32,7 @@ from .common import text_of
 WINDOW = 4096
 SENTENCE_PENALTY = 8
 INNER_PENALTY = 64
+INNER_STEP = 64
 RUN = 1 << 18
 CACHE = 200_000
 SLICE = 64
@@ -137,9 +138,9 @@ class Packer:
         kind[ends] = 0
         kind[0] = 0
         places = np.flatnonzero(kind >= 0)
-        far = np.flatnonzero(np.diff(places) > self.window)
-        for i in far:  # a sentence longer than a window
-            kind[np.arange(places[i] + self.window, places[i + 1], self.window)] = INNER_PENALTY
+        step = min(INNER_STEP, self.window)
+        for i in np.flatnonzero(np.diff(places) > step):  # a long sentence, or a text without any end of one
+            kind[np.arange(places[i] + step, places[i + 1], step)] = INNER_PENALTY
         places = np.flatnonzero(kind >= 0)
         cuts = places[best_cuts(places.tolist(), kind[places].tolist(), self.window)].tolist()
         if last:
