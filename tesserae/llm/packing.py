@@ -10,7 +10,7 @@ cost of cutting at position j is
 
 The first minimum slides over positions that only grow, so a monotone queue gives it in constant time on average; the
 second is a lookup for each power. Nothing is shuffled, and a task works on a bounded run of tokens: when a run is
-full it is cut up and what follows its last cut is carried on.
+full it is cut up to a cheapest place near its end and what follows is carried on.
 
 Defined cases: a null text counts as empty, so its document is the end id alone; repeated rows are separate
 documents; an empty table gives no pieces; other columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ WINDOW = 4096
 SENTENCE_PENALTY = 8
 INNER_PENALTY = 64
 INNER_STEP = 64
+TAIL_PENALTY = 8
 RUN = 1 << 18
 CACHE = 200_000
 SLICE = 64
@@ -75,8 +77,12 @@ class PieceIds(dict):
                 yield b"".join(map(self.__getitem__, parts))
 
 
-def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
-    """Indices into ``positions`` (ascending, from 0; neighbours at most ``window`` apart) of the cheapest cuts."""
+def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW, end: str = "padded") -> list[int]:
+    """Indices into ``positions`` (ascending, from 0; neighbours at most ``window`` apart) of the cheapest cuts.
+
+    end: "padded" cuts at the last position as at any other; "tail" lets the last window be cut into powers of two
+    instead; "open" leaves what follows the cheapest cut of the last window's reach for later.
+    """
     powers = [p for p in POWERS if p <= window]
     if window & (window - 1) == 0 and window not in powers:
         powers.insert(0, window)
@@ -102,6 +108,12 @@ def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW)
             queue.pop()
         queue.append((key, p, j))
     cuts, j = [], len(positions) - 1
+    reach = [i for i in range(bisect_left(positions, positions[-1] - window), j)]
+    if end == "open" and reach and reach[0]:
+        j = min(reach, key=lambda i: (cost[i], -i))
+    elif end == "tail" and reach:
+        tail = lambda i: cost[i] + min(window - (n := positions[-1] - positions[i]), TAIL_PENALTY * (n.bit_count() - 1))
+        back[j] = min(reach, key=lambda i: (tail(i), -i))
     while j:
         cuts.append(j)
         j = back[j]
@@ -111,7 +123,7 @@ def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW)
 def _tail(length: int, window: int) -> list[int]:
     """Lengths into which the last window is cut if powers of two are cheaper than padding."""
     parts = [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
-    return parts if len(parts) > 1 and (len(parts) - 1) * INNER_PENALTY < window - length else [length]
+    return parts if len(parts) > 1 and (len(parts) - 1) * TAIL_PENALTY < window - length else [length]
 
 
 class Packer:
@@ -142,13 +154,11 @@ class Packer:
         for i in np.flatnonzero(np.diff(places) > step):  # a long sentence, or a text without any end of one
             kind[np.arange(places[i] + step, places[i + 1], step)] = INNER_PENALTY
         places = np.flatnonzero(kind >= 0)
-        cuts = places[best_cuts(places.tolist(), kind[places].tolist(), self.window)].tolist()
+        cuts = places[best_cuts(places.tolist(), kind[places].tolist(), self.window, "tail" if last else "open")].tolist()
         if last:
             begin = cuts[-2] if len(cuts) > 1 else 0
             lengths = _tail(cuts[-1] - begin, self.window)
             cuts[-1:] = (begin + np.cumsum(lengths)).tolist()
-        elif len(cuts) > 1:
-            cuts.pop()
         return self._pieces(line, cuts, ends)
 
     def _pieces(self, line: np.ndarray, cuts: list[int], ends: np.ndarray) -> list[tuple]:
