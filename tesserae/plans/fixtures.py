@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import first_of
 from ..operators.extract import normalized
+from .store import materialized
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,31 +35,41 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_lines = lines.groupBy("n_name", "fy").agg(F.sum("gross").alias("gross"), F.sum(F.col("gross") * (1 - F.col("discount"))).alias("net"))
     by_region = placed.groupBy("n_regionkey", "fy").agg(F.sum("price").alias("amount"))
 
-    def view(df: DataFrame, document: str, predicate: str, value: Column, unit: str | None, basis: str, scope: Column, subject: str = "n_name") -> DataFrame:
-        return df.select(
-            F.lit(document).alias("document_id"), F.col(subject).cast("string").alias("subject_raw"), F.lit(predicate).alias("predicate"), F.lit("financial_metric").alias("predicate_type"),
-            value.alias("value_raw"), F.lit(unit).cast("string").alias("unit_raw"), F.concat(F.lit("FY"), F.col("fy").cast("string")).alias("time_raw"), scope.alias("scope"),
-            F.lit(basis).alias("measurement_basis"), F.lit("positive").alias("polarity"), F.concat(F.col(subject).cast("string"), F.lit(" "), F.lit(predicate), F.lit(" "), value).alias("evidence_text"), F.lit("HIGH").alias("confidence_level"),
-        )
-
-    whole = F.lit("consolidated")
-    parts = [
-        view(by_orders, "ledger_orders", "total revenue", _crore(F.col("amount")), "Cr", "Standard_Reported", whole),
-        view(by_lines, "ledger_gross", "revenue from operations", _crore(F.col("gross")), "Cr", "GAAP_Reported", whole),
-        view(by_lines, "ledger_net", "turnover", _crore(F.col("net")), "Cr", "Non-GAAP_Adjusted", whole),
-        view(by_lines, "restated", "revenue from operations", _million(F.col("gross")), "mn", "GAAP_Reported", whole),
-        view(by_orders, "ops_report", "shipments volume", F.col("orders").cast("string"), None, "Standard_Reported", whole),
-        view(by_region.withColumn("n_name", F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string"))), "regional", "total revenue", _crore(F.col("amount")), "Cr", "Standard_Reported", F.lit("regional_view")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def figures(df: DataFrame, subject: str, views: dict[str, str]) -> DataFrame:
+        parts = ", ".join(f"struct('{document}' AS document_id, {subject} AS subject, fy, CAST({amount} AS DECIMAL(38,6)) AS amount)" for document, amount in views.items())
+        return df.selectExpr(f"inline(array({parts}))")
+
+    region = "concat('NATION_', n_regionkey)"
+    every = figures(by_orders, "n_name", {"ledger_orders": "amount", "ops_report": "orders"})
+    every = every.unionByName(figures(by_lines, "n_name", {"ledger_gross": "gross", "ledger_net": "net", "restated": "gross"})).unionByName(figures(by_region, region, {"regional": "amount"}))
+    document = F.col("document_id")
+    per = lambda values, default: first_of([(document == k, v) for k, v in values.items()], default)
+    rows = every.withColumns(
+        {
+            "predicate": per({"ledger_orders": "total revenue", "regional": "total revenue", "ledger_net": "turnover", "ops_report": "shipments volume"}, "revenue from operations"),
+            "value_raw": F.when(document == "ops_report", F.col("amount").cast("long").cast("string")).when(document == "restated", _million(F.col("amount"))).otherwise(_crore(F.col("amount"))),
+            "unit_raw": F.when(document == "restated", "mn").when(document != "ops_report", "Cr"),
+            "scope": F.when(document == "regional", "regional_view").otherwise("consolidated"),
+            "measurement_basis": per({"ledger_gross": "GAAP_Reported", "restated": "GAAP_Reported", "ledger_net": "Non-GAAP_Adjusted"}, "Standard_Reported"),
+        }
+    )
+    # Rows are distinct as they are; the aggregate keeps what follows from being planned anew for each branch.
+    return rows.select(
+        "document_id", F.col("subject").alias("subject_raw"), "predicate", F.lit("financial_metric").alias("predicate_type"), "value_raw", "unit_raw", F.concat(F.lit("FY"), F.col("fy").cast("string")).alias("time_raw"), "scope",
+        "measurement_basis", F.lit("positive").alias("polarity"), F.concat_ws(" ", "subject", "predicate", "value_raw").alias("evidence_text"), F.lit("HIGH").alias("confidence_level"),
+    ).distinct()
+
+
+_stored: dict[tuple[str, str], DataFrame] = {}
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = normalized(claims(spark, sf_dir))
-    return out.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    """The claims, normalised: written once per application, as the pipeline stores its facts, and read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        made = normalized(claims(spark, sf_dir)).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+        _stored[key] = materialized(made, "facts")
+    return _stored[key]
 
 
 #: The same facts in the oracle's SQL.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,19 @@ from pyspark.sql import functions as F
 from ..operators.resolve import new_relationships
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Written to the folder that executors share (a temporary one in a local session without it), and read back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tesserae-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def new_documents(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Of equal contents the first (by file name); contents already stored are dropped."""
     first = Window.partitionBy("content_hash").orderBy("filename", "id")
