@@ -19,7 +19,6 @@ linked with nothing and is its own (null) component, kept; an empty table gives
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,28 +35,17 @@ PIVOTS = 4
 SMALL = 48
 PIVOT_ROUNDS = 6
 SALTS = 16
-CACHE = 400_000
-_WORD = re.compile("[^\x20\x09-\x0d]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
 
 _generator = np.random.Generator(np.random.PCG64(20_240_229))
 #: h(x) = (a x + b mod 2**64) >> 32 for 32-bit x: strongly universal. b is added after the minimum's candidates are odd.
 _A = (_generator.integers(1, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _generator.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
-
-
-class _Words(dict):
-    """Word -> 64-bit hash; bounded, per worker."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[word] = h
-        return h
-
-
-_words = _Words()
+_BASE = np.uint64(0x9FB21C651E98DF25)
+_POWERS = np.cumprod(np.full(64, _BASE, dtype=np.uint64))
+_VALUE = _generator.integers(1, 1 << 63, 256, dtype=np.uint64)
+_VALUE[65:91] = _VALUE[97:123]
+_IN_WORD = np.ones(256, dtype=bool)
+_IN_WORD[[32, *range(9, 14)]] = False
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,12 +54,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> np.ndarray:
+    global _POWERS
+    if len(_POWERS) < n:
+        _POWERS = np.cumprod(np.full(max(n, 2 * len(_POWERS)), _BASE, dtype=np.uint64))
+    return _POWERS
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words in order: polynomials over a random value for each byte, A-Z as a-z."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    inside = _IN_WORD[raw]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return np.zeros(0, dtype=np.uint64)
+    first = np.cumsum(lengths) - lengths
+    letters = raw[inside]
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    sums = np.add.reduceat(_VALUE[letters] * _powers(int(lengths.max()))[place], first)
+    return _mix(sums ^ lengths.astype(np.uint64))
+
+
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """Ascending 64-bit hashes of the distinct shingles."""
-    found = _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), dtype=np.uint64, count=len(found))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     width = min(shingle, len(h))
     rolled = np.zeros(len(h) - width + 1, dtype=np.uint64)
     for i in range(width):
