@@ -5,9 +5,10 @@
 2. Bands of the minima put classes into buckets. A bucket's members are not paired with each other but with a few
    pivots, so candidates grow with the number of members. Pairs must have sizes and minima that allow the similarity.
 3. The remaining candidates are confirmed on their full sets.
-4. Links are joined to components by alternating stars. Buckets that still hold several components get further pivots
-   (first those with most links, then others), until every bucket up to ``SMALL`` members has been tested across its
-   components and a further round of pivots links nothing in the larger ones.
+4. Links are joined to components by alternating stars. Buckets that still hold several components are tested again
+   across their components: those of up to ``SMALL`` members in full, larger ones by ``PIVOT_ROUNDS`` rounds of further
+   pivots (the member with most links, and others). In larger buckets a link between two members that neither a pivot
+   nor a smaller bucket shows could be missed; the README says so.
 
 With 32 bands of 5 minima a pair at the threshold of 0.8 shares no bucket with a probability of 3e-6.
 
@@ -32,8 +33,8 @@ from .graph import components
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 PIVOTS = 4
-SMALL = 48
-PIVOT_ROUNDS = 6
+SMALL = 160
+PIVOT_ROUNDS = 2
 SALTS = 16
 
 _generator = np.random.Generator(np.random.PCG64(20_240_229))
