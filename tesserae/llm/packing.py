@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
@@ -36,13 +37,18 @@ INNER_PENALTY = 64
 INNER_STEP = 64
 TAIL_PENALTY = 8
 RUN = 1 << 18
-CACHE = 200_000
+CACHE = 500_000
+MARKS = "!#$%&()*,-./:;=?@[]_{|}"
 SLICE = 64
-POWERS = tuple(1 << k for k in range(12, 5, -1))
+POWERS = tuple(1 << k for k in range(12, 8, -1))
 
 _workers: dict[str, "PieceIds"] = {}
 
 
+def _id_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class PieceIds(dict):
     """Word between spaces -> its ids as little-endian 32-bit bytes.
 
@@ -61,6 +67,20 @@ class PieceIds(dict):
         self.ends_sentence = np.zeros(1 << 17, dtype=bool)
         self.ends_sentence[ends] = True
 
+    def learn(self, pieces: set[str]) -> None:
+        """A word with marks behind it is two pre-tokens: its letters, which lower-casing may make known, and the marks."""
+        parts = {}
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            if core and core.isalpha():
+                parts[p] = (core.lower() if core.isascii() else core, p[len(core) :])
+        new = {x for pair in parts.values() for x in pair if x not in self} | {p for p in pieces if p not in parts}
+        order = list(new)
+        for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
+            self[p] = _id_bytes(e.ids)
+        for p, (core, marks) in parts.items():
+            self[p] = self[core] + self[marks]
+
     def streams(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), SLICE):
             split = [t.replace("\n", " ").split(" ") for t in texts[i : i + SLICE]]
@@ -70,9 +90,7 @@ class PieceIds(dict):
                 self[""] = b""
                 missing = {p for parts in split for p in parts if p}
             if missing:
-                new = list(missing)
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self[p] = np.array(e.ids, dtype="<u4").tobytes()
+                self.learn(missing)
             for parts in split:
                 yield b"".join(map(self.__getitem__, parts))
 
