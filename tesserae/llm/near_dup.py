@@ -1,14 +1,18 @@
 """Near-duplicate documents: many universal hash minima, banding, verification, connected components.
 
 1. One pass gives each document its set's size and key and the minima of its shingles under universal hash functions.
-   Documents with equal sets form a class, so exact copies, however many, are one row from here on.
+   Documents with equal sets form a class, so exact copies, however many, are one row from here on. A class keeps its
+   bands and a sketch: the low bytes of its minima, and a bitmap with a bit for each of its shingles' hash values. Two
+   bitmaps differ in no more bits than the sets in shingles, so that test of pairs loses none; it is sharp for sets of
+   up to some thousand shingles, the minima are for larger ones.
 2. Bands of the minima put classes into buckets. A bucket's members are not paired with each other but with a few
-   pivots, so candidates grow with the number of members. Pairs must have sizes and minima that allow the similarity.
+   pivots, so candidates grow with the number of members. Pairs must have sizes and sketches that allow the similarity.
 3. The remaining candidates are confirmed on their full sets.
-4. Links are joined to components by alternating stars. Buckets that still hold several components are tested again
-   across their components: those of up to ``SMALL`` members in full, larger ones by ``PIVOT_ROUNDS`` rounds of further
-   pivots (the member with most links, and others). In larger buckets a link between two members that neither a pivot
-   nor a smaller bucket shows could be missed; the README says so.
+4. Links are joined to components by alternating stars. A bucket that still holds several components may hide links
+   between members that are no pivots. Its members outside its largest component are compared with all its members of
+   other components: by their sketches, in blocks of ``BLOCK`` x ``BLOCK``, so that a row is a pair of blocks, no task
+   has more than two blocks at once and only pairs that may be similar leave a block; these are confirmed as before.
+   Thus every pair that shares a bucket is tested or already in one component, whatever the bucket's size.
 
 With 32 bands of 5 minima a pair at the threshold of 0.8 shares no bucket with a probability of 3e-6.
 
@@ -33,8 +37,8 @@ from .graph import components
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 PIVOTS = 4
-SMALL = 160
-PIVOT_ROUNDS = 2
+BLOCK = 256
+BITS = 2048
 SALTS = 16
 
 _generator = np.random.Generator(np.random.PCG64(20_240_229))
@@ -97,20 +101,36 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(_mix(hashes ^ _BASE) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def bands_of(least: np.ndarray) -> np.ndarray:
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        h = _mix(h * _BASE + column)
+    return h.view(np.int64)
+
+
 def _signed(document: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n, key (of the set), minima; key and minima null for empty sets."""
+    """doc_id, n, key (of the set), bands, sketch; the last three null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, bands, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, shingle)
+                least = minima(s) if len(s) else None
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                signs.append(minima(s).view(np.int32) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int32()))], ["doc_id", "n", "key", "minima"])
+                bands.append(bands_of(least) if len(s) else None)
+                sketches.append(bitmap(s).tobytes() + least.astype(np.uint8).tobytes() if len(s) else None)
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "bands", "sketch"])
 
-    return document.mapInArrow(run, "doc_id long, n long, key binary, minima array<int>")
+    return document.mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sketch binary")
 
 
 def _sets(document: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -136,16 +156,36 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], ["a", "b"])
 
 
-def _verified(document: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Those of pairs(a, b) whose full sets are similar enough; None if the minima leave no candidate."""
-    sign = classes.select(F.col("id"), F.col("n"), F.col("minima"))
-    joined = pairs.join(sign.toDF("a", "n_a", "minima_a"), "a").join(sign.toDF("b", "n_b", "minima_b"), "b")
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    agree = F.aggregate(F.zip_with("minima_a", "minima_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
-    # Six standard deviations below the threshold.
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps as 64-bit words and minima as bytes, a row each."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), BITS // 8 + MINIMA)
+    return np.ascontiguousarray(rows[:, : BITS // 8]).view(np.uint64), rows[:, BITS // 8 :]
+
+
+def _similar(n: np.ndarray, m: np.ndarray, x: tuple, y: tuple, percent: int) -> np.ndarray:
+    """Which pairs' sizes and sketches allow the similarity; the minima may be six standard deviations below it."""
     p = percent / 100
     least = int(MINIMA * p - 6 * (MINIMA * p * (1 - p)) ** 0.5)
-    likely = stash(joined.filter(fits).filter(agree >= least).select("a", "b"), "near-likely")
+    differ = np.bitwise_count(x[0] ^ y[0]).sum(axis=1, dtype=np.int64)
+    fits = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+    return fits & (np.count_nonzero(x[1] == y[1], axis=1) >= least)
+
+
+def _verified(document: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Those of pairs(a, b) whose full sets are similar enough; None if the sketches leave no candidate."""
+    sign = classes.select("id", "n", "sketch")
+    joined = pairs.join(sign.toDF("a", "n_a", "x"), "a").join(sign.toDF("b", "n_b", "y"), "b").select("a", "b", "n_a", "n_b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            good = pa.array(_similar(n, m, _sketches(batch.column("x")), _sketches(batch.column("y")), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
+
+    return _confirmed(document, stash(joined.mapInArrow(run, "a long, b long"), "near-likely"), shingle, percent)
+
+
+def _confirmed(document: DataFrame, likely: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     ids = stash(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(), "near-ids")
     if ids.isEmpty():
         return None
@@ -155,17 +195,52 @@ def _verified(document: DataFrame, classes: DataFrame, pairs: DataFrame, shingle
 
 
 def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """members(bucket, id[, component]) with pivots(bucket, pivot[, pivot_component]), each pair once."""
+    """members(bucket, id) with pivots(bucket, pivot), each pair once."""
     joined = members.join(pivots, "bucket").filter("id != pivot")
-    if "component" in members.columns:
-        joined = joined.filter("component != pivot_component")
     return joined.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block's rows with another's that differ in component and whose sizes and sketches allow the similarity."""
+
+    def columns(block: pa.ListScalar) -> tuple:
+        rows = block.values
+        return *(rows.field(c).to_numpy() for c in ("id", "n", "component")), *_sketches(rows.field("sketch"))
+
+    for batch in batches:
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for few, many in zip(batch.column("few"), batch.column("many"), strict=True):
+            ids, n, component, bits, least = columns(many)
+            for i, size, own, its_bits, its_least in zip(*columns(few), strict=True):
+                at = np.flatnonzero(component != own)
+                at = at[_similar(n[at], size, (bits[at], least[at]), (its_bits, its_least), percent)]
+                left.append(np.full(len(at), i))
+                right.append(ids[at])
+        x, y = np.concatenate(left), np.concatenate(right)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _hidden(classes: DataFrame, members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs across the components of each bucket of members(bucket, id, members) that may be similar."""
+    labelled = members.filter("members > 2").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("part"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("part", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    chunks = lambda n: F.ceil(n / BLOCK)
+    inside = labelled.join(mixed.select("bucket", "largest"), "bucket").join(classes.select("id", "n", "sketch"), "id")
+    inside = inside.select(
+        "bucket", F.struct("id", "n", "component", "sketch").alias("row"), F.xxhash64("id").alias("h"), (F.col("component") != F.col("largest.component")).alias("apart"),
+        chunks(F.col("members")).alias("chunks"), chunks(F.col("members") - F.col("largest.part")).alias("few_chunks"),
+    )
+    inside = stash(inside, "near-open")
+    many = inside.groupBy("bucket", F.pmod("h", "chunks").alias("chunk")).agg(F.collect_list("row").alias("many"))
+    few = inside.filter("apart").groupBy("bucket", F.pmod("h", "few_chunks").alias("few_chunk"), "chunks").agg(F.collect_list("row").alias("few"))
+    facing = few.select("bucket", "few", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).join(many, ["bucket", "chunk"]).select("few", "many")
+    return facing.mapInArrow(lambda batches: _across(batches, percent), "a long, b long").distinct()
+
+
 def _links(document: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Verified links between classes, enough of them for the components."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("minima", i * ROWS + 1, ROWS)))
-    banded = classes.select("id", F.explode(bands).alias("bucket"))
+    banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = stash(banded.join(shared, "bucket"), "near-members")
     seeded = lambda i: F.min(F.struct(F.xxhash64("id", "bucket", F.lit(i)).alias("h"), F.col("id").alias("id")))["id"]
@@ -174,33 +249,9 @@ def _links(document: DataFrame, classes: DataFrame, shingle: int, percent: int)
     links = _verified(document, classes, tested, shingle, percent)
     if links is None:
         return tested.limit(0)
-    for step in range(PIVOT_ROUNDS):
-        label = components(links)
-        labelled = members.filter("members > 2").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("bucket")
-        open_members = stash(labelled.join(mixed, "bucket"), "near-open")
-        degree = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = open_members.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        hub = F.max(F.struct(F.col("degree"), F.col("id"), F.col("component")))
-        other = lambda i: F.min(F.struct(F.xxhash64("id", "bucket", F.lit(100 * step + 100 + i)).alias("h"), F.col("id"), F.col("component")))  # noqa: B023, E731
-        picks = [hub, *[other(i) for i in range(PIVOTS)]]
-        chosen = ranked.filter(F.col("members") > SMALL).groupBy("bucket").agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)])
-        chosen = chosen.select("bucket", F.explode(F.array(*[F.struct(F.col(f"p{i}.id").alias("pivot"), F.col(f"p{i}.component").alias("pivot_component")) for i in range(len(picks))])).alias("p")).select("bucket", "p.*")
-        candidates = _pairs(open_members.select("bucket", "id", "component"), chosen)
-        if step == 0:  # bounded buckets: every member is a pivot for the other components, at most SMALL of them
-            small = open_members.filter(F.col("members") <= SMALL)
-            every = small.select("bucket", F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-            candidates = candidates.union(_pairs(small.select("bucket", "id", "component"), every)).distinct()
-        fresh = stash(candidates.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.isEmpty():
-            break
-        more = _verified(document, classes, fresh, shingle, percent)
-        if more is None or more.isEmpty():
-            if step:
-                break
-            more = links.limit(0)
-        tested, links = tested.unionByName(fresh), links.unionByName(more)
-    return links
+    fresh = stash(_hidden(classes, members, components(links), percent).join(tested, ["a", "b"], "left_anti"), "near-hidden")
+    more = _confirmed(document, fresh, shingle, percent)
+    return links if more is None else links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -208,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     document = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     signed = stash(_signed(document, shingle), "near-signed")
     some = signed.filter("n > 0 and doc_id is not null")
-    classes = stash(some.groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("copies")), "near-classes")
+    classes = stash(some.groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "near-classes")
     links = _links(document, classes, shingle, percent)
     label = components(links).withColumnRenamed("node", "id")
     # Only classes of several copies or with a link need their component looked up, by key; salted, as copies may be many.

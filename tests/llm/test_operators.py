@@ -270,8 +270,8 @@ def test_near_duplicates(docs, shingle):
 
 
 def test_near_duplicates_in_chains_and_stars(spark, monkeypatch):
-    """A large group whose members are near the base but not each other, a chain, and buckets above the small bound."""
-    monkeypatch.setattr(near_dup, "SMALL", 4)
+    """A large group whose members are near the base but not each other, a chain, and buckets of many blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(200)]
     texts = []
