@@ -6,7 +6,8 @@
    bitmaps differ in no more bits than the sets in shingles, so that test of pairs loses none; it is sharp for sets of
    up to some thousand shingles, the minima are for larger ones.
 2. Bands of the minima put classes into buckets. A bucket's members are not paired with each other but with a few
-   pivots, so candidates grow with the number of members. Pairs must have sizes and sketches that allow the similarity.
+   pivots, the same for all buckets of a group where possible, so candidates grow with the number of members. Pairs
+   must have sizes and sketches that allow the similarity.
 3. The remaining candidates are confirmed on their full sets.
 4. Links are joined to components by alternating stars. A bucket that still holds several components may hide links
    between members that are no pivots. Its members outside its largest component are compared with all its members of
@@ -243,7 +244,7 @@ def _links(document: DataFrame, classes: DataFrame, shingle: int, percent: int)
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = stash(banded.join(shared, "bucket"), "near-members")
-    seeded = lambda i: F.min(F.struct(F.xxhash64("id", "bucket", F.lit(i)).alias("h"), F.col("id").alias("id")))["id"]
+    seeded = lambda i: F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), F.col("id").alias("id")))["id"]
     pivots = members.groupBy("bucket").agg(F.array_distinct(F.array(*[seeded(i) for i in range(PIVOTS)])).alias("ps")).select("bucket", F.explode("ps").alias("pivot"))
     tested = stash(_pairs(members.select("bucket", "id"), pivots), "near-pairs")
     links = _verified(document, classes, tested, shingle, percent)
