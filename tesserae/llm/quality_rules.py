@@ -106,27 +106,30 @@ def statistics(text: Column) -> Column:
     )
 
 
-def compiled(rules: tuple[Rule, ...], of: str) -> Column:
-    """Names of the rules that reject, from a struct column of statistics."""
+def compiled(rules: tuple[Rule, ...], s: Column) -> Column:
+    """Names of the rules that reject, from a struct of statistics."""
 
     def rejects(rule: Rule) -> Column:
         over, under = rule.ratio.split(" / ")
-        ratio = F.try_divide(F.col(f"{of}.{over}"), F.col(f"{of}.{under}"))
+        ratio = F.try_divide(s[over], s[under])
         out = F.lit(False)
         if rule.low > float("-inf"):
             out = out | (ratio < rule.low)
         if rule.high < float("inf"):
             out = out | (ratio > rule.high)
-        return F.coalesce(out, F.lit(False)) & (F.col(f"{of}.n_words") >= rule.words)
+        return F.coalesce(out, F.lit(False)) & (s["n_words"] >= rule.words)
 
     return F.filter(F.array(*[F.when(rejects(r), r.name) for r in rules]), lambda x: x.isNotNull())
 
 
+def fails_base(s: Column) -> Column:
+    return (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > REPEATED_PERCENT * s["n_words"])
+
+
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs' columns as struct ``doc``, with the statistics, base_failed, rejected_by and kept."""
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), statistics(text_of("text")).alias("s"))
-    n, repeated = F.col("s.n_words"), F.col("s.n_repeat_words")
-    rows = rows.select("doc", "s", ((n < LEAST_WORDS) | (100 * repeated > REPEATED_PERCENT * n)).alias("base_failed"), compiled(rules, "s").alias("rejected_by"))
+    rows = rows.select("doc", "s", fails_base(F.col("s")).alias("base_failed"), compiled(rules, F.col("s")).alias("rejected_by"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
@@ -135,6 +138,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return rows.select("doc.doc_id", *[f"s.{c}" for c in STATISTICS[:5]], "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
-def passing(docs: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, with docs' columns."""
-    return judged(docs).filter("kept").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that no rule rejects, with docs' columns.
+
+    The verdict is one expression: a filter on columns of ``judged`` would be pushed below its projection, with the
+    statistics once for each use.
+    """
+    return docs.filter(let(statistics(text_of("text")), lambda s: ~fails_base(s) & (F.size(compiled(rules, s)) == 0)))
