@@ -26,7 +26,7 @@ _ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"'
 _VALUE = "(?i)^(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
 _ACCESS = "AKIA[A-Z0-9]{12,}+"
 _HEX = "(?<![0-9a-f])[0-9a-f]{32,}+"
-_KEY = "(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+_KEY = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 _IDENT = "(?<![A-Za-z0-9])[A-Z0-9]{20}(?![A-Za-z0-9])"
 _ENDPOINT = "https?://[A-Za-z0-9.-]+"
 
