@@ -69,7 +69,7 @@ def with_secrets(docs: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.withColumn("__ends", spans(F.col("__w"), _ENDPOINT))
     ids = F.concat("__idents", "__access")
     secrets = F.concat("__keys", "__assign", "__hex")
-    rows = rows.withColumn("__ident_l", _linked(F.col("__idents"), F.col("__keys"))).withColumn("__key_l", _linked(F.col("__keys"), ids))
+    rows = rows.withColumn("__ident_l", _linked(F.col("__idents"), secrets)).withColumn("__key_l", _linked(F.col("__keys"), ids))
     # An endpoint counts where an identifier and a secret both stand by it.
     rows = rows.withColumn("__end_l", _linked(_linked(F.col("__ends"), ids), secrets))
     parts = {"assign": ("__assign", 0.9), "access": ("__access", 0.9), "hex": ("__hex", 0.6), "ident": ("__ident_l", 0.7), "key": ("__key_l", 0.8), "endpoint": ("__end_l", 0.5)}

@@ -376,6 +376,16 @@ def test_keys_behind_a_name(spark, pair):
     assert out[:2] == [f"AWS_ACCESS_KEY_ID{value('[SECRET]')}\nAWS_SECRET_ACCESS_KEY{value('[SECRET]')}\n"] * 2 and out[2:] == texts[2:]
 
 
+@pytest.mark.parametrize("kind, secret", [("assign", "secret: wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), ("assign", "password=correcthorse1"), ("hex", "0123456789abcdef" * 2)])
+def test_identifiers_link_with_any_secret(spark, kind, secret):
+    name = "QWERTYUIOPASDFGHJK12"
+    texts = [f"id {name} {secret}", f"{secret}\nid {name}", f"id {name} {'far ' * 100} {secret}", f"id {name}"]
+    docs = frame(spark, texts)
+    rows = [[(x["kind"], t[x["start"] : x["end"]]) for x in r["f"]] for t, r in zip(texts, secrets.with_secrets(docs, "text", "f").orderBy("doc_id").collect(), strict=True)]
+    assert rows == [[("ident", name), (kind, secret)], [(kind, secret), ("ident", name)], [(kind, secret)], []]
+    assert [r["text"] for r in secrets.masked(docs).orderBy("doc_id").collect()][::3] == ["id [SECRET] [SECRET]", texts[3]]
+
+
 PAGES = "page_id long, url string, html string"
 
 
