@@ -249,7 +249,7 @@ def _links(document: DataFrame, classes: DataFrame, shingle: int, percent: int)
     tested = stash(_pairs(members.select("bucket", "id"), pivots), "near-pairs")
     links = _verified(document, classes, tested, shingle, percent)
     if links is None:
-        return tested.limit(0)
+        links = tested.limit(0)
     fresh = stash(_hidden(classes, members, components(links), percent).join(tested, ["a", "b"], "left_anti"), "near-hidden")
     more = _confirmed(document, fresh, shingle, percent)
     return links if more is None else links.unionByName(more)

@@ -290,6 +290,19 @@ def test_near_duplicates_in_chains_and_stars(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_near_duplicates_without_a_likely_pivot(spark):
+    """A template's documents, below the threshold of each other but for one pair that is no pivot of any bucket they share."""
+    template = " ".join(f"t{i}" for i in range(101))
+    hashed = [F.xxhash64("id", F.lit(i)) for i in range(near_dup.PIVOTS)]
+    late = [r["id"] for r in spark.range(0, 606, 3).orderBy(F.least(*hashed).desc()).limit(2).collect()]
+    texts = [" ".join([template, *(f"o{i}x{j}" for j in range(5 if 3 * i in late else 40))]) for i in range(202)]
+    docs = frame(spark, texts)
+    want = brute.components(sorted(texts_of(docs).items()), 2)
+    assert {d for d, (_, c) in want.items() if c != d} == {max(late)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs, 2).collect()}
+    assert got == want
+
+
 def test_near_duplicates_with_odd_ids(spark):
     odd = spark.createDataFrame([(None, BASE), (1, BASE), (1, BASE), (2, BASE), (None, None)], "doc_id long, text string")
     rows = near_dup.near_duplicates(odd, 2).collect()
