@@ -359,6 +359,24 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table_atoms(literals(spark, schema, page)).select("section_heading", "row_index", "exact_text")
 
 
+@query()
+def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms, extraction and grounding over all documents, as the pipeline runs them over pages."""
+    pages = _line_pages(spark, sf_dir)
+    texts = A.atoms(pages).join(pages.select("document_id", "page_number", F.col("raw_text").alias("page_text")), ["document_id", "page_number"])
+    return X.grounded(X.extracted(texts)).select("document_id", "evidence_id", "evidence_text", "predicate", "value_raw", "subject_raw", "time_raw", "measurement_basis", "polarity", "grounded")
+
+
+@query()
+def table_row_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tables: a row for each line, a cell for each stretch between commas, the first line as headers."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.split(x, ","))
+    made = F.struct(F.lit(None).cast("array<double>").alias("bbox"), F.get(lines, F.lit(0)).alias("headers"), F.slice(lines, F.lit(2), F.size(lines)).alias("rows"))
+    pages = table(spark, sf_dir, "documents").filter("text is not null")
+    pages = pages.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.col("text").alias("raw_text"), F.array(made).alias("tables"))
+    return A.table_atoms(pages).select("document_id", "row_index", "exact_text", "char_start")
+
+
 @query("SELECT event_type AS issue_type, count(*) AS n FROM events WHERE event_type <> '' GROUP BY ALL")
 def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "issue_type"), "issue_type")
