@@ -41,7 +41,7 @@ STAGES = [
     ("mixing", mixed_to_weights),
     ("packing", packed),
 ]
-#: SQL has no tokenizer and no iteration to components of a given cost: the tests hold it against brute force instead.
+#: SQL has no tokenizer and no iteration to components of a given cost. The tests hold each operator against brute force; none holds the whole.
 ORACLE_SQL = None
 
 
