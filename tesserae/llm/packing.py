@@ -9,24 +9,28 @@ cost of cutting at position j is
                       cost(i) for position(j) - position(i) a power of two )                   # not padded
 
 The first minimum slides over positions that only grow, so a monotone queue gives it in constant time on average; the
-second is a lookup for each power. Nothing is shuffled, and a task works on a bounded run of tokens: when a run is
+second takes the pairs of positions that stand a power of two apart, found for all positions at once. Nothing is shuffled, and a task works on a bounded run of tokens: when a run is
 full it is cut up to a cheapest place near its end and what follows is carried on.
 
 Defined cases: a null text counts as empty, so its document is the end id alone; repeated rows are separate
-documents; an empty table gives no pieces; other columns are ignored.
+documents; rows with a null id are documents too; an empty table gives no pieces; other columns, whatever their names,
+are ignored; a text of any length is one row and so one array of ids, cut like any other.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import text_of
@@ -37,22 +41,26 @@ INNER_PENALTY = 64
 INNER_STEP = 64
 TAIL_PENALTY = 8
 RUN = 1 << 18
-CACHE = 500_000
+#: Words held by a worker: those of the current generation and the one before it, up to so many each.
+CACHE = 150_000
+SLICE_CHARS = 8 << 20
+JOINED = 512
 MARKS = "!#$%&()*,-./:;=?@[]_{|}"
-SLICE = 64
-POWERS = tuple(1 << k for k in range(12, 8, -1))
+#: Stands between words that are encoded together: no other word has its byte, and it is a pre-token and a token alone.
+BETWEEN = "\x01"
+#: Latin letters that are their own normal form and have one small letter each.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ž]+")
 
-_workers: dict[str, "PieceIds"] = {}
+_workers: dict[str, "WordIds"] = {}
 
 
-def _id_bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+class WordIds:
+    """Words between spaces and their ids as little-endian 32-bit bytes.
 
-
-class PieceIds(dict):
-    """Word between spaces -> its ids as little-endian 32-bit bytes.
-
-    The tokenizer drops white space and neither normalises nor merges across it, so a text's ids are its words' ids.
+    The tokenizer drops white space and neither normalises nor merges across it, so a text's ids are its words' ids. A
+    word is encoded whole, but for marks behind an ASCII letter or digit: no normal form joins the two, and the mark
+    starts a pre-token of its own. A run of words is encoded at once with BETWEEN between them. Words of Latin letters
+    alone are a pre-token each, so they go to the same merges without normaliser and patterns, which is twice as fast.
     """
 
     def __init__(self, path: str):
@@ -62,50 +70,140 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self[""] = b""
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and t[:-4] and not t[:-4].strip(".!?")]
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
         self.ends_sentence = np.zeros(1 << 17, dtype=bool)
-        self.ends_sentence[ends] = True
-
-    def learn(self, pieces: set[str]) -> None:
-        """A word with marks behind it is two pre-tokens: its letters, which lower-casing may make known, and the marks."""
-        parts = {}
-        for p in pieces:
-            core = p.rstrip(MARKS)
-            if core and core.isalpha():
-                parts[p] = (core.lower() if core.isascii() else core, p[len(core) :])
-        new = {x for pair in parts.values() for x in pair if x not in self} | {p for p in pieces if p not in parts}
-        order = list(new)
-        for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-            self[p] = _id_bytes(e.ids)
-        for p, (core, marks) in parts.items():
-            self[p] = self[core] + self[marks]
-
-    def streams(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), SLICE):
-            split = [t.replace("\n", " ").split(" ") for t in texts[i : i + SLICE]]
-            missing = {p for parts in split for p in parts if p not in self}
-            if len(self) + len(missing) > CACHE:
-                self.clear()
-                self[""] = b""
-                missing = {p for parts in split for p in parts if p}
-            if missing:
-                self.learn(missing)
-            for parts in split:
-                yield b"".join(map(self.__getitem__, parts))
-
-
-def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW, end: str = "padded") -> list[int]:
-    """Indices into ``positions`` (ascending, from 0; neighbours at most ``window`` apart) of the cheapest cuts.
+        self.ends_sentence[[i for t, i in vocabulary.items() if t.endswith("</w>") and t[:-4] and not t[:-4].strip(".!?")]] = True
+        self.ends_word = np.zeros(1 << 17, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.bytes_of: dict[int, str] = {}
+        self.merges = self._merges()
+
+    def _merges(self) -> "Tokenizer | None":  # noqa: F821
+        """The tokenizer without all that words of Latin letters don't need; None if it is of a kind that needs it."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        made = json.loads(self.tokenizer.to_str())
+        if made["model"]["type"] != "BPE" or made["model"].get("end_of_word_suffix") != "</w>":
+            return None
+        bare = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(0x180)) if _LATIN.fullmatch(c)]
+        self.bytes_of = {ord(c): level.pre_tokenize_str(c.lower())[0][0] for c in letters}
+        proof = [*letters, *(c + "a" for c in letters), *("a" + c for c in letters), "".join(letters)]
+        same = all(bare.encode(w.translate(self.bytes_of), add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in proof)
+        return bare if same else None
+
+    def _joined(self, words: list[str], by: str, cut: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], tokenizer: "Tokenizer") -> Iterator[tuple[str, bytes]]:  # noqa: F821
+        runs = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for run, e in zip(runs, tokenizer.encode_batch_fast([by.join(run) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            raw = ids.tobytes()
+            begins, ends = cut(ids)
+            yield from zip(run, [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)], strict=True)
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        def after_ends(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            return np.concatenate([[0], ends[:-1]]), ends
+
+        def around_marks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            marks = np.flatnonzero(ids == self.between[0])
+            return np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]])
+
+        plain = [w for w in words if _LATIN.fullmatch(w)] if self.merges else []
+        found = {}
+        if plain:
+            letters = [w.lower() if w.isascii() else w.translate(self.bytes_of) for w in plain]
+            ids = [i for _, i in self._joined(letters, " ", after_ends, self.merges)]
+            found = dict(zip(plain, ids, strict=True))
+        rest = [w for w in words if w not in found]
+        alone = [w for w in rest if BETWEEN in w] if len(self.between) == 1 else rest
+        found |= {w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in alone}
+        found.update(self._joined([w for w in rest if w not in found], f" {BETWEEN} ", around_marks, self.tokenizer))
+        return found
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words that aren't held; what stands before their marks may be."""
+        recent, older = self.recent, self.older
+        cores, tails, known = [], [], {"": b""}
+        for w in words:
+            core = w.rstrip(MARKS)
+            last = core[-1:]
+            if last.isalnum() and last.isascii():
+                tail = w[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+            else:
+                core, tail = w, ""
+            cores.append(core)
+            tails.append(tail)
+        new = []
+        for p in {*cores, *tails}:
+            ids = recent.get(p)
+            if ids is None and (ids := older.get(p)) is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        known |= self.encoded([p for p in new if p])
+        recent.update(known)
+        return [known[core] + known[tail] if tail else known[core] for core, tail in zip(cores, tails, strict=True)]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        recent, older = self.recent, self.older
+        out = [recent.get(w) for w in words]
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            if (ids := older.get(words[i])) is not None:
+                out[i] = recent[words[i]] = ids
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        learned = self.learn([words[i] for i in missing]) if missing else []
+        for i, ids in zip(missing, learned, strict=True):
+            out[i] = recent[words[i]] = ids
+        if len(recent) > CACHE:
+            self.recent, self.older = {}, recent
+        return out
+
+    def streams(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text. Texts are taken in slices; the distinct words of a slice are looked up once."""
+        lengths = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = lengths[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(lengths, before + SLICE_CHARS, side="right")))
+            split = pc.split_pattern(pc.replace_substring(texts[at:to], "\n", " "), " ")
+            words = split.flatten().dictionary_encode()
+            ids = pa.array(self.of_words(words.dictionary.to_pylist()), pa.binary())
+            taken = ids.cast(pa.large_binary()).take(words.indices)
+            data = taken.buffers()[2]
+            if len(taken):
+                ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
+                for a, b in zip(*(ends[(offsets := np.asarray(split.offsets))[:-1] - offsets[0]].tolist(), ends[offsets[1:] - offsets[0]].tolist()), strict=True):
+                    yield data[a:b].to_pybytes() if b > a else b""
+            at = to
+
+
+def best_cuts(positions: Sequence[int], penalties: Sequence[int], window: int = WINDOW, end: str = "padded") -> list[int]:
+    """Indices into ``positions`` (ascending; neighbours at most ``window`` apart) of the cheapest cuts.
 
     end: "padded" cuts at the last position as at any other; "tail" lets the last window be cut into powers of two
     instead; "open" leaves what follows the cheapest cut of the last window's reach for later.
     """
-    powers = [p for p in POWERS if p <= window]
-    if window & (window - 1) == 0 and window not in powers:
-        powers.insert(0, window)
+    place = np.asarray(positions, dtype=np.int64)
+    # Positions that stand a power of two before another one: (later, earlier), by the later one.
+    later, earlier = [], []
+    for k in range(window.bit_length()):
+        at = np.searchsorted(place, place - (1 << k))
+        hit = np.flatnonzero(place[at] == place - (1 << k))
+        later.append(hit)
+        earlier.append(at[hit])
+    late = np.concatenate(later)
+    order = np.argsort(late, kind="stable")
+    first = np.searchsorted(late[order], np.arange(len(place) + 1)).tolist()
+    exact = np.concatenate(earlier)[order].tolist()
+    positions, penalties = place.tolist(), np.asarray(penalties).tolist()
     cost, back = [0.0], [0]
-    at = {positions[0]: 0}
     queue: deque[tuple[float, int, int]] = deque([(float(positions[0]), positions[0], 0)])
     for j in range(1, len(positions)):
         p = positions[j]
@@ -113,14 +211,13 @@ def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW,
             queue.popleft()
         low, _, arg = queue[0]
         best = low + window - p
-        for power in powers:
-            i = at.get(p - power)
-            if i is not None and cost[i] < best:
-                best, arg = cost[i], i
+        for k in range(first[j], first[j + 1]):
+            if cost[exact[k]] < best:
+                arg = exact[k]
+                best = cost[arg]
         best += penalties[j]
         cost.append(best)
         back.append(arg)
-        at[p] = j
         key = best + p
         while queue and queue[-1][0] >= key:
             queue.pop()
@@ -172,7 +269,7 @@ class Packer:
         for i in np.flatnonzero(np.diff(places) > step):  # a long sentence, or a text without any end of one
             kind[np.arange(places[i] + step, places[i + 1], step)] = INNER_PENALTY
         places = np.flatnonzero(kind >= 0)
-        cuts = places[best_cuts(places.tolist(), kind[places].tolist(), self.window, "tail" if last else "open")].tolist()
+        cuts = places[best_cuts(places, kind[places], self.window, "tail" if last else "open")].tolist()
         if last:
             begin = cuts[-2] if len(cuts) > 1 else 0
             lengths = _tail(cuts[-1] - begin, self.window)
@@ -215,7 +312,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
 
         worker = _workers.get(tokenizer_path)
         if worker is None:
-            _workers[tokenizer_path] = worker = PieceIds(tokenizer_path)
+            _workers[tokenizer_path] = worker = WordIds(tokenizer_path)
         packer = Packer(worker.ends_sentence, window, TaskContext.get().partitionId() << 40)
         end, id_type = np.array([end_id], dtype="<u4").tobytes(), pa.int64()
 
@@ -225,7 +322,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
 
         for batch in batches:
             id_type, pieces = batch.schema.field("doc_id").type, []
-            for doc_id, stream in zip(batch.column("doc_id").to_pylist(), worker.streams(batch.column("text").to_pylist()), strict=True):
+            for doc_id, stream in zip(batch.column("doc_id").to_pylist(), worker.streams(batch.column("text")), strict=True):
                 pieces += packer.add(doc_id, np.frombuffer(stream + end, dtype="<u4"))
             if pieces:
                 yield rows(pieces)

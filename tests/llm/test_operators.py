@@ -165,7 +165,8 @@ def test_pack(docs, monkeypatch):
     assert packing.pack(empty(docs), path).count() == 0
 
 
-def test_cuts_are_the_cheapest():
+@pytest.mark.parametrize("end", ["padded", "tail"])
+def test_cuts_are_the_cheapest(end):
     rng = random.Random(3)
     for _ in range(200):
         gaps = [rng.randint(1, 20) for _ in range(rng.randint(1, 25))]
@@ -174,17 +175,41 @@ def test_cuts_are_the_cheapest():
             positions.append(positions[-1] + g)
         penalties = [rng.choice([0, 3, 9]) for _ in positions]
         window = 64
-        pad = lambda n: 0 if n in (64,) else window - n
+        pad = lambda n: 0 if n.bit_count() == 1 else window - n
+        last = lambda n: min(window - n, packing.TAIL_PENALTY * (n.bit_count() - 1)) if end == "tail" else pad(n) + penalties[-1]
         cost = [0] + [None] * len(gaps)
         for j in range(1, len(positions)):
-            cost[j] = penalties[j] + min(cost[i] + pad(positions[j] - positions[i]) for i in range(j) if positions[j] - positions[i] <= window)
-        cuts = packing.best_cuts(positions, penalties, window)
+            of = last if j == len(gaps) else lambda n: pad(n) + penalties[j]  # noqa: B023, E731
+            cost[j] = min(cost[i] + of(positions[j] - positions[i]) for i in range(j) if positions[j] - positions[i] <= window)
         begin, got = 0, 0
-        for c in cuts:
-            assert positions[c] - positions[begin] <= window
-            got += pad(positions[c] - positions[begin]) + penalties[c]
+        for c in packing.best_cuts(positions, penalties, window, end):
+            n = positions[c] - positions[begin]
+            assert n <= window
+            got += last(n) if c == len(gaps) else pad(n) + penalties[c]
             begin = c
-        assert begin == len(positions) - 1 and got == cost[-1]
+        assert begin == len(gaps) and got == cost[-1]
+
+
+LETTERS = [
+    *"abZIst1.!-_<>|,/;\"'", "İ", "ß", "ẞ", "Σ", "σ", "é", "e\u0301", "\u0308", "\u0307", "\u0345", "\u0330", "ﬁ", "Ǆ", "ŉ", "ĳ", "İ\u0307", "'s", "'S", "<|endoftext|>", "<|startoftext|>", "</w>",
+    " ", "  ", "\n", "\t", "\r", "\x0b", "\x85", "\xa0", "\u2003", "\u200b", "\x01", "\x00", "٣", "²", "👍", "中", "क", "ि", "한", "ᄀ", "ᅡ", "word", "Σ.", "...",
+]
+
+
+def test_ids_of_odd_texts_are_the_librarys(monkeypatch):
+    """10,000 texts of odd letters, marks and white space, in caches and slices too small for them."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHE", 300)
+    monkeypatch.setattr(packing, "SLICE_CHARS", 5000)
+    rng = random.Random(11)
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert words.merges is not None
+    texts = ["GELDİ! tamam", *("".join(rng.choices(LETTERS, k=rng.randint(0, 14))) for _ in range(10_000))]
+    want = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(s, dtype="<u4").tolist() for s in words.streams(pa.array(texts))] == want
 
 
 def test_packer_carries_over_runs(monkeypatch):
