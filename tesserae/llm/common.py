@@ -63,6 +63,60 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables of the shared folder that are deleted at the end of a ``with`` block, by when what they led to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+    def path(self, name: str) -> str:
+        self.paths.append(fresh_path(self.spark, name))
+        return self.paths[-1]
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of this block at once."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(self.spark, path)
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only after counting: ``df`` must already be materialised and of short rows."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Rows of one key that a task may hold, and keys that are broadcast at most.
+HEAVY_ROWS, BROADCAST_KEYS = 20_000, 500_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column) -> DataFrame:
+    """rows left-joined with table(key, weight, ...) on ``key`` (text or binary), without ``weight``.
+
+    ``table`` must be materialised, of short rows and one row a key; ``weight`` is the number of rows of that key. If
+    it is small it is broadcast. Else only its heavy keys are, of which there can't be more than all rows divided by the
+    least heavy weight; other keys' rows are shuffled, and rows that have met a heavy key go anywhere, by ``spread``.
+    """
+    n, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    others = [c for c in table.columns if c not in (key, weight)]
+    if n <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(table.drop(weight)), key, "left").select(*rows.columns, *others)
+    kind = rows.schema[key].dataType
+    is_heavy = F.col(weight) > max(HEAVY_ROWS, total // BROADCAST_KEYS)
+    heavy = table.filter(is_heavy).select(key, F.struct(*others).alias("__heavy"))
+    light = table.filter(~is_heavy).select(F.col(key).alias("__key"), F.struct(*others).alias("__light"))
+    met = rows.join(F.broadcast(heavy), key, "left")
+    elsewhere = F.concat(F.lit("elsewhere-"), F.xxhash64(spread).cast("string")).cast(kind)
+    met = met.withColumn("__at", F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), elsewhere).otherwise(F.col(key)))
+    both = met.join(light, F.col("__at") == F.col("__key"), "left")
+    return both.select(*rows.columns, *[F.coalesce(F.col("__heavy")[c], F.col("__light")[c]).alias(c) for c in others])

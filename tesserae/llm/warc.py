@@ -1,18 +1,20 @@
 """WARC archives: writing with revisit records, and reading by boundary-chain verification.
 
 Writing is a DataFrame plan. Payload digests are grouped; of equal payloads the one with the largest id becomes the
-response and the others revisit it. Only groups of two or more are joined back, salted, so that a payload that a third
-of all pages share is spread over tasks. Records go through Spark's text sink with CRLF CRLF between them, so any file
-system that Spark writes to will do.
+response and the others revisit it. Only groups of two or more are looked up by the pages, without a shuffle of payloads
+while these groups are few; beyond that, payloads that very many pages share are broadcast still. Records go through
+Spark's text sink with CRLF CRLF between them, so any file system that Spark writes to will do.
 
-Reading splits the archives at "CRLF CRLF WARC/1.1 CRLF". A piece so found need not be a record: payloads may contain
-that very sequence. Each task gives, for every piece, its offset and the offset at which its declared length says that
-its successor starts, with the chain inside the task's own split already followed to its exit. Pointer jumping over the
-splits' entries from each file's start then finds which pieces are reachable: these are records, the others are parts
-of payloads. Payloads that were cut into pieces are put together again in a second pass, for those records alone.
+Archives are written without compression, so that Spark cuts each into splits. Reading splits them further at
+"CRLF CRLF WARC/1.1 CRLF". A piece so found need not be a record: payloads may contain that very sequence. Each task
+gives, for every piece, its offset and the offset at which its declared length says that its successor starts, with the
+chain inside the task's own split already followed to its exit. Pointer jumping over the splits' entries from each
+file's start then finds which pieces are reachable: these are records, the others are parts of the record before them.
+Records whose payload was cut into pieces are put together again in a second pass, for those records alone.
 
 Defined cases: a null payload counts as empty; a null url is written empty; a null id stays null; repeated rows are
-written each (those with the largest id are all responses); an empty table gives an empty result.
+written each (those with the largest id are all responses); an empty table gives an empty result; a payload of any
+length is one record, written and put together in one row; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, let, stash, text_of
+from .common import Scratch, broadcast_if_small, let, looked_up, stash, text_of
 
 # Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -36,7 +38,6 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-SALTS = 16
 SEPARATOR = len(END) + len(MAGIC)
 #: Integers of a piece: where its content starts in the split, its length, where its successor's content would start
 #: (-1: none), where its chain leaves the split.
@@ -53,14 +54,13 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*[x for i in range(8) for x in letters(i)])
 
 
-def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
+def revisits(pages: DataFrame, least_bytes: int, scratch: Scratch) -> DataFrame:
     """pages(page_id, url, html, digest) with ``refers``: the id of the equal payload that holds it, null if itself."""
     long_enough = F.octet_length("html") >= least_bytes
     groups = pages.filter(long_enough).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
-    shared = groups.filter("n > 1").select(F.col("digest").alias("of"), "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(shared, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt")) & long_enough, "left")
-    other = F.coalesce(~F.col("page_id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull(), F.lit(False))
+    shared = scratch.stash(groups.filter("n > 1"), "warc-shared")
+    joined = looked_up(pages, shared, "digest", "n", F.struct("page_id", "url"))
+    other = F.coalesce(long_enough & ~F.col("page_id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull(), F.lit(False))
     return joined.select("page_id", "url", "html", "digest", F.when(other, F.col("holder")).alias("refers"))
 
 
@@ -92,12 +92,13 @@ def records(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip", records_per_file: int = 100_000) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "none", records_per_file: int = 100_000) -> None:
     """Write pages(page_id, url, html) as archives under ``path``."""
     rows = pages.select("page_id", F.col("url").cast("string"), text_of("html").alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    out = records(revisits(rows, least_bytes))
-    out.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    with Scratch(pages.sparkSession) as scratch:
+        out = records(revisits(rows, least_bytes, scratch))
+        out.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 _LENGTH = re.compile(rb"^content-length:[ \t]*([0-9]+)[ \t]*$", re.I | re.M)
@@ -184,53 +185,62 @@ def _walk(key: tuple, rows):  # noqa: ANN001, ANN202
             owner, expected = at, after
         reached.append(hit)
         owners.append(owner)
-    return pd.DataFrame({"file": rows["file"], "at": rows["at"], "reached": reached, "owner": owners})
+    return pd.DataFrame({"file": rows["file"], "block": rows["block"], "at": rows["at"], "reached": reached, "owner": owners})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to for every record reachable from its file's start."""
-    scan = stash(_pieces(spark, path).mapInArrow(_scan, SCAN), "warc-scan")
-    splits = scan.groupBy("file", "block").agg(F.max("split_bytes").alias("bytes"))
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("base", F.coalesce(F.sum("bytes").over(ahead), F.lit(0))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file")))
-    placed = scan.join(splits.drop("bytes"), ["file", "block"]).withColumn("at", F.col("base") + F.col("place"))
-    placed = placed.withColumn("after", F.when(F.col("next") >= 0, F.col("base") + F.col("next"))).withColumn("leaves", F.when(F.col("exit") >= 0, F.col("base") + F.col("exit")))
-    many = splits.agg(F.max("n")).first()[0] or 1
-    if many == 1:
-        rows = placed.withColumn("entry", F.lit(0).cast("long"))
-    else:
-        rows = placed.join(_entries(placed, many), ["file", "block"], "left").withColumn("entry", F.coalesce("entry", F.lit(-1)))
-    walked = rows.select("file", "block", "at", F.coalesce("after", F.lit(-1)).alias("after"), "entry").groupBy("file", "block").applyInPandas(_walk, "file string, at long, reached boolean, owner long")
-    found = stash(placed.drop("next", "exit", "place", "split_bytes", "base", "n", "leaves").join(walked, ["file", "at"]), "warc-found")
-    whole = found.filter("reached and complete")
-    result = whole.select("page", "kind", "payload_bytes", "digest", "refers")
-    cut = found.filter("reached and not complete and after is not null")
-    if not cut.isEmpty():
-        result = result.unionByName(_mended(spark, path, scan, splits, found, cut))
-    number = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long")
-    return result.select(number("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers").alias("refers_to"))
-
-
-def _entries(placed: DataFrame, most_splits: int) -> DataFrame:
-    """(file, block, entry): the piece at which the chain from the file's start enters each split, by pointer jumping."""
-    targets = placed.select("file", F.col("leaves").alias("at")).filter("at is not null").distinct()
+    with Scratch(spark) as scratch:
+        scan = scratch.stash(_pieces(spark, path).mapInArrow(_scan, SCAN), "warc-scan")
+        ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        splits = scan.groupBy("file", "block").agg(F.max("split_bytes").alias("bytes"))
+        splits = splits.withColumn("base", F.coalesce(F.sum("bytes").over(ahead), F.lit(0))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file")))
+        splits = scratch.stash(splits.drop("bytes"), "warc-splits")
+        few = broadcast_if_small(splits, 100_000)
+        placed = scan.join(few, ["file", "block"]).withColumn("at", F.col("base") + F.col("place"))
+        placed = placed.withColumn("after", F.when(F.col("next") >= 0, F.col("base") + F.col("next"))).withColumn("leaves", F.when(F.col("exit") >= 0, F.col("base") + F.col("exit")))
+        most = splits.agg(F.max("n")).first()[0] or 1
+        rows = placed.join(_entries(placed, most, scratch), ["file", "block"], "left").withColumn("entry", F.coalesce("entry", F.lit(-1)))
+        walked = rows.select("file", "block", "at", F.coalesce("after", F.lit(-1)).alias("after"), "entry").groupBy("file", "block").applyInPandas(_walk, "file string, block long, at long, reached boolean, owner long")
+        found = scratch.stash(placed.select("file", "block", "at", "complete", "after", "page", "kind", "payload_bytes", "digest", "refers").join(walked, ["file", "block", "at"]), "warc-found")
+        result = found.filter("reached and complete").select("page", "kind", "payload_bytes", "digest", "refers")
+        cut = found.filter("reached and not complete and after is not null").select("file", F.col("at").alias("owner"))
+        if not cut.isEmpty():
+            result = result.unionByName(_mended(spark, path, few, found, cut, scratch))
+        number = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long")
+        return stash(result.select(number("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers").alias("refers_to")), "warc-records")
+
+
+def _entries(placed: DataFrame, most_splits: int, scratch: Scratch) -> DataFrame:
+    """(file, block, entry): the piece at which the chain from the file's start enters each split, by pointer jumping.
+
+    Nodes are the files' starts and the pieces that some chain, right or wrong, jumps to from another split. After k
+    rounds pointers go 2**k splits further and all nodes up to 2**k - 1 jumps from a start are reached.
+    """
+    targets = placed.select("file", F.col("leaves").alias("at")).filter("at is not null")
     starts = placed.filter("at = 0").select("file", "at").distinct()
     nodes = targets.unionByName(starts).distinct()
-    jump = stash(placed.join(nodes, ["file", "at"], "left_semi").select("file", "at", "leaves", "block"), "warc-jump")
-    home, reached = jump.select("file", "at", "block"), stash(starts, "warc-reached")
-    pointers = jump.select("file", "at", "leaves")
-    for _ in range(math.ceil(math.log2(most_splits)) + 1):
-        step = reached.join(pointers, ["file", "at"]).select("file", F.col("leaves").alias("at")).filter("at is not null")
-        reached = stash(reached.unionByName(step.join(home, ["file", "at"], "left_semi")).distinct(), "warc-reached")
+    jump = scratch.stash(placed.join(nodes, ["file", "at"], "left_semi").select("file", "at", "leaves", "block"), "warc-jump")
+    home, reached = jump.select("file", "at", "block"), jump.filter("at = 0").select("file", "at")
+    pointers = jump.select("file", "at", "leaves").filter("leaves is not null")
+    for _ in range(math.ceil(math.log2(most_splits))):
+        step = reached.join(pointers, ["file", "at"]).select("file", F.col("leaves").alias("at"))
+        reached = scratch.stash(reached.unionByName(step.join(home, ["file", "at"], "left_semi")).distinct(), "warc-reached")
         onward = pointers.select("file", F.col("at").alias("leaves"), F.col("leaves").alias("then"))
-        pointers = stash(pointers.join(onward, ["file", "leaves"]).select("file", "at", F.col("then").alias("leaves")), "warc-pointers")
+        pointers = scratch.stash(pointers.join(onward, ["file", "leaves"]).select("file", "at", F.col("then").alias("leaves")), "warc-pointers")
     return reached.join(home, ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
 
 
-def _mended(spark: SparkSession, path: str, scan: DataFrame, splits: DataFrame, found: DataFrame, cut: DataFrame) -> DataFrame:
-    """Records whose payload holds the separator: their pieces are read again and put together."""
-    spans = cut.select("file", F.col("at").alias("from"), F.col("after").alias("to"))
-    inside = found.join(spans, "file").filter("at >= from and at < to").select("file", "at", "from")
+def _mended(spark: SparkSession, path: str, splits: DataFrame, found: DataFrame, cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """Records whose payload holds the separator: their pieces are read again and put together.
+
+    A piece belongs to the record before it, in its own split or, ahead of the first record there, in an earlier one.
+    """
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = found.groupBy("file", "block").agg(F.max("owner").alias("last")).select("file", "block", F.max("last").over(before).alias("carried"))
+    owned = found.select("file", "block", "at", "owner").join(broadcast_if_small(scratch.stash(last, "warc-last"), 100_000), ["file", "block"])
+    owned = owned.select("file", "at", F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.col("carried")).alias("owner"))
+    inside = scratch.stash(owned.join(cut, ["file", "owner"], "left_semi"), "warc-inside")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, place = None, 0
@@ -243,9 +253,8 @@ def _mended(spark: SparkSession, path: str, scan: DataFrame, splits: DataFrame,
                 place += len(value) + SEPARATOR
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], ["file", "block", "value", "place"])
 
-    pieces = _pieces(spark, path).mapInArrow(places, "file string, block long, value binary, place long")
-    pieces = pieces.join(F.broadcast(splits.select("file", "block", "base")) if splits.count() < 10_000 else splits.select("file", "block", "base"), ["file", "block"])
-    pieces = pieces.select("file", (F.col("base") + F.col("place")).alias("at"), "value").join(inside, ["file", "at"])
+    pieces = _pieces(spark, path).mapInArrow(places, "file string, block long, value binary, place long").join(splits.select("file", "block", "base"), ["file", "block"])
+    pieces = pieces.select("file", (F.col("base") + F.col("place")).alias("at"), "value").join(broadcast_if_small(inside, 100_000), ["file", "at"])
 
     def mend(key: tuple, rows):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -257,12 +266,12 @@ def _mended(spark: SparkSession, path: str, scan: DataFrame, splits: DataFrame,
         n, digest = payload_of(value[skip + header : skip + header + length], field["kind"] or "", field["digest"])
         return pd.DataFrame({"page": [field["page"]], "kind": [field["kind"]], "payload_bytes": [n], "digest": [digest], "refers": [field["refers"]]})
 
-    return pieces.groupBy("file", "from").applyInPandas(mend, "page string, kind string, payload_bytes long, digest string, refers string")
+    return pieces.groupBy("file", "owner").applyInPandas(mend, "page string, kind string, payload_bytes long, digest string, refers string")
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0, compression: str = "gzip") -> DataFrame:
-    """Write ``pages`` as archives into the shared folder and read them back."""
-    spark = pages.sparkSession
-    path = fresh_path(spark, "warc")
-    write_archives(pages, path, least_bytes, compression)
-    return read_archives(spark, path)
+def round_trip(pages: DataFrame, least_bytes: int = 0, compression: str = "none") -> DataFrame:
+    """Write ``pages`` as archives into the shared folder, read them back and delete them."""
+    with Scratch(pages.sparkSession) as scratch:
+        path = scratch.path("warc")
+        write_archives(pages, path, least_bytes, compression)
+        return read_archives(pages.sparkSession, path)
