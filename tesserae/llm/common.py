@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,10 +86,19 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table of this block at once."""
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            drop_path(self.spark, path)
+
+def drop(df: DataFrame) -> None:
+    """Delete the tables that ``df``, which must read stashed tables only, comes from."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
+def freed(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows; what they took goes back to the system after each batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
@@ -97,11 +107,11 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
 
 
 #: Rows of one key that a task may hold, and keys that are broadcast at most.
-HEAVY_ROWS, BROADCAST_KEYS = 20_000, 500_000
+HEAVY_ROWS, BROADCAST_KEYS = 20_000, 200_000
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column) -> DataFrame:
-    """rows left-joined with table(key, weight, ...) on ``key`` (text or binary), without ``weight``.
+    """rows left-joined with table(key, weight, ...) on ``key``, without ``weight``.
 
     ``table`` must be materialised, of short rows and one row a key; ``weight`` is the number of rows of that key. If
     it is small it is broadcast. Else only its heavy keys are, of which there can't be more than all rows divided by the
@@ -111,12 +121,12 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread:
     others = [c for c in table.columns if c not in (key, weight)]
     if n <= BROADCAST_KEYS:
         return rows.join(F.broadcast(table.drop(weight)), key, "left").select(*rows.columns, *others)
-    kind = rows.schema[key].dataType
+    written = F.concat(F.lit("="), F.hex(key) if rows.schema[key].dataType.simpleString() == "binary" else F.col(key).cast("string"))
     is_heavy = F.col(weight) > max(HEAVY_ROWS, total // BROADCAST_KEYS)
     heavy = table.filter(is_heavy).select(key, F.struct(*others).alias("__heavy"))
-    light = table.filter(~is_heavy).select(F.col(key).alias("__key"), F.struct(*others).alias("__light"))
+    light = table.filter(~is_heavy).select(written.alias("__key"), F.struct(*others).alias("__light"))
     met = rows.join(F.broadcast(heavy), key, "left")
-    elsewhere = F.concat(F.lit("elsewhere-"), F.xxhash64(spread).cast("string")).cast(kind)
-    met = met.withColumn("__at", F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), elsewhere).otherwise(F.col(key)))
+    elsewhere = F.concat(F.lit("elsewhere "), F.xxhash64(spread).cast("string"))
+    met = met.withColumn("__at", F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), elsewhere).otherwise(written))
     both = met.join(light, F.col("__at") == F.col("__key"), "left")
     return both.select(*rows.columns, *[F.coalesce(F.col("__heavy")[c], F.col("__light")[c]).alias(c) for c in others])

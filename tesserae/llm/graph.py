@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop, looked_up, stash
 
 ROUNDS = 60
+#: Beyond so many edges a node's edges may be too many for a task, and its least neighbour is looked up by weight.
+HUB_EDGES = 1_000_000
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """edges(u, v), u > v. Large: every node links its greater neighbours to its least; small: the lesser ones."""
-    if large:
-        near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("m", "u"))
+    if n > HUB_EDGES:
+        least = stash(least, "components-least")
+        joined = looked_up(near, least, "u", "degree", F.col("v"))
     else:
-        near = edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")).withColumnRenamed("u", "of")
-    joined = near.join(least, F.col("u") == F.col("of"))
+        joined = near.join(least.drop("degree"), "u")
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v")))
+        moved = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.filter("u != v").distinct()
 
 
@@ -34,8 +37,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = stash(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     mark = _mark(edges)
     for _ in range(ROUNDS):
-        edges = stash(_stars(_stars(edges, True), False), "components")
+        starred = _stars(_stars(edges, True, mark[0]), False, mark[0])
+        before, edges = starred, stash(starred, "components")
         new = _mark(edges)
+        drop(before)
         if new == mark:
             break
         mark = new

@@ -326,6 +326,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
                 pieces += packer.add(doc_id, np.frombuffer(stream + end, dtype="<u4"))
             if pieces:
                 yield rows(pieces)
+            pa.default_memory_pool().release_unused()
         if pieces := packer.cut(True):
             yield rows(pieces)
 
