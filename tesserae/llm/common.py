@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ SPACE = "\\x20\\x09-\\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 WORD = f"[^{SPACE}]+"
 
+_LIBC = ctypes.CDLL(None)
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body`` (lambda variables are never inlined again)."""
@@ -93,12 +96,25 @@ def drop(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def freed(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of so many rows; what they took goes back to the system after each batch."""
+def trim() -> None:
+    """Give memory that this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (give := getattr(_LIBC, "malloc_trim", None)) is not None:
+        give(0)
+
+
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what one took goes back to the system before the next."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-        pa.default_memory_pool().release_unused()
+        yield batch
+        trim()
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long rows: unless the session sets another size, workers get 2,000 rows at a time instead of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, drop, freed, looked_up, stash, text_of
+from .common import Scratch, broadcast_if_small, drop, freed, looked_up, short_batches, stash, text_of
 from .graph import components
 
 BANDS, ROWS = 32, 5
@@ -299,6 +299,7 @@ def _links(document: DataFrame, classes: DataFrame, shingle: int, percent: int)
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the least id of its component) for every row of docs(doc_id, text)."""
+    short_batches(docs.sparkSession)
     document = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     signed = stash(_signed(document, shingle), "near-signed")
     some = signed.filter("n > 0 and doc_id is not null")

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import freed, short_batches, text_of, trim
 
 WINDOW = 4096
 SENTENCE_PENALTY = 8
@@ -42,7 +42,7 @@ INNER_STEP = 64
 TAIL_PENALTY = 8
 RUN = 1 << 18
 #: Words held by a worker: those of the current generation and the one before it, up to so many each.
-CACHE = 150_000
+CACHE = 120_000
 SLICE_CHARS = 8 << 20
 JOINED = 512
 MARKS = "!#$%&()*,-./:;=?@[]_{|}"
@@ -306,6 +306,7 @@ COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, text: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -313,6 +314,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
         worker = _workers.get(tokenizer_path)
         if worker is None:
             _workers[tokenizer_path] = worker = WordIds(tokenizer_path)
+            trim()
         packer = Packer(worker.ends_sentence, window, TaskContext.get().partitionId() << 40)
         end, id_type = np.array([end_id], dtype="<u4").tobytes(), pa.int64()
 
@@ -320,13 +322,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
             columns = list(zip(*pieces, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type)] + [pa.array(c, pa.int64()) for c in columns[1:]], list(COLUMNS))
 
-        for batch in batches:
+        for batch in freed(batches):
             id_type, pieces = batch.schema.field("doc_id").type, []
             for doc_id, stream in zip(batch.column("doc_id").to_pylist(), worker.streams(batch.column("text")), strict=True):
                 pieces += packer.add(doc_id, np.frombuffer(stream + end, dtype="<u4"))
             if pieces:
                 yield rows(pieces)
-            pa.default_memory_pool().release_unused()
         if pieces := packer.cut(True):
             yield rows(pieces)
 

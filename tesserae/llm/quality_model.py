@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import freed, short_batches, text_of
 
 FEATURES = (
     "words", "mean_word", "distinct_words", "top_word", "repeats", "lines", "mean_line", "distinct_lines", "top_line",
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
     chosen = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             x = statistics_of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -142,10 +142,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
 
 def scores(docs: DataFrame, trees: Trees, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             s = shared.value.score(statistics_of(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import freed, short_batches, text_of
 
 HEAD_PER_TASK = 1024
 FREQUENT = 32_768
@@ -82,7 +82,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in freed(batches):
             for t in batch.column("text").to_pylist():
                 seen.update(t.split(" ")[1:])
                 if len(seen) > SUMMARY:
@@ -98,6 +98,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
+    short_batches(spark)
     table = PieceLengths(tokenizer_path, {})
     table.learn(set(frequent_pieces(docs, text)))
     lengths = spark.sparkContext.broadcast({p: n for p, n in table.items() if n >= 0})
@@ -106,7 +107,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
         worker = _workers.get(tokenizer_path)
         if worker is None:
             _workers[tokenizer_path] = worker = PieceLengths(tokenizer_path, lengths.value)
-        for batch in batches:
+        for batch in freed(batches):
             tokens = pa.array(worker.count(batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), tokens], ["doc_id", "n_bytes", "n_tokens"])
 
