@@ -42,7 +42,7 @@ INNER_STEP = 64
 TAIL_PENALTY = 8
 RUN = 1 << 18
 #: Words held by a worker: those of the current generation and the one before it, up to so many each.
-CACHE = 120_000
+CACHE = 100_000
 SLICE_CHARS = 8 << 20
 JOINED = 512
 MARKS = "!#$%&()*,-./:;=?@[]_{|}"
@@ -148,10 +148,10 @@ class WordIds:
             else:
                 known[p] = ids
         known |= self.encoded([p for p in new if p])
-        recent.update(known)
         return [known[core] + known[tail] if tail else known[core] for core, tail in zip(cores, tails, strict=True)]
 
-    def of_words(self, words: list[str]) -> list[bytes]:
+    def of_words(self, words: list[str], repeated: np.ndarray) -> list[bytes]:
+        """Ids of distinct words. Words that are learned are held if they are repeated, the others are rare."""
         recent, older = self.recent, self.older
         out = [recent.get(w) for w in words]
         for i in [i for i, ids in enumerate(out) if ids is None]:
@@ -159,8 +159,10 @@ class WordIds:
                 out[i] = recent[words[i]] = ids
         missing = [i for i, ids in enumerate(out) if ids is None]
         learned = self.learn([words[i] for i in missing]) if missing else []
-        for i, ids in zip(missing, learned, strict=True):
-            out[i] = recent[words[i]] = ids
+        for i, ids, often in zip(missing, learned, repeated[missing].tolist(), strict=True):
+            out[i] = ids
+            if often:
+                recent[words[i]] = ids
         if len(recent) > CACHE:
             self.recent, self.older = {}, recent
         return out
@@ -174,7 +176,8 @@ class WordIds:
             to = max(at + 1, int(np.searchsorted(lengths, before + SLICE_CHARS, side="right")))
             split = pc.split_pattern(pc.replace_substring(texts[at:to], "\n", " "), " ")
             words = split.flatten().dictionary_encode()
-            ids = pa.array(self.of_words(words.dictionary.to_pylist()), pa.binary())
+            repeated = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)) > 1
+            ids = pa.array(self.of_words(words.dictionary.to_pylist(), repeated), pa.binary())
             taken = ids.cast(pa.large_binary()).take(words.indices)
             data = taken.buffers()[2]
             if len(taken):
