@@ -34,6 +34,16 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
+def boxed(docs: DataFrame, **made: Column) -> DataFrame:
+    """docs' rows as the struct ``doc`` beside columns made of them, so that no name of docs can clash with those."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(name) for name, c in made.items()])
+
+
+def unboxed(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns ``names`` of ``doc``, some of them changed."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in names], *[v.alias(k) for k, v in changed.items() if k not in names])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,11 +1,13 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
 
-Kinds, in order: email, ip, card (Luhn), phone, and, beyond the base kinds, iban (mod 97). A confirmed span is always
-reported; its score is the kind's own, raised if a word of the kind stands in the characters before it. DataFrame
-operations only, one pass, no shuffle.
+Base kinds, in order: email, ip, card (Luhn), phone; beyond them iban (mod 97) and ssn. Every span has a score: its
+kind's own, raised if a word that goes with the kind stands near it, lowered if one does that speaks against it. A base
+span is always reported, with its score; a span of another kind only if its score is at least ``LEAST``: so an iban is
+unless its surroundings speak against it, and an ssn, which has no checksum, is only where they speak for it.
+DataFrame operations only, one pass, no shuffle.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are searched each; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns, whatever their names, are ignored or passed on; a text of any length is searched whole.
 """
 
 from __future__ import annotations
@@ -13,25 +15,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import boxed, let, text_of, unboxed
 from .spans import MARK, digits, marked, redacted, spans, written
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
-NEAR = 48
-#: Score of a confirmed span, and words that raise it when they stand before it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9}
-CONTEXT = {
-    "email": "mail|contact|write",
-    "ip": "ip|address|host|server",
-    "card": "card|visa|credit|payment|karte|carte|tarjeta",
-    "phone": "phone|call|tel|mobile|fax",
-    "iban": "iban|account|bank|konto|compte|cuenta",
+#: Characters on either side of a span in which words count, and the least score of a span that isn't of a base kind.
+NEAR, LEAST = 48, 0.6
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.65, "ssn": 0.45}
+RAISE = 0.2
+#: Whole words that speak for a kind, and words that speak against it.
+FOR = {
+    "email": "e-?mails?|mail|contact|write|reach",
+    "ip": "ip|ips|address|host|server|login|client",
+    "card": "cards?|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta",
+    "phone": "phone|telephone|call|tel|mobile|fax|cell|telefon|téléphone|teléfono",
+    "iban": "iban|account|bank|transfer|konto|compte|cuenta",
+    "ssn": "ssn|ssns|social security|security number",
+}
+AGAINST = {
+    "email": "example|sample",
+    "ip": "version|release|build|section",
+    "card": "order|invoice|isbn|serial|tracking|part",
+    "phone": "order|invoice|serial|isbn|part",
+    "iban": "order|serial|part|model|checksum",
+    "ssn": "order|serial|part|model|invoice",
 }
-RAISE = 0.1
 
 # A run of digits joined by single spaces or hyphens becomes a run of one character class, an address's dots that join
-# labels stay dots and all others become marks: lengths don't change, and no pattern repeats a group.
+# labels stay dots and all others become marks: lengths don't change, and no pattern repeats a group without a bound.
 _LOCAL = f"A-Za-z0-9._%+{MARK}-"
 _EMAIL = f"(?:\\G|(?<![{_LOCAL}]))[{_LOCAL}]++@(?=[A-Za-z0-9-]+\\.)[A-Za-z0-9.-]+"
 _LOOSE_DOT = "(?<![A-Za-z0-9-])\\.|\\.(?![A-Za-z0-9-])"
@@ -39,7 +51,9 @@ _IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 _CARD = f"[0-9][0-9{MARK}]{{12,}}"
 _JOINT = "(?<=[0-9])[ -](?=[0-9])"
 _PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-_IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+_IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]{4}){2,7}(?:\\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_SSN = "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_NO_SSN = "^(?:000|666|9)|-00-|-0000$"
 
 
 def luhn(number: Column) -> Column:
@@ -69,48 +83,70 @@ def _length_of_digits(m: Column, low: int, high: int) -> Column:
     return F.length(digits(m)).between(low, high)
 
 
+def _has_word(text: Column, words: str) -> Column:
+    return text.rlike(f"(?i)(?<![\\p{{L}}0-9])(?:{words})(?![\\p{{L}}0-9])")
+
+
 def _scored(text: Column, array: Column, kind: str) -> Column:
     def near(x: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(0), x["s"] - NEAR) + 1, F.least(F.lit(NEAR), x["s"]))
-        raised = F.when(before.rlike(f"(?i)(?<![a-z])(?:{CONTEXT[kind]})"), RAISE).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), F.least(F.lit(1.0), F.lit(SCORES[kind]) + raised).alias("score"))
+        # A character more on either side shows whether the outermost word is whole.
+        before = F.substring(text, F.greatest(F.lit(0), x["s"] - NEAR - 1) + 1, F.least(F.lit(NEAR + 1), x["s"]))
+        after = F.substring(text, x["e"] + 1, F.lit(NEAR + 1))
+        around = F.concat(before, F.lit("\n"), after)
+        shift = lambda words: F.when(_has_word(around, words), RAISE).otherwise(0.0)
+        score = F.round(F.least(F.lit(1.0), SCORES[kind] + shift(FOR[kind]) - shift(AGAINST[kind])), 2)
+        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), score.alias("score"))
 
-    return F.transform(array, near)
+    scored = F.transform(array, near)
+    return scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST)
 
 
-def with_personal_data(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """docs with the array ``out`` of spans (kind, start, end, score), by kind, then start."""
-    names = docs.columns
-    t = F.col("__t")
-    rows = docs.withColumn("__t", text_of(text))
+def _compact(code: Column) -> Column:
+    return F.replace(code, F.lit(" "), F.lit(""))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """rows(doc, t) with the array ``found`` of spans (kind, start, end, score), by kind, then start."""
+    t = F.col("t")
     # What a text can't have costs one look for a character or two.
-    rows = rows.withColumn("__email", F.when(t.contains("@"), marked(t, _LOOSE_DOT)).otherwise(""))
-    rows = rows.withColumn("__card", F.when(t.rlike("[0-9](?:[ -]?[0-9]){12}"), marked(t, _JOINT)).otherwise(""))
-    rows = rows.withColumn("__phone", F.when(t.contains("+"), t).otherwise(""))
-    rows = rows.withColumn("__ip", F.when(t.rlike("[0-9]\\.[0-9]++\\.[0-9]"), t).otherwise(""))
-    rows = rows.withColumn("__iban", F.when(t.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), t).otherwise(""))
+    rows = rows.withColumns(
+        {
+            "email_text": F.when(t.contains("@"), marked(t, _LOOSE_DOT)).otherwise(""),
+            "card_text": F.when(t.rlike("[0-9](?:[ -]?[0-9]){12}"), marked(t, _JOINT)).otherwise(""),
+            "phone_text": F.when(t.contains("+"), t).otherwise(""),
+            "ip_text": F.when(t.rlike("[0-9]\\.[0-9]++\\.[0-9]"), t).otherwise(""),
+            "iban_text": F.when(t.rlike("[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}"), t).otherwise(""),
+            "ssn_text": F.when(t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), t).otherwise(""),
+        }
+    )
     found = {
-        "email": spans(F.col("__email"), _EMAIL),
-        "ip": F.filter(spans(F.col("__ip"), _IP), lambda x: _parts_fit(x["m"])),
-        "card": F.filter(spans(F.col("__card"), _CARD), lambda x: _length_of_digits(x["m"], 13, 19) & luhn(digits(x["m"]))),
-        "phone": F.filter(spans(F.col("__phone"), _PHONE), lambda x: _length_of_digits(x["m"], 9, 15)),
-        "iban": F.filter(spans(F.col("__iban"), _IBAN), lambda x: mod97(x["m"])),
+        "email": spans(F.col("email_text"), _EMAIL),
+        "ip": F.filter(spans(F.col("ip_text"), _IP), lambda x: _parts_fit(x["m"])),
+        "card": F.filter(spans(F.col("card_text"), _CARD), lambda x: _length_of_digits(x["m"], 13, 19) & luhn(digits(x["m"]))),
+        "phone": F.filter(spans(F.col("phone_text"), _PHONE), lambda x: _length_of_digits(x["m"], 9, 15)),
+        "iban": F.filter(spans(F.col("iban_text"), _IBAN), lambda x: F.length(_compact(x["m"])).between(15, 34) & mod97(_compact(x["m"]))),
+        "ssn": F.filter(spans(F.col("ssn_text"), _SSN), lambda x: ~x["m"].rlike(_NO_SSN)),
     }
-    for kind in KINDS:
-        rows = rows.withColumn(f"__{kind}s", found[kind])
-    rows = rows.withColumn(out, F.concat(*[_scored(t, F.col(f"__{kind}s"), kind) for kind in KINDS]))
-    return rows.select(*[c for c in names if c != out], out)
+    rows = rows.withColumns({f"{kind}_spans": found[kind] for kind in KINDS})
+    return rows.select("doc", "t", F.concat(*[_scored(t, F.col(f"{kind}_spans"), kind) for kind in KINDS]).alias("found"))
+
+
+def with_personal_data(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """docs with the array ``out`` of spans (kind, start, end, score), by kind, then start."""
+    rows = _found(boxed(docs, t=text_of(text)))
+    return unboxed(rows, [c for c in docs.columns if c != out], **{out: F.col("found")})
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans, and all spans in writing."""
+    """Counts of the base kinds, a digest of the base spans, all spans in writing and, in the same order, their scores."""
     rows = with_personal_data(docs.select("doc_id", "text"), "text", "found").select("doc_id", "found")
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
-    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+    scores = F.array_join(F.transform("found", lambda x: x["score"].cast("string")), ",")
+    return rows.select("doc_id", *[count(k) for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), scores.alias("scores"))
 
 
 def masked(docs: DataFrame, mask: str = "[PERSONAL]") -> DataFrame:
-    """docs with personal data masked in ``text``."""
-    rows = with_personal_data(docs, "text", "__found")
-    return rows.select(*[redacted(text_of("text"), F.col("__found"), mask).alias("text") if c == "text" else c for c in docs.columns])
+    """docs with personal data masked in ``text``; a null text stays null."""
+    rows = _found(boxed(docs, t=text_of("text")))
+    return unboxed(rows, docs.columns, text=F.when(F.size("found") == 0, F.col("doc")["text"]).otherwise(redacted(F.col("t"), F.col("found"), mask)))

@@ -3,19 +3,22 @@
 Certain kinds, in order: assign (a named secret with a value), access (access identifiers), hex (long hexadecimal
 runs). Weak candidates are key (40 characters of base64 in mixed case with digits), ident (20 capitals and digits) and
 endpoint (web addresses): one is reported only if a complementary part stands within ``SCOPE`` characters. The interval
-join of parts is within each document: parts are put into cells of SCOPE characters, and only parts in the same or
-neighbouring cells meet. DataFrame operations only, one pass, no shuffle.
+join of parts is within each document: the spans of a kind are disjoint and in order, so the last one that begins before
+an interval ends is found by bisection and is the only one to compare. DataFrame operations only, one pass, no shuffle.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are searched each; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns, whatever their names, are ignored or passed on; a text of any length is searched whole.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import boxed, let, text_of, unboxed
 from .spans import redacted, spans, written
 
 BASE = ("assign", "access", "hex")
@@ -31,52 +34,71 @@ _IDENT = "(?<![A-Za-z0-9])[A-Z0-9]{20}(?![A-Za-z0-9])"
 _ENDPOINT = "https?://[A-Za-z0-9.-]+"
 
 
-def _cells(array: Column) -> Column:
-    """Cells that the spans touch, and their neighbours."""
-    return F.array_distinct(F.flatten(F.transform(array, lambda x: F.sequence(F.floor(x["s"] / SCOPE) - 1, F.floor(x["e"] / SCOPE) + 1))))
+#: Steps of a bisection: no text holds more spans than they add up to.
+_STEPS = [1 << k for k in range(26, -1, -1)]
 
 
-def _linked(parts: Column, others: Column) -> Column:
-    """Those parts with one of the others at most SCOPE characters away; cells first, then the exact distance."""
+def _meets(array: Column, low: Column, high: Column) -> Column:
+    """Whether a span of the array, disjoint ones in order, begins at most at ``high`` and ends at least at ``low``."""
 
-    def close(x: Column, cells: Column) -> Column:
-        at_hand = F.array_contains(cells, F.floor(x["s"] / SCOPE)) | F.array_contains(cells, F.floor(x["e"] / SCOPE))
-        return at_hand & F.exists(others, lambda o: (o["s"] - x["e"] <= SCOPE) & (x["s"] - o["e"] <= SCOPE))
+    def further(n: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(array, n + step - 1)["s"] <= high, F.lit(False)), n + step).otherwise(n)
 
-    empty = F.slice(parts, 1, 0)
-    return F.when((F.size(parts) == 0) | (F.size(others) == 0), empty).otherwise(let(_cells(others), lambda cells: F.filter(parts, lambda x: close(x, cells))))
+    begun = F.aggregate(F.array(*[F.lit(k) for k in _STEPS]), F.lit(0), further)
+    return F.when(F.size(array) == 0, False).otherwise(let(begun, lambda n: (n > 0) & (F.get(array, n - 1)["e"] >= low)))
 
 
-def _outside(parts: Column, taken: Column) -> Column:
-    return F.when(F.size(parts) == 0, parts).otherwise(F.filter(parts, lambda x: ~F.exists(taken, lambda t: (t["s"] < x["e"]) & (x["s"] < t["e"]))))
+def _any(parts: Column, others: list[Column], reach: int) -> Column:
+    """Those parts within ``reach`` of one of the others (-1: overlapping it)."""
+    near = lambda x: functools.reduce(operator.or_, [_meets(o, x["s"] - reach, x["e"] + reach) for o in others])
+    return F.when(F.size(parts) == 0, parts).otherwise(F.filter(parts, near))
 
 
-def with_secrets(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """docs with the array ``out`` of spans (kind, start, end, score), by start, then kind."""
-    names = docs.columns
-    t = F.col("__t")
-    rows = docs.withColumn("__t", text_of(text))
-    rows = rows.withColumn("__a", F.when(t.rlike("(?i)password|passwd|secret|token|api_?key"), t).otherwise(""))
-    rows = rows.withColumn("__i", F.when(t.contains("AKIA"), t).otherwise(""))
-    rows = rows.withColumn("__h", F.when(t.rlike("[0-9a-f]{32}"), t).otherwise(""))
-    rows = rows.withColumn("__w", F.when(t.rlike("(?<![A-Z0-9])[A-Z0-9]{20}(?![A-Z0-9])|https?://") | t.contains("AKIA"), t).otherwise(""))
-    rows = rows.withColumn("__assign", F.filter(spans(F.col("__a"), _ASSIGN), lambda x: F.length(F.regexp_replace(x["m"], _VALUE, "")) >= 8))
-    rows = rows.withColumn("__access", spans(F.col("__i"), _ACCESS)).withColumn("__hex", spans(F.col("__h"), _HEX))
-    rows = rows.withColumn("__sure", F.concat("__assign", "__access", "__hex"))
+def _outside(parts: Column, taken: list[Column]) -> Column:
+    clear = lambda x: ~functools.reduce(operator.or_, [_meets(o, x["s"] + 1, x["e"] - 1) for o in taken])
+    return F.when(F.size(parts) == 0, parts).otherwise(F.filter(parts, clear))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """rows(doc, t) with the array ``found`` of spans (kind, start, end, score), by start, then kind."""
+    t, c = F.col("t"), F.col
+    rows = rows.withColumns(
+        {
+            "assign_text": F.when(t.rlike("(?i)password|passwd|secret|token|api_?key"), t).otherwise(""),
+            "access_text": F.when(t.contains("AKIA"), t).otherwise(""),
+            "hex_text": F.when(t.rlike("[0-9a-f]{32}"), t).otherwise(""),
+            "weak_text": F.when(t.rlike("(?<![A-Z0-9])[A-Z0-9]{20}(?![A-Z0-9])|https?://") | t.contains("AKIA"), t).otherwise(""),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "assign": F.filter(spans(c("assign_text"), _ASSIGN), lambda x: F.length(F.regexp_replace(x["m"], _VALUE, "")) >= 8),
+            "access": spans(c("access_text"), _ACCESS), "hex": spans(c("hex_text"), _HEX), "endpoints": spans(c("weak_text"), _ENDPOINT),
+        }
+    )
+    sure = [c("assign"), c("access"), c("hex")]
     mixed = lambda x: x["m"].rlike("[A-Z]") & x["m"].rlike("[a-z]") & x["m"].rlike("[0-9]")
-    rows = rows.withColumn("__keys", _outside(F.filter(spans(F.col("__w"), _KEY), mixed), F.col("__sure")))
-    rows = rows.withColumn("__idents", _outside(F.filter(spans(F.col("__w"), _IDENT), lambda x: x["m"].rlike("[A-Z]") & x["m"].rlike("[0-9]")), F.col("__sure")))
-    rows = rows.withColumn("__ends", spans(F.col("__w"), _ENDPOINT))
-    ids = F.concat("__idents", "__access")
-    secrets = F.concat("__keys", "__assign", "__hex")
-    rows = rows.withColumn("__ident_l", _linked(F.col("__idents"), secrets)).withColumn("__key_l", _linked(F.col("__keys"), ids))
+    rows = rows.withColumns(
+        {
+            "keys": _outside(F.filter(spans(c("weak_text"), _KEY), mixed), sure),
+            "idents": _outside(F.filter(spans(c("weak_text"), _IDENT), lambda x: x["m"].rlike("[A-Z]") & x["m"].rlike("[0-9]")), sure),
+        }
+    )
+    ids, secret = [c("idents"), c("access")], [c("keys"), c("assign"), c("hex")]
+    rows = rows.withColumns({"linked_idents": _any(c("idents"), secret, SCOPE), "linked_keys": _any(c("keys"), ids, SCOPE)})
     # An endpoint counts where an identifier and a secret both stand by it.
-    rows = rows.withColumn("__end_l", _linked(_linked(F.col("__ends"), ids), secrets))
-    parts = {"assign": ("__assign", 0.9), "access": ("__access", 0.9), "hex": ("__hex", 0.6), "ident": ("__ident_l", 0.7), "key": ("__key_l", 0.8), "endpoint": ("__end_l", 0.5)}
+    rows = rows.withColumn("linked_endpoints", _any(_any(c("endpoints"), ids, SCOPE), secret, SCOPE))
+    parts = {"assign": ("assign", 0.9), "access": ("access", 0.9), "hex": ("hex", 0.6), "ident": ("linked_idents", 0.7), "key": ("linked_keys", 0.8), "endpoint": ("linked_endpoints", 0.5)}
     ranked = lambda i, kind, score: lambda x: F.struct(x["s"].alias("start"), F.lit(i).alias("rank"), x["e"].alias("end"), F.lit(kind).alias("kind"), F.lit(score).alias("score"))
-    every = F.concat(*[F.transform(c, ranked(i, kind, score)) for i, (kind, (c, score)) in enumerate(parts.items())])
+    every = F.concat(*[F.transform(name, ranked(i, kind, score)) for i, (kind, (name, score)) in enumerate(parts.items())])
     ordered = F.transform(F.array_sort(every), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
-    return rows.withColumn(out, ordered).select(*[c for c in names if c != out], out)
+    return rows.select("doc", "t", ordered.alias("found"))
+
+
+def with_secrets(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """docs with the array ``out`` of spans (kind, start, end, score), by start, then kind."""
+    rows = _found(boxed(docs, t=text_of(text)))
+    return unboxed(rows, [c for c in docs.columns if c != out], **{out: F.col("found")})
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -89,5 +111,5 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with certain secrets and linked keys and identifiers masked in ``text``; endpoints stay. A null text stays null."""
-    rows = with_secrets(docs, "text", "__found").withColumn("__masked", F.filter("__found", lambda x: x["kind"] != "endpoint"))
-    return rows.select(*[F.when(F.size("__masked") == 0, F.col("text")).otherwise(redacted(F.col("text"), F.col("__masked"), mask)).alias("text") if c == "text" else c for c in docs.columns])
+    rows = _found(boxed(docs, t=text_of("text"))).withColumn("hidden", F.filter("found", lambda x: x["kind"] != "endpoint"))
+    return unboxed(rows, docs.columns, text=F.when(F.size("hidden") == 0, F.col("doc")["text"]).otherwise(redacted(F.col("t"), F.col("hidden"), mask)))

@@ -66,6 +66,49 @@ def secrets(text):
     return [(k, s, e) for s, _, k, e in sorted(spans)]
 
 
+PII_FOR = {"iban": "iban|account|bank|transfer|konto|compte|cuenta", "ssn": "ssn|ssns|social security|security number"}
+PII_AGAINST = {"iban": "order|serial|part|model|checksum", "ssn": "order|serial|part|model|invoice"}
+
+
+def personal_data_added(text):
+    """Spans (kind, start, end, score) beyond the base kinds."""
+    text = text or ""
+    iban = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+    out = []
+    for kind, pattern, score in (("iban", iban, 0.65), ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.45)):
+        for m in re.finditer(pattern, text):
+            code = m[0].replace(" ", "")
+            if kind == "iban" and not (15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1):
+                continue
+            if kind == "ssn" and (code[:3] in ("000", "666") or code[0] == "9" or code[4:6] == "00" or code[7:] == "0000"):
+                continue
+            around = text[max(0, m.start() - 49) : m.start()] + "\n" + text[m.end() : m.end() + 49]
+            has = lambda words: bool(re.search(rf"(?<![^\W_])(?:{words})(?![^\W_])", around, re.I))  # noqa: B023, E731
+            now = round(score + 0.2 * has(PII_FOR[kind]) - 0.2 * has(PII_AGAINST[kind]), 2)
+            if now >= 0.6:
+                out.append((kind, *m.span(), now))
+    return out
+
+
+def secrets_all(text):
+    """Base spans and linked ones, by start, then kind."""
+    text = text or ""
+    base = secrets(text)
+    mixed = lambda x: all(re.search(p, x) for p in ("[A-Z]", "[a-z]", "[0-9]"))
+    clear = lambda s, e: not any(t < e and s < u for _, t, u in base)
+    near = lambda x, others: any(o[1] - x[2] <= 256 and x[1] - o[2] <= 256 for o in others)
+    keys = [("key", *m.span()) for m in re.finditer("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", text) if mixed(m[0]) and clear(*m.span())]
+    idents = [("ident", *m.span()) for m in re.finditer("(?<![A-Za-z0-9])[A-Z0-9]{20}(?![A-Za-z0-9])", text) if re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and clear(*m.span())]
+    if not (idents or "AKIA" in text or re.search("https?://", text)):
+        keys = []
+    ids = idents + [x for x in base if x[0] == "access"]
+    hidden = keys + [x for x in base if x[0] != "access"]
+    ends = [("endpoint", *m.span()) for m in re.finditer("https?://[A-Za-z0-9.-]+", text)]
+    linked = [x for x in idents if near(x, hidden)] + [x for x in keys if near(x, ids)] + [x for x in ends if near(x, ids) and near(x, hidden)]
+    rank = {k: i for i, k in enumerate(("assign", "access", "hex", "ident", "key", "endpoint"))}
+    return sorted(base + linked, key=lambda x: (x[1], rank[x[0]], x[2]))
+
+
 def written(spans):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
