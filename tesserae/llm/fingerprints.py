@@ -5,13 +5,14 @@ words has an empty sketch). Sketches of any two texts therefore compare on the s
 unequal their lengths, the union's sketch is the union of the sketches, and containment is estimated as well as
 resemblance.
 
-Neighbours by ascending id are found in bounded buckets of ids: quantiles, then equal parts of each; a bucket's first
-document is also put behind the bucket before, so a window over a bucket sees every successor and no task holds the
-table.
+Neighbours by ascending id are found in buckets of ids, as many as the rows ask for: quantiles, then equal parts of
+each. A bucket's first document, found by a join with the buckets' first ids, is also put behind the bucket before, so a
+window over a bucket sees every successor and no task holds the table.
 
 Defined cases: null and empty texts have an empty fingerprint; two empty fingerprints have likeness 1, one has 0;
 fewer words than a shingle are one shingle; rows with a null id come first, equal ids are ordered by text; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns, whatever their names, are ignored; a text of any length is one row. Rows
+that share an id share a bucket.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stash, text_of, words
+from .common import Scratch, broadcast_if_small, let, text_of, words
 
 SHINGLE = 5
 #: The fraction of hashes kept is 2 to the power of minus this.
@@ -86,44 +87,49 @@ def _bucket(edges: list[int], parts: int) -> Column:
         part = F.floor((doc_id - low) / F.greatest(high - low, F.lit(1.0)) * parts)
         return c * parts + F.greatest(F.lit(0), F.least(part, F.lit(parts - 1)))
 
-    return F.coalesce(let(F.size(F.filter(inner, lambda e: e <= doc_id)), within).cast("int"), F.lit(0))
+    return F.coalesce(let(F.size(F.filter(inner, lambda e: e <= doc_id)).cast("long"), within).cast("long"), F.lit(0))
 
 
-def with_successor(docs: DataFrame, payload: list[Column]) -> DataFrame:
+def _heads(ids: DataFrame, bucket: Column, parts: int, scratch: Scratch) -> DataFrame:
+    """(first, behind): the first id of each bucket and the bucket before it; the last bucket is before the first."""
+    heads = ids.filter("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first"))
+    heads = scratch.stash(heads.withColumn("coarse", F.floor(F.col("bucket") / parts)), "fingerprint-heads")
+    ends = heads.groupBy("coarse").agg(F.max("bucket").alias("end"))  # at most COARSE rows
+    every = Window.orderBy("coarse")
+    ends = ends.select("coarse", F.coalesce(F.lag("end").over(every), F.max("end").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    inside = F.lag("bucket").over(Window.partitionBy("coarse").orderBy("bucket"))
+    return scratch.stash(heads.join(F.broadcast(ends), "coarse").select("first", F.coalesce(inside, F.col("before")).alias("behind")), "fingerprint-firsts")
+
+
+def with_successor(docs: DataFrame, payload: list[Column], scratch: Scratch) -> DataFrame:
     """docs(doc_id, text) with a struct ``next`` of the next document's payload; the last one's next is the first."""
-    ids = stash(docs.select("doc_id"), "fingerprint-ids")
+    ids = scratch.stash(docs.select("doc_id"), "fingerprint-ids")
     n, known, low, high = ids.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     edges = [0, 1]
     if known:
         cuts = ids.agg(F.percentile_approx("doc_id", [i / COARSE for i in range(1, COARSE)], 10_000)).first()[0]
         edges = [low, *sorted({c for c in cuts if low < c}), high + 1]
-    parts = max(1, min(64, -(-n // (COARSE * ROWS_PER_BUCKET))))
+    parts = max(1, -(-n // (COARSE * ROWS_PER_BUCKET)))
     bucket = _bucket(edges, parts)
-    # The first id of each bucket: at most COARSE * 64 rows. A bucket's first row also stands behind the bucket before.
-    firsts = sorted((r[0], r[1]) for r in ids.filter("doc_id is not null").groupBy(bucket.alias("bucket")).agg(F.min("doc_id")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the last bucket is before the first
-    behind = F.lit(None).cast("int")
-    if before:
-        behind = F.try_element_at(_as_map(before), F.col("doc_id").cast("long"))
+    firsts = _heads(ids, bucket, parts, scratch)
+    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.struct(*payload).alias("own"))
+    rows = rows.join(broadcast_if_small(firsts, 200_000), F.col("doc_id") == F.col("first"), "left").drop("first")
     if known < n:  # rows with a null id come first in the first bucket, and so behind the last
-        first_id, last = (firsts[0][1], firsts[-1][0]) if firsts else (None, 0)
-        behind = F.when(F.col("doc_id").isNull(), F.lit(last)).when(F.col("doc_id") != F.lit(first_id).cast("long"), behind)
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.struct(*payload).alias("own"), behind.alias("behind"))
-    rows = rows.withColumn("place", F.explode(F.when(F.col("behind").isNull(), F.array(F.lit(-1))).otherwise(F.array(F.lit(-1), F.col("behind")))))
+        last = firsts.agg(F.max("behind")).first()[0] or 0
+        is_low = F.lit(False) if low is None else F.col("doc_id") == F.lit(low)
+        rows = rows.withColumn("behind", F.when(F.col("doc_id").isNull(), F.lit(last).cast("long")).when(~is_low, F.col("behind")))
+    rows = rows.withColumn("place", F.explode(F.when(F.col("behind").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(F.lit(-1).cast("long"), F.col("behind")))))
     rows = rows.withColumn("ghost", F.col("place") >= 0).withColumn("bucket", F.when(F.col("ghost"), F.col("place")).otherwise(F.col("bucket")))
     line = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
     return rows.withColumn("next", F.lead("own").over(line)).filter(~F.col("ghost")).select("doc_id", "text", "own", "next")
 
 
-def _as_map(pairs: dict[int, int]) -> Column:
-    keys, values = list(pairs), list(pairs.values())
-    return F.map_from_arrays(F.array(*[F.lit(k).cast("long") for k in keys]), F.array(*[F.lit(v).cast("int") for v in values]))
-
-
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of the texts and of their edited texts, whose last quarter is the next document's beginning."""
     own = docs.select("doc_id", text_of("text").alias("text"))
-    rows = with_successor(own, [F.col("text").alias("text"), sketch(F.col("text")).alias("sketch")])
+    with Scratch(docs.sparkSession) as scratch:
+        rows = with_successor(own, [F.col("text").alias("text"), sketch(F.col("text")).alias("sketch")], scratch)
+        scratch.paths = [p for p in scratch.paths if "fingerprint-firsts" not in p]  # read by the result
     rows = rows.select("doc_id", "text", F.col("own.sketch").alias("sketch"), F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
@@ -135,4 +141,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return both.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("sketch")).alias("fingerprint"), written(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("share_in_edited"), containment(F.col("sketch"), F.col("next_sketch")).alias("share_in_next"),
     )

@@ -6,12 +6,13 @@ source. The documents of a source are queued in hash order, their cumulative wor
 demand, and inverting the integrated schedule at that demand gives each copy of a document its training position,
 by which the result is range-sorted.
 
-The running sums are two-level: sums of bounded hash buckets first, then rows within a bucket, so no task ever
-holds a whole source. Only the table of sources, counted first, may be broadcast.
+The running sums are of three levels: sums of groups of hash buckets, of buckets, and rows within a bucket, so no task
+ever holds a whole source. Only the table of sources, counted first, may be broadcast.
 
 Defined cases: a null source is a source of its own, after all others; a null or blank text has size 0 and is never
-taken; repeated rows are separate documents; an empty table gives an empty result; further columns pass through when
-``keep`` names them.
+taken; repeated rows are separate documents; rows with a null id are queued by their texts; an empty table gives an
+empty result; further columns, whatever their names, pass through when ``keep`` names them; the one document of a
+source at which its target is reached gives its first words only, at a position like any other.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, let, stash
+from .common import SPACE, WORD, broadcast_if_small, let, stash
 
 #: Knots (time, weight) of the schedules that sources get in turn; their integrals are 5, 2 and 1.
 CURRICULUM = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 ROWS_PER_BUCKET = 1024
+BUCKETS_PER_GROUP = 1024
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -94,13 +96,14 @@ def mix(
     keep: Sequence[str] = (),
     sort: bool = True,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, positions (of its copies), and ``keep``.
+    """One row per document: doc_id, size, source_size, target, taken, positions (of its copies), last_words, and ``keep``.
 
-    ``taken`` is whole copies, but for the one document of a source at which the target is reached: of that, the
-    words that still fit. So a source's taken words equal its target rounded to a word.
+    Copies are whole, but for the last one of the document of a source at which the target is reached: that has the
+    words that still fit, ``last_words``. So the positions and ``taken`` speak of the same words, and a source's taken
+    words equal its target rounded to a word.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id").alias("h"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    sized = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("h"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)])
     sized = sized.withColumn("high", F.shiftrightunsigned("h", 33))
     narrow = stash(sized.select("doc_id", "source", "size", "h", "high"), "mix-sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -112,9 +115,11 @@ def mix(
         n_buckets = F.ceil(F.col("n_docs") / ROWS_PER_BUCKET)
         return joined.withColumn("bucket", F.col("high").cast("long") * n_buckets).withColumn("bucket", F.shiftright("bucket", 31))
 
-    sums = bucketed(narrow).groupBy("rank", "bucket").agg(F.sum("size").alias("in_bucket"))
-    queue = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("rank", "bucket", F.coalesce(F.sum("in_bucket").over(queue), F.lit(0)).alias("base"))
+    sums = stash(bucketed(narrow).groupBy("rank", "bucket").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("bucket") / BUCKETS_PER_GROUP)), "mix-sums")
+    ahead_of = lambda *of: lambda by: F.coalesce(F.sum("words").over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("rank", "group").agg(F.sum("words").alias("words")).select("rank", "group", ahead_of("rank")("group").alias("before"))
+    bases = sums.select("rank", "group", "bucket", ahead_of("rank", "group")("bucket").alias("inside")).join(groups, ["rank", "group"])
+    bases = bases.select("rank", "bucket", (F.col("before") + F.col("inside")).alias("base"))
     rows = bucketed(sized if keep else narrow)
     within = Window.partitionBy("rank", "bucket").orderBy("high", "h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["rank", "bucket"])
@@ -124,25 +129,34 @@ def mix(
     rows = rows.withColumn("left", F.col("goal") - F.col("epochs") * F.col("source_size"))
     rows = rows.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("begin"))))
     rows = rows.withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
-    copies = F.col("epochs") + F.when((F.col("extra") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)
+    copies = F.col("epochs") + F.when(F.col("extra") > 0, 1).otherwise(0)
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int"))
+    rows = rows.withColumn("last_words", F.when(F.col("extra") > 0, F.col("extra")).when(F.col("copies") > 0, F.col("size")).otherwise(0))
     share_done = lambda e: F.least(F.lit(1.0), (e * F.col("source_size") + F.col("begin")).cast("double") / F.col("goal"))
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: position(share_done(e), F.col("segments"), F.col("weight"))))
     rows = rows.withColumn("positions", F.coalesce(positions, F.array().cast("array<double>")))
     # Documents that are not taken stand behind all others, spread by hash so that they don't meet in one range.
     rows = rows.withColumn("place", F.coalesce(F.get("positions", F.lit(0)), F.lit(1.0) + F.col("high") / F.lit(2.0**31)))
-    out = rows.select("doc_id", "size", "source_size", "target", "taken", "positions", "place", *[F.col(f"kept_{c}").alias(c) for c in keep if c != "doc_id"])
-    return (out.orderBy("place", "doc_id") if sort else out).drop("place")
+    if sort:
+        rows = rows.orderBy("place", "doc_id")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "positions", "last_words", *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep) if c != "doc_id"])
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its nth word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{SPACE}]*+{WORD}+"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def training_order(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, max_epochs: int = 3) -> DataFrame:
     """The documents themselves, a row for each copy that the mix takes, in training order, with docs' columns."""
     names = docs.columns
     mixed = mix(docs, schedules, max_epochs=max_epochs, keep=names, sort=False)
-    # ``size`` and the like may also be names of docs: kept columns are read by place.
+    # ``size`` and the like may also be names of docs: columns are read by place.
     taken = mixed.toDF(*[f"m{i}" for i in range(len(mixed.columns))])
     kept = [c for c in names if c != "doc_id"]
     first = len(mixed.columns) - len(kept)
-    at = {"doc_id": "m0"} | {c: f"m{first + i}" for i, c in enumerate(kept)}
-    copies = taken.select(F.explode("m5").alias("position"), *taken.columns)
-    return copies.orderBy("position", "m0").select(*[F.col(at[c]).alias(c) for c in names])
+    at = {"doc_id": F.col("m0")} | {c: F.col(f"m{first + i}") for i, c in enumerate(kept)}
+    copies = taken.select(F.posexplode("m5").alias("copy", "position"), *taken.columns)
+    is_cut = (F.col("copy") == F.size("m5") - 1) & (F.col("m6") < F.col("m1"))
+    at["text"] = F.when(is_cut, first_words(at["text"], F.col("m6"))).otherwise(at["text"])
+    return copies.orderBy("position", "m0").select(*[at[c].alias(c) for c in names])

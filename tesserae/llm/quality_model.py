@@ -7,8 +7,9 @@ batch is scored by taking all its rows down all trees at once. Only statistics o
 Training takes at most ``train_rows`` labelled rows, those of lowest hash (a documented bound); scoring covers all.
 
 Defined cases: null and empty texts have statistics of 0 and get a score like any other; null labels are no labels;
-repeated labels count once, as their largest; without labels, or with one kind only, every score is their share (0.5
-without any); repeated rows are scored each; other columns are ignored.
+repeated labels count once, as their largest, and of rows with one id the least text is learnt from; without labels, or
+with one kind only, every score is their share (0.5 without any); repeated rows are scored each; an empty table gives
+an empty result; other columns, whatever their names, are ignored; a text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     got = rows.mapInArrow(stats, f"doc_id {kind}, y double, x array<double>").orderBy("doc_id", "x").collect()
     return fit(np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], dtype=np.float64))
 

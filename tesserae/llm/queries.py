@@ -20,7 +20,7 @@ def _tokenizer(name: str) -> str:
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     first = F.get("positions", F.lit(0)).alias("first_position")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("copies"), first)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("copies"), first, "last_words")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

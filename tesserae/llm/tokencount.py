@@ -1,4 +1,4 @@
-"""Token counts by a two-tier lookup on the map side; no pre-token ever crosses a shuffle.
+"""Token counts by a two-tier lookup on the map side; no text's pre-tokens ever cross a shuffle.
 
 A byte-level BPE merges within pre-tokens only, and every change from a non-space to a space starts a new one. So a
 text is the chain of its pieces, split before single spaces, and its count is the sum over pieces. The first tier is
@@ -7,10 +7,11 @@ at a time, into a cache that lives as long as the worker and is emptied when ful
 neighbour (empty, or ending in white space) send their text to the library whole, so every count is the library's.
 
 The frequent pieces come from one pass in which every task keeps a bounded summary (its rarest are dropped when it
-grows too large) and only the summaries' heads are summed. The table affects speed, never counts.
+grows too large) and only the summaries' heads are summed. The more tasks, the shorter a head, so that all heads
+together are at most ``HEADS`` rows, or ``LEAST_HEAD`` a task, whatever the corpus. The table affects speed, never counts.
 
-Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; other columns are
-ignored.
+Defined cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted each; an empty table gives an
+empty result; other columns, whatever their names, are ignored; a text of any length is counted whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import freed, short_batches, text_of
 
-HEAD_PER_TASK = 1024
+HEAD_PER_TASK, LEAST_HEAD, HEADS = 1024, 8, 1 << 20
 FREQUENT = 32_768
 SUMMARY = 100_000
 CACHE = 250_000
@@ -79,6 +80,8 @@ class PieceLengths(dict):
 
 def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
     """Heads of the tasks' summaries, summed: at most FREQUENT pieces come to the driver."""
+    tasks = max(1, docs.select(text).rdd.getNumPartitions())  # of the plan, nothing is run
+    longest = max(LEAST_HEAD, min(HEAD_PER_TASK, HEADS // tasks))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -87,7 +90,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text") -> list[str]:
                 seen.update(t.split(" ")[1:])
                 if len(seen) > SUMMARY:
                     seen = Counter(dict(seen.most_common(SUMMARY // 4)))
-        head = [(p, n) for p, n in seen.most_common(HEAD_PER_TASK) if len(p) <= 64]
+        head = [(p, n) for p, n in seen.most_common(longest) if len(p) <= 64]
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in head], pa.string()), "n": pa.array([n for _, n in head], pa.int64())})
 
     heads = docs.select(text_of(text).alias("text")).mapInArrow(summary, "piece string, n long")

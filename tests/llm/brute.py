@@ -128,6 +128,37 @@ def quality(text):
     return n, sum(map(len, ws)), len(re.findall("[#*$%&|<>]", text)), dup, len(covered), n < 20 or 100 * len(covered) > 30 * n
 
 
+STOPS = set(
+    "the of and to in a is that it for on was be with as by this are or an der die das und von zu den mit ist ein eine nicht sich für auf im dem des "
+    "le la les de et un une du en que dans pour par sur qui au est pas el los las y se por con una no del para su al lo".split()
+)
+
+
+def quality_kept(text):
+    n, chars, symbols, dup, _, failed = quality(text)
+    text = text or ""
+    ws, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    return not failed and not (
+        not 1.5 <= chars / n <= 25 or symbols / n > 0.4 or text.count("!") / n > 0.5 or dup / len(lines) > 0.5
+        or (n >= 100 and sum(len(w) <= 5 and w.lower() in STOPS for w in ws) / n < 0.01)
+        or sum(x.endswith(("...", "…")) for x in lines) / len(lines) > 0.5 or sum(x[0] in "-*•" for x in lines) / len(lines) > 0.9
+    )
+
+
+def sketch(text, k=5):
+    """Hashes below a quarter of the range, shifted to 34 bits, ascending; the least one if there is none."""
+    import xxhash
+
+    ws = WORD.findall(text or "")
+    hashes = []
+    for i in range(max(1, len(ws) - k + 1) if ws else 0):
+        h = 42
+        for w in ws[i : i + k]:
+            h = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(w.encode(), seed=42).to_bytes(8, "little"), seed=h)
+        hashes.append(h >> 30)
+    return sorted({h for h in hashes if h < 1 << 32}) or sorted(hashes)[:1]
+
+
 def shingles(text, k=2):
     ws = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not ws:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm import fingerprints, mixing, near_dup, packing, pii, quality_model, quality_rules, secrets, tokencount, warc
+from tesserae.llm import common, fingerprints, graph, mixing, near_dup, packing, pii, quality_model, quality_rules, secrets, tokencount, warc
 from tesserae.llm.graph import components
 
 from . import brute
@@ -75,6 +75,7 @@ def test_mix(spark, docs):
         assert r["size"] == len(brute.WORD.findall(text or "")) and r["source_size"] == sizes[source]
         assert r["target"] == pytest.approx(goals[source]) and 0 <= r["taken"] <= 3 * r["size"]
         assert all(0 <= p <= 1 for p in r["positions"]) and r["positions"] == sorted(r["positions"])
+        assert r["taken"] == max(0, len(r["positions"]) - 1) * r["size"] + r["last_words"] and (r["last_words"] > 0) == (r["positions"] != [])
         taken[source] += r["taken"]
     assert all(abs(taken[s] - goals[s]) <= 1 for s in sizes)
     assert got == by_id(mixing.mix(docs.repartition(5)))
@@ -87,11 +88,33 @@ def test_mix_cases(spark, small):
     assert mixing.mix(empty(small)).count() == 0
     order = mixing.training_order(odd)
     assert order.columns == odd.columns and order.filter("text is null").count() == 0
-    # The curriculum: heavy sources of falling weight come early, those of rising weight late.
-    mixed = mixing.mix(small).select("doc_id", F.explode("positions").alias("p")).join(small.select("doc_id", "source"), "doc_id")
+    assert sum(len(brute.WORD.findall(r["text"])) for r in order.collect()) == 14
+    nulls = frame(spark, [f"w{i} x" for i in range(30)], ["a", "b", None] * 10).withColumn("doc_id", F.lit(None).cast("long"))
+    assert abs(sum(r["taken"] for r in mixing.mix(nulls).collect()) - 60) <= 1.5  # a rounded target for each source
+    words = spark.createDataFrame([("  a b\n c\td ", 2), ("a", 1), (" a  b", 0)], "t string, n int").select(mixing.first_words(F.col("t"), F.col("n")).alias("w"))
+    assert [r["w"] for r in words.collect()] == ["  a b", "a", ""]
+    # The curriculum: a source's mean position is the mean time under its schedule.
+    even = frame(spark, ["a b c d e"] * 1800, ["a", "b", "c"] * 600)
+    mixed = mixing.mix(even).select("doc_id", F.explode("positions").alias("p")).join(even.select("doc_id", "source"), "doc_id")
     mean = {r["source"]: r["m"] for r in mixed.groupBy("source").agg(F.avg("p").alias("m")).collect()}
-    names = sorted(mean)
-    assert sum(mean[s] for s in names[0::3]) / len(names[0::3]) < sum(mean[s] for s in names[2::3]) / len(names[2::3])
+    assert [mean[s] for s in "abc"] == [pytest.approx(m, abs=0.01) for m in (7 / 15, 1 / 2, 7 / 12)]
+
+
+@pytest.mark.parametrize("texts, sources", [(["a b c d e f g"], ["only"]), (["a b c d e f g", "x"], ["p", "q"]), ([" ".join(f"w{i}" for i in range(n)) for n in (7, 30, 5, 2, 80)], ["a", "b", "c", "a", "b"])])
+def test_order_has_the_words_that_the_mix_takes(spark, monkeypatch, texts, sources):
+    """The report and the order are the same mix, also where one document is cut; queues of several levels."""
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 1)
+    monkeypatch.setattr(mixing, "BUCKETS_PER_GROUP", 2)
+    docs = frame(spark, texts, sources)
+    taken, got = {d: r["taken"] for d, r in by_id(mixing.mix(docs)).items()}, Counter()
+    for r in mixing.training_order(docs).collect():
+        got[r["doc_id"]] += len(brute.WORD.findall(r["text"]))
+    assert {d: n for d, n in taken.items() if n} == dict(got)
+    _, goals = brute.targets([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    per = defaultdict(int)
+    for r in docs.collect():
+        per[r["source"]] += got[r["doc_id"]]
+    assert all(abs(per[s] - goals[s]) <= 1 for s in goals)
 
 
 def test_position_inverts_the_integral(spark):
@@ -242,6 +265,75 @@ def test_quality_model(spark, docs):
     assert quality_model.scores(empty(docs), quality_model.train(docs, labels.limit(0))).count() == 0
 
 
+def slow_score(trees, x):
+    """A tree at a time, a node at a time."""
+    out = []
+    for row in x:
+        margin = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            margin += v[node - len(f)]
+        out.append(1 / (1 + 2.718281828459045**-margin))
+    return out
+
+
+def slow_first_split(x, y, bins, l2):
+    """The best first split of the first tree, by trying every edge of every feature on all rows."""
+    import numpy as np
+
+    p = sum(y) / len(y)
+    best = (1e-9, None)
+    for j in range(len(x[0])):
+        for edge in sorted(set(np.quantile([r[j] for r in x], [i / bins for i in range(1, bins)]))):
+            gain = 0.0
+            sides = [[i for i, r in enumerate(x) if (r[j] <= edge) == left] for left in (True, False)]
+            if any(p * (1 - p) * len(side) < 1 for side in sides):
+                continue
+            for side, sign in (*((s, 1) for s in sides), (range(len(x)), -1)):
+                gain += sign * sum(y[i] - p for i in side) ** 2 / (p * (1 - p) * len(side) + l2)
+            if gain > best[0] + 1e-9:
+                best = (gain, (j, edge))
+    return best[1]
+
+
+def test_trees_as_by_slow_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    y = ((x[:, 1] + 0.5 * x[:, 3] ** 2 + 0.2 * rng.normal(size=300)) > 0.4).astype(float)
+    trees = quality_model.fit(x, y, rounds=12, depth=3, bins=16)
+    assert np.allclose(trees.score(x), slow_score(trees, x.tolist()))
+    j, edge = slow_first_split(x.tolist(), y.tolist(), 16, 2.0)
+    assert (trees.feature[0][0], trees.threshold[0][0]) == (j, pytest.approx(edge))
+    # Leaves of the first tree are Newton steps on the rows that reach them.
+    p, leaves = y.mean(), defaultdict(list)
+    for i, row in enumerate(x):
+        node = 0
+        while node < 7:
+            node = 2 * node + (2 if row[trees.feature[0][node]] > trees.threshold[0][node] else 1)
+        leaves[node - 7].append(i)
+    for leaf, rows in leaves.items():
+        assert trees.value[0][leaf] == pytest.approx(0.2 * (y[rows] - p).sum() / (p * (1 - p) * len(rows) + 2.0))
+    assert ((trees.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_quality_model_learns_once_from_an_id(spark):
+    rows = [(d % 40, f"{'good words here ' if d % 2 else 'bad! bad! '}" * 5, d) for d in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y long")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)] + [(3, None), (5, 0)], "doc_id long, quality int")
+    seen = []
+    fit, quality_model.fit = quality_model.fit, lambda x, y: seen.append((len(x), len(y))) or fit(x, y)
+    try:
+        scored = quality_model.scores(docs, quality_model.train(docs, labels)).collect()
+    finally:
+        quality_model.fit = fit
+    held = {d for d in range(40) if zlib.crc32(str(d).encode()) % 4 == 2}
+    assert seen == [(40 - len(held),) * 2] and len(scored) == 400
+
+
 def test_quality_model_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_model.scores(docs, quality_model.train(docs, labels)).filter("held_out").join(labels, "doc_id").collect()
@@ -268,6 +360,7 @@ def test_fingerprints(docs):
 
 def test_fingerprint_cases(spark, small, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 1)
+    monkeypatch.setattr(fingerprints, "COARSE", 8)
     ordered = sorted(texts_of(small).items())
     want = brute.edited(ordered)
     assert {d: (r["n_chars"], r["edited_sha256"]) for d, r in by_id(fingerprints.edited_fingerprints(small)).items()} == want
@@ -278,6 +371,15 @@ def test_fingerprint_cases(spark, small, monkeypatch):
     assert [r["edited_sha256"] for r in rows if r["doc_id"] == 9] == [brute.sha256("nine ni")]  # before a null text
 
 
+def test_sketches_as_in_plain_python(docs):
+    want = {d: brute.sketch(t) for d, t in texts_of(docs).items()}
+    assert {r["doc_id"]: [int(r["fingerprint"][i : i + 9], 16) for i in range(0, len(r["fingerprint"]), 9)] for r in fingerprints.fingerprints(docs).collect()} == want
+    ordered, got = sorted(want), by_id(fingerprints.edited_fingerprints(docs))
+    for i, d in enumerate(ordered):
+        own, after = set(want[d]), set(want[ordered[(i + 1) % len(ordered)]])
+        assert got[d]["share_in_next"] == pytest.approx(len(own & after) / len(own) if own else 1)
+
+
 def test_sketch_merges_and_contains(spark):
     long = " ".join(f"word{i}" for i in range(4000))
     part = " ".join(f"word{i}" for i in range(1000, 1400))
@@ -335,6 +437,27 @@ def test_near_duplicates_with_odd_ids(spark):
     assert near_dup.without_near_duplicates(odd, 2).count() == 4
 
 
+@pytest.mark.parametrize("kind", ["string", "binary", "long"])
+def test_keys_that_are_too_many_to_broadcast(spark, monkeypatch, kind):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 3)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    rows = spark.createDataFrame([(i, None if i % 50 == 7 else i % 9 if i % 3 else 0) for i in range(200)], "i long, k long").withColumn("k", F.col("k").cast("string").cast(kind))
+    table = rows.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top")).filter("n > 3")
+    got = common.looked_up(rows, table, "k", "n", F.col("i"))
+    assert got.columns == ["i", "k", "top"]
+    top = {bytes(r["k"]) if kind == "binary" else r["k"]: r["top"] for r in table.collect()}
+    assert sorted((r["i"], r["top"]) for r in got.collect()) == sorted((r["i"], top.get(bytes(r["k"]) if kind == "binary" and r["k"] is not None else r["k"])) for r in rows.collect())
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_EDGES", 10)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 4)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 8)
+    links = [(500, 500 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(20)] + [(7, 530)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: 0 for e in links for x in e}
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50)] + [(500, 500 + i) for i in range(1, 50)]
@@ -409,7 +532,7 @@ def test_quality_rules(docs):
     for d, text in texts_of(docs).items():
         r = got[d]
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute.quality(text), (text or "")[:80]
-        assert not (r["kept"] and r["base_failed"])
+        assert r["kept"] == brute.quality_kept(text), (text or "")[:80]
     assert quality_rules.quality_rules(empty(docs)).count() == 0
     kept = quality_rules.passing(docs.withColumn("s", F.lit(1)).withColumn("kept", F.lit(None)))
     assert kept.columns == [*docs.columns, "s", "kept"] and kept.count() == sum(r["kept"] for r in got.values())
