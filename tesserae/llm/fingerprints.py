@@ -29,7 +29,7 @@ KEPT_BITS = 32
 DIGITS = 9
 
 COARSE = 64
-ROWS_PER_BUCKET = 2000
+ROWS_PER_BUCKET = 500
 
 
 def sketch(text: Column, shingle: int = SHINGLE) -> Column:
