@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .dictionaries import ENTITIES, FAMILIES, SCALES, UNIT_HINTS, UNITS
 from .text import clean, contains_any, filled, first_of, literal_pattern, strip, title
 
+# The pattern of a number.
 NUMBER = r"([0-9,]+(?:\.[0-9]+)?)"
 
 
@@ -38,6 +39,7 @@ def unit(raw: Column, predicate: Column | None = None) -> Column:
     return first_of(exact + inside + hinted, F.when(u != "", strip(raw)))
 
 
+# Patterns of periods.
 QUARTER = r"\b(q[1-4]|first quarter|second quarter|third quarter|fourth quarter)\s*(?:of|:)?\s*(?:fy\s*([0-9]{2,4})|([0-9]{4}))?"
 YEAR_RANGE = r"\b(?:fy\s*)?([0-9]{2,4})[-/]([0-9]{2,4})\b"
 FISCAL_YEAR = r"\b(?:fy\s*([0-9]{2,4})|fiscal\s*(?:year\s*)?([0-9]{4}))\b"

@@ -8,13 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space, and the four separators that count as such too.
+SPACE = r"[\s\x1c-\x1f]"
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def inline(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
 def clean(c: Column, default: str = "") -> Column:
@@ -36,7 +41,8 @@ def is_upper(c: Column) -> Column:
 
 
 def is_title(c: Column) -> Column:
-    return c.rlike(r"\p{Lu}") & ~c.rlike(r"(^|[^\p{L}])\p{Ll}") & ~c.rlike(r"\p{L}\p{Lu}")
+    """Capitals only behind what has no case, small letters only behind what has; letters without case are like marks."""
+    return c.rlike(r"[\p{Lu}\p{Lt}]") & ~c.rlike(rf"(^|[^{_CASED}])\p{{Ll}}") & ~c.rlike(rf"[{_CASED}][\p{{Lu}}\p{{Lt}}]")
 
 
 def first_of(cases: Iterable[tuple[Column, Column | str]], default: Column | str | None) -> Column:

@@ -31,19 +31,32 @@ def scanned_page_issues(pages: DataFrame) -> DataFrame:
 
 def position(page_text: Column, text: Column) -> Column:
     """First occurrence of the text in its page, else of its first 30 characters, from 0; null if there is none."""
-    at = F.nullif(F.locate(text, page_text) if isinstance(text, str) else F.instr(page_text, text), F.lit(0))
+    at = F.nullif(F.instr(page_text, text), F.lit(0))
     start = F.nullif(F.instr(page_text, F.substring(text, 1, 30)), F.lit(0))
     return F.coalesce(at, start) - 1
 
 
+def _box(*corners: Column) -> Column:
+    return F.array(*[F.round(c, 2) for c in corners])
+
+
 def table_atoms(pages: DataFrame) -> DataFrame:
+    """A row of a table as "header: cell | ...". A header that is absent is Col_i, one that is empty stays so."""
     tables = pages.select("document_id", "page_number", "raw_text", F.posexplode("tables").alias("table_index", "table"))
     rows = tables.select("*", F.posexplode("table.rows").alias("row_index", "cells"))
-    label = lambda i: F.coalesce(F.nullif(strip(F.get("table.headers", i)), F.lit("")), F.concat(F.lit("Col_"), i.cast("string")))
-    shown = F.transform("cells", lambda c, i: F.when(strip(F.coalesce(c, F.lit(""))) != "", F.concat(label(i), F.lit(": "), strip(c))))
+    column = lambda i: F.concat(F.lit("Col_"), i.cast("string"))
+    rows = rows.withColumn("headers", F.coalesce(F.transform("table.headers", lambda h, i: F.coalesce(strip(h), column(i))), F.array().cast("array<string>")))
+    blank = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
+    shown = F.transform("cells", lambda c, i: F.when(~blank(c), F.concat(F.coalesce(F.get("headers", i), column(i)), F.lit(": "), strip(c))))
     rows = rows.withColumn("exact_text", F.array_join(F.array_compact(shown), " | ")).filter(F.length("exact_text") >= MIN_ROW)
-    first = F.get(F.filter("cells", lambda c: strip(F.coalesce(c, F.lit(""))) != ""), F.lit(0))
-    return rows.select("document_id", "page_number", F.concat(F.lit("Table "), (F.col("table_index") + 1).cast("string")).alias("section_heading"), "exact_text", (F.nullif(F.instr("raw_text", strip(first)), F.lit(0)) - 1).alias("char_start"), F.lit("table_parser").alias("extraction_method"), F.col("table_index"), F.col("row_index"))
+    first = F.get("cells", F.lit(0))
+    start = F.when(first != "", F.nullif(F.instr("raw_text", strip(first)), F.lit(0)) - 1)
+    raw = F.transform("cells", lambda c: strip(F.coalesce(c, F.lit(""))))
+    info = F.struct((F.col("table_index") + 1).alias("table_index"), "row_index", "headers", raw.alias("raw_cells"))
+    return rows.select(
+        "document_id", "page_number", F.concat(F.lit("Table "), (F.col("table_index") + 1).cast("string")).alias("section_heading"), "exact_text", start.alias("char_start"),
+        F.transform("table.bbox", lambda x: F.round(x, 2)).alias("bbox"), info.alias("table_cell_info"), F.lit("table_parser").alias("extraction_method"), "table_index", "row_index",
+    )
 
 
 def blocks_with_headings(pages: DataFrame) -> DataFrame:
@@ -64,7 +77,7 @@ def paragraph_atoms(pages: DataFrame) -> DataFrame:
     free = blocks_with_headings(pages).filter(~F.col("is_heading") & ~F.exists(F.coalesce("tables", F.array().cast(pages.schema["tables"].dataType)), lambda t: F.coalesce(around(t), F.lit(False))))
     split = free.select("*", F.posexplode(F.split("text", r"\n\s*\n")).alias("paragraph", "raw")).withColumn("exact_text", strip(F.col("raw"))).filter(F.length("exact_text") >= MIN_ATOM)
     split = split.withColumn("char_start", position(F.col("raw_text"), F.col("exact_text")))
-    return split.select("document_id", "page_number", F.col("heading").alias("section_heading"), "exact_text", "char_start", F.lit("native_text").alias("extraction_method"), "block_no", "paragraph")
+    return split.select("document_id", "page_number", F.col("heading").alias("section_heading"), "exact_text", "char_start", _box(b["x0"], b["y0"], b["x1"], b["y1"]).alias("bbox"), F.lit("native_text").alias("extraction_method"), "block_no", "paragraph")
 
 
 def card_atoms(pages: DataFrame) -> DataFrame:
@@ -72,7 +85,12 @@ def card_atoms(pages: DataFrame) -> DataFrame:
     one, two = strip(F.col("text")), strip(F.col("next_block.text"))
     short = lambda t: t.rlike("[0-9]") & (F.length(t) < CARD_CHARS)
     rows = blocks_with_headings(pages).filter(F.col("next_block").isNotNull() & (short(one) | short(two)) & (F.length(one) > 1) & (F.length(two) > 1))
-    return rows.select("document_id", "page_number", F.col("last_heading").alias("section_heading"), F.concat(one, F.lit(" \n "), two).alias("exact_text"), F.lit("compound_card").alias("extraction_method"), "block_no")
+    b, after = F.col("block"), F.col("next_block")
+    start = F.nullif(F.instr("raw_text", one), F.lit(0)) - 1
+    return rows.select(
+        "document_id", "page_number", F.col("last_heading").alias("section_heading"), F.concat(one, F.lit("\n"), two).alias("exact_text"), start.alias("char_start"),
+        _box(b["x0"], b["y0"], after["x1"], after["y1"]).alias("bbox"), F.lit("compound_card").alias("extraction_method"), "block_no",
+    )
 
 
 def atoms(pages: DataFrame) -> DataFrame:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import CALENDAR_YEAR, QUARTER, either, entity, fingerprint, number, period, quarter_code, unit
 from ..functions.text import filled, first_of, inline, strip, title
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 # Building blocks of the metric patterns.
 AMOUNT = r"(?:(?:₹|rs\.?|inr)\s*([0-9,]+(?:\.[0-9]+)?)\s*(cr|crore|million|mn|bn|billion)?|([0-9,]+(?:\.[0-9]+)?)\s*(cr|crore|million|mn|bn|billion))"
 NUM = r"([0-9,]+(?:\.[0-9]+)?)"
 PCT = r"([0-9]+(?:\.[0-9]+)?)\s*(%|per\s*cent)"
-GAP = r"[^\w\n\r]*[:=]?\s*"
+#: What a name and its number may have between them; letters and digits of any script end it.
+WORD_CHAR = r"\p{L}\p{N}_"
+GAP = rf"[^{WORD_CHAR}\n\r]*[:=]?\s*"
+EBITDA = rf"(?<![{WORD_CHAR}])ebitda(?![{WORD_CHAR}])"
 ASIDE = r"\s*(?:\([0-9,]+\)\s*)?"
 WHEN = r"(?:(?:in\s*)?(?:fy|q[1-4])[0-9]{2,4}\s*)?"
 SHARE = r"\s*(?:/\s*[0-9.]+%\s*)?"
@@ -26,28 +34,31 @@ AT_LEAST = r"(?:>|>=)?\s*"
 
 @dataclass(frozen=True)
 class Metric:
+    """A metric's patterns; a text without any of ``names`` can't match them."""
+
     predicate: str
     kind: str
     unit: str
+    names: tuple[str, ...]
     patterns: tuple[str, ...]
 
 
 F_, O_, M_ = "financial_metric", "operational_metric", "macroeconomic_metric"
 # The metric rules in order, each with its patterns in order.
 METRICS = (
-    Metric("revenue from services", F_, "INR", (AMOUNT + r"\s*(?:in\s*)?(?:(?:fy|q[1-4])[0-9]{2,4}\s*)?revenue", r"(?:revenue(?:\s+from\s+services)?)" + GAP + AMOUNT)),
-    Metric("service EBITDA", F_, "INR", (AMOUNT + r"\s*service\s+ebitda", r"service\s+ebitda" + GAP + AMOUNT)),
-    Metric("adjusted EBITDA", F_, "INR", (AMOUNT + SHARE + WHEN + r"adj\.?\s*ebitda", r"(?:adj\.?|adjusted)\s+ebitda" + GAP + AMOUNT)),
-    Metric("EBITDA", F_, "INR", (AMOUNT + SHARE + WHEN + r"\bebitda\b", r"\bebitda\b" + GAP + AMOUNT)),
-    Metric("express parcel shipments volume", O_, "shipments", (AT_LEAST + NUM + r"\s*" + VOLUME + r"\+?" + ASIDE + r"express\s+parcel\s+shipments", r"express\s+parcel\s+(?:shipments|shipment\s+volume)" + GAP + AT_LEAST + NUM + r"\s*" + VOLUME)),
-    Metric("PTL freight tonnage", O_, "tonnes", (NUM + r"\s*" + TONS + r"\+?" + ASIDE + r"(?:part-truckload|ptl)", r"(?:part-truckload|ptl)(?:\s+freight)?\s+tonnage" + GAP + NUM + r"\s*" + TONS)),
-    Metric("pin codes covered", O_, "pin_codes", (r"([0-9,]{4,6})" + ASIDE + r"pin\s*codes", r"pin\s*codes\s*(?:covered)?" + GAP + r"([0-9,]{4,6})")),
-    Metric("last-mile delivery centres", O_, "centres", (r"([0-9,]{3,6})" + ASIDE + r"last-mile\s+delivery\s+centres", r"last-mile\s+delivery\s+centres" + GAP + r"([0-9,]{3,6})")),
-    Metric("count of 46-ft tractors", O_, "vehicles", (r"([0-9,]{2,5})" + ASIDE + r"(?:count\s+of\s+)?46-ft\s+tractors", r"(?:count\s+of\s+46-ft\s+tractors|tractors)" + GAP + r"([0-9,]{2,5})")),
-    Metric("workforce strength", O_, "persons", (r"([0-9,]{4,6})" + ASIDE + r"workforce\s+strength", r"workforce\s+strength" + GAP + r"([0-9,]{4,6})")),
-    Metric("logistics area under management", O_, "sq_ft", (NUM + r"\s*" + AREA + ASIDE + r"logistics\s+area", r"logistics\s+area\s+under\s+management" + GAP + NUM + r"\s*" + AREA)),
+    Metric("revenue from services", F_, "INR", ("revenue",), (AMOUNT + r"\s*(?:in\s*)?(?:(?:fy|q[1-4])[0-9]{2,4}\s*)?revenue", r"(?:revenue(?:\s+from\s+services)?)" + GAP + AMOUNT)),
+    Metric("service EBITDA", F_, "INR", ("ebitda",), (AMOUNT + r"\s*service\s+ebitda", r"service\s+ebitda" + GAP + AMOUNT)),
+    Metric("adjusted EBITDA", F_, "INR", ("ebitda",), (AMOUNT + SHARE + WHEN + r"adj\.?\s*ebitda", r"(?:adj\.?|adjusted)\s+ebitda" + GAP + AMOUNT)),
+    Metric("EBITDA", F_, "INR", ("ebitda",), (AMOUNT + SHARE + WHEN + EBITDA, EBITDA + GAP + AMOUNT)),
+    Metric("express parcel shipments volume", O_, "shipments", ("express",), (AT_LEAST + NUM + r"\s*" + VOLUME + r"\+?" + ASIDE + r"express\s+parcel\s+shipments", r"express\s+parcel\s+(?:shipments|shipment\s+volume)" + GAP + AT_LEAST + NUM + r"\s*" + VOLUME)),
+    Metric("PTL freight tonnage", O_, "tonnes", ("part-truckload", "ptl"), (NUM + r"\s*" + TONS + r"\+?" + ASIDE + r"(?:part-truckload|ptl)", r"(?:part-truckload|ptl)(?:\s+freight)?\s+tonnage" + GAP + NUM + r"\s*" + TONS)),
+    Metric("pin codes covered", O_, "pin_codes", ("pin",), (r"([0-9,]{4,6})" + ASIDE + r"pin\s*codes", r"pin\s*codes\s*(?:covered)?" + GAP + r"([0-9,]{4,6})")),
+    Metric("last-mile delivery centres", O_, "centres", ("last-mile",), (r"([0-9,]{3,6})" + ASIDE + r"last-mile\s+delivery\s+centres", r"last-mile\s+delivery\s+centres" + GAP + r"([0-9,]{3,6})")),
+    Metric("count of 46-ft tractors", O_, "vehicles", ("tractors",), (r"([0-9,]{2,5})" + ASIDE + r"(?:count\s+of\s+)?46-ft\s+tractors", r"(?:count\s+of\s+46-ft\s+tractors|tractors)" + GAP + r"([0-9,]{2,5})")),
+    Metric("workforce strength", O_, "persons", ("workforce",), (r"([0-9,]{4,6})" + ASIDE + r"workforce\s+strength", r"workforce\s+strength" + GAP + r"([0-9,]{4,6})")),
+    Metric("logistics area under management", O_, "sq_ft", ("logistics",), (NUM + r"\s*" + AREA + ASIDE + r"logistics\s+area", r"logistics\s+area\s+under\s+management" + GAP + NUM + r"\s*" + AREA)),
     Metric(
-        "real GDP growth rate", M_, "percent",
+        "real GDP growth rate", M_, "percent", ("gdp", "economic", "domestic"),
         (
             r"(?:real\s+(?:gross\s+domestic\s+product|\(gdp\)|gdp)[^.\n]{0,60}?(?:grow(?:th)?|expanded|moderated|projected)[^.\n]{0,30}?(?:by|to|at|of)?\s*" + PCT + ")",
             r"(?:economic\s+growth)[^.\n]{0,30}?(?:of|at|by|to)?\s*" + PCT,
@@ -55,9 +66,9 @@ METRICS = (
             r"(?:real\s+gdp\s+growth|gdp\s+growth)" + GAP + PCT,
         ),
     ),
-    Metric("headline CPI inflation", M_, "percent", (r"(?:(?:headline\s+)?cpi\s+inflation|retail\s+inflation|headline\s+inflation)[^.\n]{0,30}?(?:declined\s+to|moderated\s+to|stood\s+at|at|of|to)?\s*" + PCT, PCT + r"\s*(?:headline\s+cpi\s+inflation|cpi\s+inflation|retail\s+inflation)")),
-    Metric("gross fiscal deficit", M_, "percent", (r"(?:(?:gross\s+)?fiscal\s+deficit|gfd)[^.\n]{0,40}?(?:declining\s+to|contained\s+at|budgeted\s+at|stood\s+at|at|of)?\s*" + PCT + r"\s*(?:of\s+gdp)?", PCT + r"\s*(?:of\s+gdp\s+)?(?:fiscal\s+deficit|gfd)")),
-    Metric("current account deficit", M_, "percent", (r"(?:current\s+account\s+deficit|cad)[^.\n]{0,40}?(?:contained\s+at|declined\s+to|widened\s+to|projected\s+at|at|of)?\s*" + PCT + r"\s*(?:of\s+gdp)?", PCT + r"\s*(?:of\s+gdp\s+)?(?:current\s+account\s+deficit|cad)")),
+    Metric("headline CPI inflation", M_, "percent", ("inflation",), (r"(?:(?:headline\s+)?cpi\s+inflation|retail\s+inflation|headline\s+inflation)[^.\n]{0,30}?(?:declined\s+to|moderated\s+to|stood\s+at|at|of|to)?\s*" + PCT, PCT + r"\s*(?:headline\s+cpi\s+inflation|cpi\s+inflation|retail\s+inflation)")),
+    Metric("gross fiscal deficit", M_, "percent", ("deficit", "gfd"), (r"(?:(?:gross\s+)?fiscal\s+deficit|gfd)[^.\n]{0,40}?(?:declining\s+to|contained\s+at|budgeted\s+at|stood\s+at|at|of)?\s*" + PCT + r"\s*(?:of\s+gdp)?", PCT + r"\s*(?:of\s+gdp\s+)?(?:fiscal\s+deficit|gfd)")),
+    Metric("current account deficit", M_, "percent", ("deficit", "cad"), (r"(?:current\s+account\s+deficit|cad)[^.\n]{0,40}?(?:contained\s+at|declined\s+to|widened\s+to|projected\s+at|at|of)?\s*" + PCT + r"\s*(?:of\s+gdp)?", PCT + r"\s*(?:of\s+gdp\s+)?(?:current\s+account\s+deficit|cad)")),
 )
 
 
@@ -68,6 +79,7 @@ def _has(t: Column, *words: str) -> Column:
     return out
 
 
+# What is looked for, in order, and what it stands for.
 def subject(page_text: Column) -> Column:
     t = F.lower(page_text)
     return first_of(
@@ -82,6 +94,7 @@ def subject(page_text: Column) -> Column:
     )
 
 
+# What is looked for, in order, and what it stands for.
 def time_text(text: Column) -> Column:
     """The period that an atom speaks of, in short; null if none."""
     low = F.lower(text)
@@ -105,6 +118,7 @@ def time_text(text: Column) -> Column:
     )
 
 
+# What is looked for, in order, and what it stands for.
 def scope(text: Column) -> Column:
     t = F.lower(text)
     return first_of(
@@ -119,6 +133,7 @@ def scope(text: Column) -> Column:
     )
 
 
+# What is looked for, in order, and what it stands for.
 def basis(text: Column) -> Column:
     t = F.lower(text)
     return first_of(
@@ -142,18 +157,33 @@ def _groups(pattern: str) -> int:
     return pattern.replace(r"\(", "").replace("(?", "").count("(")
 
 
+#: Parts the groups of a match; texts have it replaced beforehand.
+_PART = "\u0001"
+
+
 def _hit(metric: Metric, pattern: str, text: Column) -> Column:
-    """Struct (number, unit) if the pattern matches with a number: the last group with a digit, the last without."""
-    groups = [F.regexp_extract(text, pattern, i + 1) for i in range(_groups(pattern))][::-1]
-    with_digit = first_of([(g.rlike("[0-9]"), g) for g in groups], None)
-    without = first_of([(~g.rlike("[0-9]") & (F.trim(g) != ""), F.trim(g)) for g in groups], metric.unit)
-    usable = F.replace(with_digit, F.lit(","), F.lit("")).try_cast("double").isNotNull()
-    return F.when(usable, F.struct(F.lit(metric.predicate).alias("predicate"), F.lit(metric.kind).alias("predicate_type"), F.lit(metric.unit).alias("default_unit"), with_digit.alias("number"), without.alias("unit")))
+    """Struct (number, unit) if the pattern matches with a number: the last group with a digit, the last without.
+
+    One replacement of the whole text by the first match's groups gives all of them; without a match the text stays.
+    """
+    n = _groups(pattern)
+    every = F.split(F.regexp_replace(text, f"(?s)^.*?(?:{pattern}).*$", _PART.join(f"${i + 1}" for i in range(n)) + _PART), _PART)
+
+    def chosen(groups: Column) -> Column:
+        has_digit = lambda g: g.rlike("[0-9]")
+        number = F.element_at(F.filter(F.slice(groups, 1, n), has_digit), -1)
+        units = F.filter(F.slice(groups, 1, n), lambda g: ~has_digit(g) & (F.trim(g) != ""))
+        unit_ = F.when(F.size(units) > 0, F.trim(F.element_at(units, -1))).otherwise(metric.unit)
+        made = F.struct(F.lit(metric.predicate).alias("predicate"), F.lit(metric.kind).alias("predicate_type"), F.lit(metric.unit).alias("default_unit"), number.alias("number"), unit_.alias("unit"))
+        found = (F.size(groups) > n) & F.exists(F.slice(groups, 1, n), has_digit)
+        return F.when(found, F.when(F.replace(number, F.lit(","), F.lit("")).try_cast("double").isNotNull(), made))
+
+    return F.when(_has(text, *metric.names), F.get(F.transform(F.array(every), chosen), F.lit(0)))
 
 
 def extracted(atoms: DataFrame) -> DataFrame:
     """atoms(id, document_id, page_number, exact_text, page_text) -> a row per metric that the atom states."""
-    rows = atoms.withColumn("__t", F.lower(inline(F.col("exact_text"))))
+    rows = atoms.withColumn("__t", F.lower(inline(F.translate("exact_text", _PART, "\u0002")))).filter(F.col("__t").rlike("[0-9]"))
     found = F.array_compact(F.array(*[F.coalesce(*[_hit(m, p, F.col("__t")) for p in m.patterns]) for m in METRICS]))
     rows = rows.withColumn("hit", F.explode(found)).drop("__t")
     macro = F.col("hit.predicate_type") == M_
@@ -176,23 +206,76 @@ def _plain(value: Column) -> Column:
 
 
 def grounded(facts: DataFrame) -> DataFrame:
-    """facts with ``grounded``; those whose value isn't in their evidence stay, with low confidence."""
+    """facts with ``grounded``; those whose value isn't in their evidence stay, with low confidence. No value is in any text."""
     tokens = F.filter(F.split(inline(F.regexp_replace("value_raw", "[,₹%]", "")), " "), lambda x: x != "")
     text, bare = F.col("evidence_text"), F.replace("evidence_text", F.lit(","), F.lit(""))
-    ok = F.exists(tokens, lambda x: text.contains(x) | bare.contains(x)) | F.coalesce(text.contains(_plain(F.col("value_stated"))), F.lit(False))
+    ok = F.coalesce(F.exists(tokens, lambda x: text.contains(x) | bare.contains(x)), F.lit(False)) | F.coalesce(text.contains(_plain(F.col("value_stated"))), F.lit(True))
     rows = facts.withColumn("grounded", ok)
     return rows.withColumn("confidence_overall", F.when(F.col("grounded"), F.col("confidence_overall")).otherwise(0.4)).withColumn("confidence_level", F.when(F.col("grounded"), F.col("confidence_level")).otherwise("LOW"))
 
 
+def issue_rows(rows: DataFrame, kind: str, status: str, description: Column, affected: Column | None = None, attempted: str | None = None) -> DataFrame:
+    """Rows of the table of issues, with an id that follows from what they say."""
+    made = rows.select(
+        F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), F.lit(kind).alias("issue_type"), description.alias("description"),
+        (F.lit(None).cast("string") if affected is None else affected).alias("affected_text"), F.lit(attempted).cast("string").alias("attempted_resolution"), F.lit(status).alias("status"),
+    )
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("document_id", "page_number", "issue_type", "description", "affected_text")]
+    return made.select(F.sha2(F.concat_ws("|", *key), 256).alias("id"), *made.columns)
+
+
 def grounding_issues(facts: DataFrame) -> DataFrame:
     """An issue for every fact that isn't grounded."""
-    return facts.filter(~F.col("grounded")).select("document_id", "page_number", F.lit("CONFLICTING_EVIDENCE").alias("issue_type"), F.substring("evidence_text", 1, 200).alias("affected_text"), F.lit("RESOLVED").alias("status"))
+    said = F.concat(F.lit("value '"), F.col("value_raw"), F.lit("' is not in evidence "), F.col("evidence_id"))
+    return issue_rows(facts.filter(~F.col("grounded")), "CONFLICTING_EVIDENCE", "DETECTED", said, F.substring("evidence_text", 1, 200), "kept with low confidence")
 
 
 def without_evidence(facts: DataFrame, atoms: DataFrame) -> DataFrame:
     """Issues for facts that name no atom of their page; such facts are dropped by the semi-join of ``with_evidence``."""
     missing = facts.join(atoms.select(F.col("id").alias("evidence_id"), "document_id", "page_number"), ["evidence_id", "document_id", "page_number"], "left_anti")
-    return missing.select("document_id", "page_number", F.lit("MISSING_CONTEXT").alias("issue_type"), F.lit("RESOLVED").alias("status"), "evidence_id")
+    said = F.concat(F.lit("fact for "), F.coalesce("predicate", F.lit("?")), F.lit(" names evidence "), F.coalesce("evidence_id", F.lit("?")), F.lit(", which its page doesn't have"))
+    return issue_rows(missing, "MISSING_CONTEXT", "RESOLVED", said, None, "dropped")
+
+
+FACT = "evidence_id string, predicate string, predicate_type string, subject_raw string, value_raw string, value_stated double, unit_raw string, value_type string, time_raw string, scope string, measurement_basis string, polarity string"
+
+
+def extracted_by(atoms: DataFrame, provider: Callable[[str, int, list[dict]], list[dict]], most_atoms: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(facts, issues) by a provider of facts in place of the rules: provider(page text, page number, its first atoms).
+
+    A page is a group, so what a worker holds is bounded by a page. A provider that fails leaves an issue and no facts
+    of that page; facts that name no atom of their page are to be dropped by ``with_evidence``.
+    """
+    columns = [c.split()[0] for c in FACT.split(", ")]
+    kind = atoms.schema["document_id"].dataType.simpleString()
+    first = Window.partitionBy("document_id", "page_number").orderBy("id")
+    pages = atoms.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= most_atoms)
+    pages = pages.groupBy("document_id", "page_number").agg(F.first("page_text").alias("page_text"), F.sort_array(F.collect_list(F.struct("id", "exact_text"))).alias("atoms"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for d, n, text, evidence in zip(batch["document_id"], batch["page_number"], batch["page_text"], batch["atoms"], strict=True):
+                try:
+                    made = [{"error": None, **f} for f in provider(text, int(n), [{"id": x["id"], "text": x["exact_text"]} for x in evidence])]
+                except Exception as error:  # noqa: BLE001 - becomes an issue row
+                    made = [{"error": str(error) or type(error).__name__}]
+                out += [{"document_id": d, "page_number": n, **f} for f in made]
+            yield pd.DataFrame(out, columns=["document_id", "page_number", *columns, "error"])
+
+    rows = pages.mapInPandas(run, f"document_id {kind}, page_number int, {FACT}, error string")
+    texts = atoms.select("document_id", "page_number", F.col("id").alias("evidence_id"), F.col("exact_text").alias("evidence_text"))
+    facts = rows.filter("error is null").drop("error").join(texts, ["document_id", "page_number", "evidence_id"], "left")
+    constants = {"geography": "India", "confidence_extraction": 0.98, "confidence_normalization": 0.95, "confidence_overall": 0.96, "confidence_level": "HIGH"}
+    facts = facts.withColumns({k: F.lit(v) for k, v in constants.items()})
+    return facts, provider_issues(rows)
+
+
+def provider_issues(rows: DataFrame) -> DataFrame:
+    said = F.concat(F.lit("facts of page "), F.col("page_number").cast("string"), F.lit(" failed: "), F.col("error"))
+    return issue_rows(rows.filter("error is not null"), "LLM_EXTRACTION_FAILURE", "DETECTED", said, None, "page skipped")
 
 
 def with_evidence(facts: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -333,9 +333,9 @@ def paragraph_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.paragraph_atoms(_line_pages(spark, sf_dir)).select("document_id", "block_no", F.col("section_heading").alias("heading"), F.sha2("exact_text", 256).alias("text_hash"), "char_start")
 
 
-@query(_LINES + ", n AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY block_no) AS t FROM h) SELECT CAST(doc_id AS VARCHAR) AS document_id, block_no::INT AS block_no, s || ' ' || chr(10) || ' ' || t AS exact_text FROM n WHERE t IS NOT NULL AND length(s) > 1 AND length(t) > 1 AND ((regexp_matches(s, '[0-9]') AND length(s) < 40) OR (regexp_matches(t, '[0-9]') AND length(t) < 40))")
+@query(_LINES + ", n AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY block_no) AS t FROM h) SELECT CAST(doc_id AS VARCHAR) AS document_id, block_no::INT AS block_no, s || chr(10) || t AS exact_text, CASE WHEN instr(text, s) > 0 THEN (instr(text, s) - 1)::INT END AS char_start FROM n WHERE t IS NOT NULL AND length(s) > 1 AND length(t) > 1 AND ((regexp_matches(s, '[0-9]') AND length(s) < 40) OR (regexp_matches(t, '[0-9]') AND length(t) < 40))")
 def compound_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.card_atoms(_line_pages(spark, sf_dir)).select("document_id", "block_no", "exact_text")
+    return A.card_atoms(_line_pages(spark, sf_dir)).select("document_id", "block_no", "exact_text", "char_start")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS document_id, 'OCR_FAILURE' AS issue_type, substr(text, 1, 200) AS affected_text FROM documents WHERE length(trim(text)) < 30 AND text <> ''")

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+import regex
 
 import __spark_entry__ as library
 from tesserae.operators.extract import M_, METRICS, _groups
@@ -36,7 +37,7 @@ def atoms(text):
     lines = [x.strip() for x in text.split("\n")]
     yield from (x for x in lines if not heading(x) and len(x) >= 3)
     short = lambda x: re.search("[0-9]", x) and len(x) < 40
-    yield from (f"{x} \n {y}" for x, y in zip(lines, lines[1:], strict=False) if len(x) > 1 and len(y) > 1 and (short(x) or short(y)))
+    yield from (f"{x}\n{y}" for x, y in zip(lines, lines[1:], strict=False) if len(x) > 1 and len(y) > 1 and (short(x) or short(y)))
 
 
 def hits(atom, page):
@@ -45,7 +46,7 @@ def hits(atom, page):
     subject = "Spoton Logistics" if "spoton" in low else "Delhivery Limited" if "delhivery" in low else "Republic of India" if "economic survey" in low else "Delhivery Limited"
     for metric in METRICS:
         for pattern in metric.patterns:
-            m = re.search(pattern, text, re.A)
+            m = regex.search(pattern, text)
             groups = [g or "" for g in m.groups()][::-1] if m else []
             assert not m or len(groups) == _groups(pattern)
             number = next((g for g in groups if re.search("[0-9]", g)), None)
@@ -72,9 +73,9 @@ def test_table_rows_of_all_documents(spark, tables):
     for d, text in rows:
         head, *body = [x.split(",") for x in (text or "").split("\n")]
         for i, cells in enumerate(body):
-            label = lambda j: (head[j].strip() if j < len(head) else "") or f"Col_{j}"  # noqa: E731, B023
+            label = lambda j: head[j].strip() if j < len(head) else f"Col_{j}"  # noqa: E731, B023
             shown = " | ".join(f"{label(j)}: {c.strip()}" for j, c in enumerate(cells) if c.strip())
             if len(shown) >= 10:
-                want.append((str(d), i, shown))
+                want.append((str(d), i, shown, (at if (at := text.find(cells[0].strip())) >= 0 else None) if cells[0] else None))
     got = library.queries()["table_row_documents"](spark, folder).collect()
-    assert sorted((r["document_id"], r["row_index"], r["exact_text"]) for r in got) == sorted(want) and len(want) > 100
+    assert sorted((r["document_id"], r["row_index"], r["exact_text"], r["char_start"]) for r in got) == sorted(want) and len(want) > 100
