@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_title, is_upper, strip, text_hash
+from .extract import issue_rows
 
 SCANNED_CHARS, MIN_ROW, MIN_ATOM, CARD_CHARS, HEADING_CHARS, MARGIN = 30, 10, 3, 40, 90, 5
 
@@ -23,10 +24,17 @@ def is_heading(text: Column) -> Column:
     return (F.length(s) < HEADING_CHARS) & (s != "") & ~s.contains("\n") & (is_upper(s) | (is_title(s) & ~s.endswith(".")))
 
 
+def with_ocr_text(pages: DataFrame) -> DataFrame:
+    """pages(..., ocr_text): text by OCR takes the place of a scanned page's text if it is longer than that limit."""
+    better = is_scanned(F.col("raw_text"), F.col("n_images")) & (F.length(strip(F.coalesce("ocr_text", F.lit("")))) > SCANNED_CHARS)
+    return pages.withColumn("raw_text", F.when(better, F.col("ocr_text")).otherwise(F.col("raw_text"))).withColumn("n_images", F.when(better, 0).otherwise(F.col("n_images")))
+
+
 def scanned_page_issues(pages: DataFrame) -> DataFrame:
     scanned = pages.filter(is_scanned(F.col("raw_text"), F.col("n_images")))
-    text = F.col("raw_text")
-    return scanned.select("document_id", "page_number", F.lit("OCR_FAILURE").alias("issue_type"), F.lit("UNRESOLVED").alias("status"), F.when(text != "", F.substring(text, 1, 200)).alias("affected_text"))
+    text = strip(F.coalesce("raw_text", F.lit("")))
+    said = F.format_string("page %s is scanned, with %s characters of text", F.col("page_number").cast("string"), F.length(text).cast("string"))
+    return issue_rows(scanned, "OCR_FAILURE", "UNRESOLVED", said, F.when(text != "", F.substring(text, 1, 200)), "page kept for inspection")
 
 
 def position(page_text: Column, text: Column) -> Column:

@@ -295,5 +295,6 @@ def normalized(facts: DataFrame) -> DataFrame:
         }
     )
     print_ = fingerprint(F.col("subject_canonical"), F.col("predicate_canonical"), F.col("scope"), F.col("time_start"), F.col("time_end"), F.col("unit_canonical"), F.col("measurement_basis"))
-    identity = F.sha2(F.concat_ws("|", "document_id", "subject_canonical", "predicate", "value_raw", F.coalesce("time_raw", F.lit("")), "scope", "measurement_basis"), 256)
+    named = ["evidence_id"] if "evidence_id" in facts.columns else []
+    identity = F.sha2(F.concat_ws("|", "document_id", *named, "subject_canonical", "predicate", "value_raw", F.coalesce("time_raw", F.lit("")), "scope", "measurement_basis"), 256)
     return rows.withColumn("fingerprint", print_).withColumn("id", identity).drop("__e", "__n", "__p")

@@ -13,7 +13,7 @@ from ..operators import atoms as A
 from ..operators import extract as X
 from ..operators import resolve as R
 from . import api, store
-from .fixtures import FACTS_SQL, facts, table
+from .fixtures import FACTS_SQL, facts, line_pages, report_facts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,7 +138,7 @@ def normalize_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(facts(spark, sf_dir))
 
 
-@query(over_facts("SELECT id, sha256(lower(subject_canonical || '|' || predicate_canonical || '|' || scope || '|' || time_start || '|' || time_end || '|' || unit_canonical || '|' || measurement_basis)) AS fingerprint FROM keyed"))
+@query(over_facts("SELECT id, sha256(lower(subject_canonical || '|' || predicate_canonical || '|' || scope || '|' || coalesce(time_start::VARCHAR, 'none') || '|' || coalesce(time_end::VARCHAR, 'none') || '|' || unit_canonical || '|' || measurement_basis)) AS fingerprint FROM keyed"))
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("id", "fingerprint")
 
@@ -159,7 +159,8 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _METRICS = """, n AS (SELECT count(*) AS total_facts, count(DISTINCT block) AS blocks FROM keyed), c AS (SELECT count(*) AS candidate_pairs FROM pairs),
-x AS (SELECT count(*) AS cross_document_pairs FROM keyed a JOIN keyed b ON a.document_id <> b.document_id AND a.id < b.id)
+w AS (SELECT sum(m * (m - 1) // 2) AS within FROM (SELECT count(*) AS m FROM keyed GROUP BY document_id)),
+x AS (SELECT CAST(total_facts * (total_facts - 1) // 2 - within AS BIGINT) AS cross_document_pairs FROM n, w)
 SELECT total_facts, blocks, total_facts * (total_facts - 1) // 2 AS naive_comparisons, cross_document_pairs, candidate_pairs,
        round((total_facts * (total_facts - 1) // 2 - candidate_pairs) * 100.0::DOUBLE / (total_facts * (total_facts - 1) // 2), 2) AS reduction_percent,
        round((total_facts * (total_facts - 1) // 2) / greatest(candidate_pairs, 1)::DOUBLE, 2) AS efficiency_multiplier FROM n, c, x"""
@@ -174,20 +175,32 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.compared(R.candidate_pairs(facts(spark, sf_dir))).withColumns({"a_id": F.col("a.id"), "b_id": F.col("b.id")})
 
 
-@query(over_facts("SELECT a_id, b_id, value_match, round(delta, 4) AS value_delta_abs, round(pct, 4) AS value_delta_pct, ua = ub AS unit_match FROM compared"))
+@query(over_facts("SELECT a_id, b_id, value_match, round(delta, 4) AS value_delta_abs, round(pct, 4) AS value_delta_pct, unit_match FROM compared"))
 def compare_value_and_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("a_id", "b_id", "dimensions.value_match", "dimensions.value_delta_abs", "dimensions.value_delta_pct", "dimensions.unit_match")
 
 
-@query(over_facts("SELECT a_id, b_id, temporal_match, CASE WHEN temporal_match THEN 'SAME_PERIOD' ELSE 'DIFFERENT_PERIOD' END AS temporal_relation, scope_match, scope_relation, basis_match, basis_relation, true AS polarity_match FROM compared"))
+@query(over_facts("SELECT a_id, b_id, temporal_match, temporal_relation, scope_match, scope_relation, basis_match, basis_relation, polarity_match FROM decided"))
 def compare_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = "dimensions."
     return _compared(spark, sf_dir).select("a_id", "b_id", d + "temporal_match", d + "temporal_relation", d + "scope_match", d + "scope_relation", d + "basis_match", d + "basis_relation", d + "polarity_match")
 
 
-@query(over_facts("SELECT a_id, b_id, (NOT value_match)::INT + (NOT temporal_match)::INT + (NOT scope_match)::INT + (NOT basis_match)::INT AS messages FROM compared"))
+@query(over_facts("SELECT 'temporal' AS dimension, temporal_relation AS relation, count(*) AS n FROM decided GROUP BY ALL UNION ALL SELECT 'scope', scope_relation, count(*) FROM decided GROUP BY ALL UNION ALL SELECT 'basis', basis_relation, count(*) FROM decided GROUP BY ALL"))
+def relations_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("dimensions")
+    pairs = F.array(*[F.struct(F.lit(name).alias("dimension"), d[f"{name}_relation"].alias("relation")) for name in ("temporal", "scope", "basis")])
+    return _compared(spark, sf_dir).select(F.inline(pairs)).groupBy("dimension", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MESSAGES = """SELECT a_id, b_id, concat_ws('; ', CASE WHEN NOT value_match THEN 'value: ' || chr(39) || a_raw || chr(39) || ' vs ' || chr(39) || b_raw || chr(39) END, CASE WHEN NOT unit_match THEN 'unit: ' || chr(39) || a_unit || chr(39) || ' vs ' || chr(39) || b_unit || chr(39) END,
+ CASE temporal_relation WHEN 'SUB_PERIOD' THEN 'period within period: ' || coalesce(a_time, 'None') || ' vs ' || coalesce(b_time, 'None') WHEN 'DIFFERENT_PERIOD' THEN 'other period: ' || coalesce(a_time, 'None') || ' vs ' || coalesce(b_time, 'None') END,
+ CASE WHEN NOT scope_match THEN 'scope: ' || lower(a_scope) || ' vs ' || lower(b_scope) END, CASE WHEN NOT basis_match THEN 'basis: ' || a_basis || ' vs ' || b_basis END, CASE WHEN NOT polarity_match THEN 'polarity: ' || a_polarity || ' vs ' || b_polarity END) AS messages FROM decided"""
+
+
+@query(over_facts(_MESSAGES))
 def important_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir).select("a_id", "b_id", F.size("important_differences").alias("messages"))
+    return _compared(spark, sf_dir).select("a_id", "b_id", F.concat_ws("; ", "important_differences").alias("messages"))
 
 
 _CONFIDENCE = "CASE relationship_type WHEN 'SCOPE_DIFFERENCE' THEN 0.92 WHEN 'TEMPORALLY_EVOLVES' THEN 0.9 WHEN 'UNIT_EQUIVALENT' THEN 0.98 WHEN 'CORROBORATES' THEN 0.96 WHEN 'RECONCILES' THEN 0.93 WHEN 'CONTRADICTS' THEN 0.95 ELSE 0.5 END::DOUBLE"
@@ -209,10 +222,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.counts(R.relationships(facts(spark, sf_dir)), "relationship_type")
 
 
-@query(over_facts("SELECT a_id AS fact_a_id, CASE relationship_type WHEN 'RECONCILES' THEN 'reconciled by context' WHEN 'CONTRADICTS' THEN 'contradiction' WHEN 'UNIT_EQUIVALENT' THEN 'same figure' WHEN 'TEMPORALLY_EVOLVES' THEN 'evolves' WHEN 'SCOPE_DIFFERENCE' THEN 'covers' WHEN 'CORROBORATES' THEN 'corroborate' ELSE 'clarification' END AS says, count(*) AS n FROM decided GROUP BY ALL"))
+_WHEN = "coalesce({0}_time, 'unspecified period')"
+_SAID = "{0}_doc || ' states ' || {0}_raw"
+_SAME = _WHEN.format("a") + " || ' (' || a_scope || ', ' || a_basis || '): ' || " + _SAID.format("a") + " || '; ' || " + _SAID.format("b")
+_EXPLAINED = f"""subject || ' / ' || predicate || ': ' || CASE relationship_type
+ WHEN 'CORROBORATES' THEN 'the sources corroborate each other for ' || {_SAME} WHEN 'CONTRADICTS' THEN 'contradiction for ' || {_SAME}
+ WHEN 'UNIT_EQUIVALENT' THEN a_raw || ' and ' || b_raw || ' are the same figure in other units, ' || format('{{:,.2f}}', a_value)
+ WHEN 'RECONCILES' THEN 'reconciled by context, ' || a_raw || ' on ' || a_basis || ' and ' || b_raw || ' on ' || b_basis
+ WHEN 'TEMPORALLY_EVOLVES' THEN 'evolves from ' || a_raw || ' in ' || {_WHEN.format("a")} || ' to ' || b_raw || ' in ' || {_WHEN.format("b")}
+ WHEN 'SCOPE_DIFFERENCE' THEN a_raw || ' covers ' || a_scope || ', ' || b_raw || ' covers ' || b_scope ELSE a_raw || ' and ' || b_raw || ' need clarification' END"""
+
+
+@query(over_facts(f"SELECT a_id AS fact_a_id, b_id AS fact_b_id, {_EXPLAINED} AS explanation FROM decided"))
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    says = F.regexp_extract("explanation", "reconciled by context|contradiction|same figure|evolves|covers|corroborate|clarification", 0)
-    return R.relationships(facts(spark, sf_dir)).groupBy("fact_a_id", says.alias("says")).agg(F.count(F.lit(1)).alias("n"))
+    return R.relationships(facts(spark, sf_dir)).select("fact_a_id", "fact_b_id", "explanation")
 
 
 @query(over_facts("SELECT a_id AS fact_a_id, b_id AS fact_b_id FROM decided WHERE relationship_type <> 'RECONCILES'"))
@@ -241,10 +264,10 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("document_id").alias("id")).distinct().withColumn("filename", F.concat("id", F.lit(".pdf")))
 
 
-@query(over_facts("SELECT id, document_id || '.pdf' AS filename, time_raw AS period, 'India' AS geography FROM keyed"))
+@query(over_facts("SELECT id, document_id || '.pdf' AS filename, coalesce(time_raw, '') AS period, coalesce(time_type, 'unspecified') AS time_type, scope, measurement_basis, 'India' AS geography FROM keyed"))
 def facts_enriched_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir)
-    return api.enriched(f, _documents(f)).select("id", "filename", F.col("context.raw").alias("period"), F.col("context.geography").alias("geography"))
+    return api.enriched(f, _documents(f)).select("id", "filename", F.col("context.raw").alias("period"), F.col("context.type").alias("time_type"), "context.scope", "context.measurement_basis", F.col("context.geography").alias("geography"))
 
 
 @query(over_facts("SELECT a_doc, b_doc, relationship_type, count(*) AS n FROM decided GROUP BY ALL"))
@@ -273,13 +296,81 @@ def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.document_counts(_documents(f), f, f.filter("value_normalized is null")).select("id", "fact_count", "issue_count")
 
 
-@query(over_facts(_METRICS.replace("SELECT total_facts, blocks,", "SELECT (SELECT count(DISTINCT document_id) FROM keyed) AS documents, total_facts AS facts, (SELECT count(*) FROM decided) AS relationships, 0 AS issues, blocks,")))
+def _overview_sql() -> str:
+    counts = "(SELECT count(DISTINCT document_id) FROM keyed) AS documents, (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM documents WHERE text <> '') AS atoms, total_facts AS facts, (SELECT count(*) FROM decided) AS relationships, 0 AS issues, blocks,"
+    return over_facts(_METRICS.replace("SELECT total_facts, blocks,", "SELECT " + counts))
+
+
+@query(_overview_sql())
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir)
-    out = api.overview(f, R.relationships(f), _documents(f), f.filter("value_normalized is null"))
+    f, pages = facts(spark, sf_dir), table(spark, sf_dir, "documents")
+    out = api.overview(_documents(f), pages, pages.filter("text != ''"), f, R.relationships(f), f.filter("value_normalized is null"))
     return out.withColumn("issues", F.col("issues").cast("int"))
 
 
+@query(over_facts("SELECT 'confidence' AS what, 'HIGH' AS value, count(*) AS n FROM keyed GROUP BY ALL UNION ALL SELECT 'relationship', relationship_type, count(*) FROM decided GROUP BY ALL UNION ALL SELECT 'issue', event_type, count(*) FROM events GROUP BY ALL"))
+def overview_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir)
+    return api.overview_breakdowns(f, R.relationships(f), table(spark, sf_dir, "events").withColumnRenamed("event_type", "issue_type"))
+
+
+@query(over_facts("SELECT count(*) AS total_candidates_evaluated, count(*) AS total_relationships_stored, " + ", ".join(f"count_if(relationship_type = '{t}') AS {t}" for t in ("CORROBORATES", "CONTRADICTS", "RECONCILES", "TEMPORALLY_EVOLVES", "SCOPE_DIFFERENCE", "UNIT_EQUIVALENT", "UNCERTAIN")) + " FROM decided"))
+def resolution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir)
+    return api.resolution_summary(f, R.relationships(f)).select("total_candidates_evaluated", "total_relationships_stored", "breakdown.*")
+
+
+@query(over_facts("SELECT tab, n FROM (SELECT count(*) AS \"ALL\", " + ", ".join(f"count_if(relationship_type = '{t}') AS {t}" for t in ("CONTRADICTS", "RECONCILES", "NONE")) + " FROM decided) UNPIVOT (n FOR tab IN (\"ALL\", CONTRADICTS, RECONCILES, NONE))"))
+def tab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.tab_counts(R.relationships(facts(spark, sf_dir)), "relationship_type", ("CONTRADICTS", "RECONCILES", "NONE"))
+
+
+_SEARCHED = "lower(subject_canonical || chr(0) || predicate_canonical || chr(0) || value_raw || chr(0) || evidence_text)"
+
+
+@query(over_facts(f"SELECT id FROM keyed WHERE predicate_type = 'financial_metric' AND (contains({_SEARCHED}, '81') OR contains(CAST(CAST(value_normalized AS DECIMAL(38,0)) AS VARCHAR), '81'))"))
+def console_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.console_filter(facts(spark, sf_dir), predicate_type="financial_metric", confidence="HIGH", search="81").select("id")
+
+
+@query(over_facts("SELECT id FROM keyed WHERE subject_canonical = 'Spoton Logistics' AND contains(lower(evidence_text), 'spoton r')"))
+def console_search_in_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.console_filter(facts(spark, sf_dir), subject="Spoton Logistics", search="SPOTON R").select("id")
+
+
+@query(over_facts(", r AS (SELECT sha256(a_id || '|' || b_id) AS id, relationship_type FROM decided) SELECT 'first' AS how, min(id) AS id FROM r WHERE relationship_type = 'RECONCILES' UNION ALL SELECT 'named', min(id) FROM r"))
+def relationship_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.relationships(facts(spark, sf_dir)).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    named = api.chosen(rows, rows.agg(F.min("id")).first()[0], tab="RECONCILES")
+    return api.chosen(rows, "none", tab="RECONCILES").select(F.lit("first").alias("how"), "id").unionByName(named.select(F.lit("named").alias("how"), "id"))
+
+
+@query(over_facts(", r AS (SELECT sha256(a_id || '|' || b_id) AS id, * FROM decided WHERE relationship_type = 'CONTRADICTS' ORDER BY 1 LIMIT 20 OFFSET 5) SELECT id, a_raw, b_raw, a_doc, b_doc FROM r"))
+def relationships_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir)
+    rows = R.relationships(f).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    out = api.list_relationships(rows, f, limit=20, offset=5, kind="contradicts")
+    return out.select("id", F.col("fact_a.value_raw").alias("a_raw"), F.col("fact_b.value_raw").alias("b_raw"), F.col("fact_a.document_id").alias("a_doc"), F.col("fact_b.document_id").alias("b_doc"))
+
+
+@query(over_facts("SELECT sha256(a_id || '|' || b_id) AS id FROM decided WHERE relationship_type IN ('CORROBORATES', 'UNIT_EQUIVALENT')"))
+def corroborations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir)
+    return api.relationship_filter(R.relationships(f), f, types=("CORROBORATES", "UNIT_EQUIVALENT"), least_confidence=0.85).select("id")
+
+
+@query(over_facts("SELECT id FROM keyed WHERE predicate_type = 'operational_metric' AND document_id IN ('report_3', 'report_4')"))
+def facts_by_type_and_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.fact_filter(facts(spark, sf_dir), predicate_type="operational_metric", document_ids=("report_3", "report_4")).select("id")
+
+
+@query(over_facts("SELECT document_id, page_number, subject_canonical, predicate_canonical, predicate_type, value_raw, value_normalized, unit_raw, unit_canonical, time_type, time_raw, scope, measurement_basis, polarity, evidence_text, true AS grounded FROM keyed WHERE page_number IS NOT NULL"))
+def facts_from_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to facts: pages, paragraphs, extraction, grounding and normalisation; all metrics, and lines that state none."""
+    rows = X.normalized(report_facts(spark, sf_dir))
+    return rows.select("document_id", "page_number", "subject_canonical", "predicate_canonical", "predicate_type", "value_raw", "value_normalized", "unit_raw", "unit_canonical", "time_type", "time_raw", "scope", "measurement_basis", "polarity", "evidence_text", "grounded")
+
+
 @query(over_facts("SELECT relationship_type, min(sha256(a_id || '|' || b_id)) AS id FROM decided GROUP BY ALL"))
 def sample_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.sample_per(R.relationships(facts(spark, sf_dir)), "relationship_type").select("relationship_type", "id")
@@ -296,7 +387,7 @@ def reprocess_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.without_facts(R.relationships(f), store.without_document(f, ["restated"])).select("fact_a_id", "fact_b_id")
 
 
-@query(over_facts("SELECT subject_canonical AS canonical_name, 'organization' AS entity_type FROM keyed WHERE subject_canonical NOT LIKE 'Nation_1%' GROUP BY ALL"))
+@query(over_facts("SELECT DISTINCT subject_canonical AS canonical_name, subject_type AS entity_type FROM keyed WHERE subject_canonical NOT LIKE 'Nation_1%'"))
 def entity_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facts(spark, sf_dir).select(F.col("subject_canonical").alias("canonical_name"), F.col("subject_type").alias("entity_type"), "created_at")
     return store.new_entities(found, found.filter("canonical_name like 'Nation_1%'")).select("canonical_name", "entity_type")
@@ -316,11 +407,7 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages whose blocks are their lines."""
-    docs = table(spark, sf_dir, "documents")
-    box = "struct<x0:double,y0:double,x1:double,y1:double,text:string>"
-    blocks = F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"), x.alias("text")).cast(box))
-    tables = F.array().cast("array<struct<bbox:array<double>,headers:array<string>,rows:array<array<string>>>>")
-    return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.col("text").alias("raw_text"), F.when(F.length("text") < 400, 1).otherwise(0).alias("n_images"), blocks.alias("blocks"), tables.alias("tables"))
+    return line_pages(table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), F.lit(1), "text")
 
 
 _LINES = """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_no FROM documents),
@@ -338,15 +425,37 @@ def compound_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.card_atoms(_line_pages(spark, sf_dir)).select("document_id", "block_no", "exact_text", "char_start")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, 'OCR_FAILURE' AS issue_type, substr(text, 1, 200) AS affected_text FROM documents WHERE length(trim(text)) < 30 AND text <> ''")
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, 'OCR_FAILURE' AS issue_type, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS affected_text FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) BETWEEN 1 AND 29")
 def scanned_pages_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.scanned_page_issues(_line_pages(spark, sf_dir)).filter("affected_text is not null").select("document_id", "issue_type", "affected_text")
 
 
-@query("SELECT source, count(*) AS pages, count_if(length(trim(text)) < 30) AS scanned, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
-def per_document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "documents")
-    return pages.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.length(F.trim("text")) < 30).alias("scanned"), F.sum(F.length("text")).alias("chars"))
+_ROLLUP = _LINES + """, p AS (SELECT doc_id, count_if(NOT is_heading AND length(s) >= 3) AS paragraphs FROM h GROUP BY ALL),
+n AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY block_no) AS t FROM h),
+c AS (SELECT doc_id, count_if(t IS NOT NULL AND length(s) > 1 AND length(t) > 1 AND ((regexp_matches(s, '[0-9]') AND length(s) < 40) OR (regexp_matches(t, '[0-9]') AND length(t) < 40))) AS cards FROM n GROUP BY ALL)
+SELECT CAST(d.doc_id AS VARCHAR) AS id, 1 AS pages, (length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) < 30)::INT AS scanned_pages, (paragraphs + cards)::BIGINT AS atoms, 0 AS table_atoms,
+       (length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) < 30)::INT AS issues FROM documents d JOIN p USING (doc_id) JOIN c USING (doc_id)"""
+
+
+@query(_ROLLUP)
+def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's pages, scanned pages, atoms, table atoms and issues, as a run over all documents leaves them."""
+    pages = _line_pages(spark, sf_dir)
+    scanned = pages.select("document_id", "page_number", A.is_scanned(F.col("raw_text"), F.col("n_images")).alias("is_scanned"))
+    return api.document_rollup(pages.select(F.col("document_id").alias("id")), scanned, A.atoms(pages), A.scanned_page_issues(pages))
+
+
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 25")
+def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages of each document by number: sources as documents, their texts as pages."""
+    pages = table(spark, sf_dir, "documents").select("source", F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"))
+    return api.first_pages(pages, 25).select("source", F.col("page_number").alias("doc_id"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, step, stage, status, progress_percentage, error_message FROM documents JOIN (VALUES (false, 0, 'INGESTION', 'PROCESSING', 10, NULL), (false, 1, 'INGESTION', 'PROCESSING', 40, NULL), (false, 2, 'INGESTION_COMPLETED', 'COMPLETED', 100, NULL), (false, 3, 'FACT_EXTRACTION', 'PROCESSING', 100, NULL), (false, 4, 'FACT_EXTRACTION_COMPLETED', 'COMPLETED', 100, NULL), (true, 0, 'INGESTION', 'PROCESSING', 10, NULL), (true, 1, 'INGESTION', 'FAILED', 10, 'no text')) AS s(failed, step, stage, status, progress_percentage, error_message) ON failed = (n_chars < 100)")
+def job_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("n_chars") < 100, "no text").alias("error"))
+    return store.job_events(docs)
 
 
 TABLE = [("₹", ["Metric", "FY24"], [["Revenue", "₹8,142 Cr"], ["", "6.4%"], ["Orders", ""], ["x", ""]])]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resolve import new_relationships
@@ -25,17 +25,23 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 
 
 def new_documents(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Of equal contents the first (by file name); contents already stored are dropped."""
-    first = Window.partitionBy("content_hash").orderBy("filename", "id")
-    out = incoming.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return out if stored is None else out.join(stored.select("content_hash"), "content_hash", "left_anti").select(*out.columns)
+    """Of equal contents the first (by file name, id and path); contents already stored are dropped. No content equals none.
 
+    Only hashes, names, ids and paths are shuffled, not contents, and equal hashes are reduced before.
+    """
+    names = [c for c in ("filename", "id", "storage_path") if c in incoming.columns]
+    first = incoming.filter("content_hash is not null").groupBy("content_hash").agg(F.min(F.struct(*names)).alias("first"))
+    if stored is not None:
+        first = first.join(stored.select("content_hash"), "content_hash", "left_anti")
+    kept = incoming.join(first.select("content_hash", "first.*"), ["content_hash", *names], "left_semi")
+    return kept.select(*incoming.columns).unionByName(incoming.filter("content_hash is null"))
 
-def new_entities(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """Entities not stored yet; the first writer's type and aliases win."""
-    first = Window.partitionBy("canonical_name").orderBy("created_at", "entity_type")
-    out = found.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return out.join(stored.select("canonical_name"), "canonical_name", "left_anti").select(*found.columns)
+
+def new_entities(found: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Entities not stored yet; the first writer's row wins, with all its columns."""
+    others = [c for c in found.columns if c != "canonical_name"]
+    first = found.groupBy("canonical_name").agg(F.min_by(F.struct(*others), F.struct("created_at", "entity_type")).alias("e")).select("canonical_name", "e.*")
+    return (first if stored is None else first.join(stored.select("canonical_name"), "canonical_name", "left_anti")).select(*found.columns)
 
 
 def without_document(table: DataFrame, document_ids: list[str]) -> DataFrame:
@@ -60,39 +66,70 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").agg(last.alias("j")).select("document_id", "j.stage", "j.status", "j.progress_percentage", F.col("j.created_at").alias("updated_at"))
 
 
+# States of a document's job, in order: stage, status, percentage.
+INGESTION = (("INGESTION", "PROCESSING", 10), ("INGESTION", "PROCESSING", 40), ("INGESTION_COMPLETED", "COMPLETED", 100))
+EXTRACTION = (("FACT_EXTRACTION", "PROCESSING", 100), ("FACT_EXTRACTION_COMPLETED", "COMPLETED", 100))
+FAILED = (("INGESTION", "PROCESSING", 10), ("INGESTION", "FAILED", 10))
+
+
+def job_events(documents: DataFrame) -> DataFrame:
+    """documents(document_id, error) -> the states that each one's job goes through, in order of ``step``."""
+    states = lambda rows: F.array(*[F.struct(F.lit(a).alias("stage"), F.lit(b).alias("status"), F.lit(c).alias("progress_percentage")) for a, b, c in rows])
+    path = F.when(F.col("error").isNotNull(), states(FAILED)).otherwise(states(INGESTION + EXTRACTION))
+    rows = documents.select("document_id", "error", F.posexplode(path).alias("step", "state"))
+    return rows.select("document_id", "step", "state.*", F.when(F.col("state.status") == "FAILED", F.col("error")).alias("error_message"))
+
+
 class Store:
-    """Parquet tables under one folder; a table is replaced by writing a new version and then its pointer."""
+    """Parquet tables under one folder.
+
+    Every write goes to a folder of its own, and only a line of the table's log makes it part of the table: a write
+    that failed is never seen. A replacement hides what was written before it. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}.current"
-
-    def _versions(self, name: str) -> list[str]:
+    def _log(self, name: str) -> list:
         try:
-            return [r["version"] for r in self.spark.read.schema("version string, at timestamp").json(self._pointer(name)).orderBy(F.desc("at")).limit(1).collect()]
+            return self.spark.read.schema("n int, replaces boolean, folder string").json(f"{self.path}/{name}.log").orderBy("n").collect()
         except Exception as error:  # noqa: BLE001
             if "PATH_NOT_FOUND" in str(error):
                 return []
             raise
 
+    def _folders(self, name: str) -> list[str]:
+        folders: list[str] = []
+        for line in self._log(name):
+            folders = [line["folder"]] if line["replaces"] else [*folders, line["folder"]]
+        return [f"{self.path}/{name}/{f}" for f in folders]
+
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self._log(name))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/{self._versions(name)[0]}")
+        if not (folders := self._folders(name)):
+            raise KeyError(name)
+        return self.spark.read.parquet(*folders)
+
+    def _write(self, name: str, rows: DataFrame, replaces: bool) -> None:
+        folder, n = uuid.uuid4().hex, len(self._log(name))
+        rows.write.parquet(f"{self.path}/{name}/{folder}")
+        line = self.spark.range(1).select(F.lit(n).alias("n"), F.lit(replaces).alias("replaces"), F.lit(folder).alias("folder"))
+        line.coalesce(1).write.mode("append").json(f"{self.path}/{name}.log")
 
     def replace(self, name: str, table: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        table.write.parquet(f"{self.path}/{name}/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(self._pointer(name))
+        self._write(name, table, True)
 
     def append(self, name: str, rows: DataFrame) -> None:
         if self.exists(name):
-            rows.select(*self.read(name).columns).write.mode("append").parquet(f"{self.path}/{name}/{self._versions(name)[0]}")
-        else:
-            self.replace(name, rows)
+            rows = rows.select(*self.read(name).columns)
+        self._write(name, rows, False)
+
+    def add_new(self, name: str, rows: DataFrame, key: str = "id") -> None:
+        """Append the rows whose key isn't stored yet, so that what is written again changes nothing."""
+        rows = rows.dropDuplicates([key])
+        self.append(name, rows.join(self.read(name).select(key), key, "left_anti") if self.exists(name) else rows)
 
     def upsert_relationships(self, found: DataFrame) -> None:
         if self.exists("relationships"):

@@ -8,17 +8,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.extract import issue_rows
+
 PAGE = "document_id string, page_number int, raw_text string, n_images int, blocks array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>, tables array<struct<bbox:array<double>,headers:array<string>,rows:array<array<string>>>>, error string"
 
 
 def uploads(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
-    """Every file under the folder: its content, and whether it is accepted."""
+    """Every file under the folder: its content, its hash as id, and why it is rejected, if it is."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     why = F.when(~F.lower("path").endswith(suffix), "not a " + suffix).when(F.col("length") == 0, "empty")
     return files.select("path", name.alias("filename"), F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("content_hash"), "content", why.alias("rejected"))
 
 
+def found_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
+    """Paths and sizes of the files below a folder that match the pattern, in order; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("file_size_bytes")).orderBy("path")
+
+
+def upload_issues(uploaded: DataFrame) -> DataFrame:
+    rows = uploaded.filter("rejected is not null").select(F.lit(None).cast("string").alias("document_id"), F.lit(None).cast("int").alias("page_number"), "path", "rejected")
+    return issue_rows(rows, "UPLOAD_REJECTED", "DETECTED", F.concat("path", F.lit(": "), "rejected"), None, "file skipped")
+
+
 def documents(accepted: DataFrame) -> DataFrame:
     rows = accepted.filter("rejected is null")
     return rows.select(F.col("content_hash").alias("id"), "filename", "content_hash", "file_size_bytes", F.col("path").alias("storage_path"), "content")
@@ -41,7 +54,15 @@ def pages(documents_: DataFrame, extract: Callable[[bytes], list[dict]]) -> Data
 
 
 def extraction_issues(pages_: DataFrame) -> DataFrame:
-    return pages_.filter("error is not null").select("document_id", F.lit("PDF_EXTRACTION_FAILURE").alias("issue_type"), F.col("error").alias("description"), F.lit("DETECTED").alias("status"))
+    return issue_rows(pages_.filter("error is not null"), "PDF_EXTRACTION_FAILURE", "DETECTED", F.col("error"), None, "raw text only")
+
+
+def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
+    """A table of a database, read in ranges of a whole-number key where one is given."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    if key:
+        reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.load()
 
 
 def pdf_extractor() -> Callable[[bytes], list[dict]]:

@@ -8,22 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import atoms as A
 from ..operators import extract as X
-from ..plans.store import Store
+from ..plans.store import Store, materialized
 
 
 def follow(pages: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """pages: a stream of page rows. Atoms already stored are skipped, so a batch that is run again changes nothing."""
+    """pages: a stream of page rows. What is stored already, by id, is skipped, so a batch that is run again changes nothing."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.dropDuplicates(["document_id", "page_number"]).persist()
+        rows = materialized(rows.dropDuplicates(["document_id", "page_number"]), "batch")
         found = A.atoms(rows)
-        if store.exists("atoms"):
-            found = found.join(store.read("atoms").select("id"), "id", "left_anti")
-        found = found.persist()
         texts = found.join(rows.select("document_id", "page_number", F.col("raw_text").alias("page_text")), ["document_id", "page_number"])
-        store.append("facts", X.normalized(X.grounded(X.extracted(texts))))
-        store.append("atoms", found)
-        found.unpersist()
-        rows.unpersist()
+        facts = materialized(X.grounded(X.extracted(texts)), "batch-facts")
+        store.add_new("atoms", found)
+        store.add_new("facts", X.normalized(facts))
+        store.add_new("issues", X.grounding_issues(facts).unionByName(A.scanned_page_issues(rows)))
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
