@@ -175,7 +175,11 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.compared(R.candidate_pairs(facts(spark, sf_dir))).withColumns({"a_id": F.col("a.id"), "b_id": F.col("b.id")})
 
 
-@query(over_facts("SELECT a_id, b_id, value_match, round(delta, 4) AS value_delta_abs, round(pct, 4) AS value_delta_pct, unit_match FROM compared"))
+#: Four decimals of the number as it is written: rounding a product of it by ten thousand would turn 13.64374999 into a tie.
+_FOUR = "round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 15)), 4)::DOUBLE"
+
+
+@query(over_facts(f"SELECT a_id, b_id, value_match, {_FOUR.format('delta')} AS value_delta_abs, {_FOUR.format('pct')} AS value_delta_pct, unit_match FROM compared"))
 def compare_value_and_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("a_id", "b_id", "dimensions.value_match", "dimensions.value_delta_abs", "dimensions.value_delta_pct", "dimensions.unit_match")
 
