@@ -96,13 +96,14 @@ class WordIds:
         same = all(bare.encode(w.translate(self.bytes_of), add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in proof)
         return bare if same else None
 
-    def _joined(self, words: list[str], by: str, cut: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], tokenizer: "Tokenizer") -> Iterator[tuple[str, bytes]]:  # noqa: F821
-        runs = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for run, e in zip(runs, tokenizer.encode_batch_fast([by.join(run) for run in runs], add_special_tokens=False), strict=True):
+    def _joined(self, words: list[str], by: str, cut: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], tokenizer: "Tokenizer") -> list[bytes]:  # noqa: F821
+        out: list[bytes] = []
+        for e in tokenizer.encode_batch_fast([by.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False):
             ids = np.array(e.ids, dtype="<u4")
             raw = ids.tobytes()
             begins, ends = cut(ids)
-            yield from zip(run, [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)], strict=True)
+            out += [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)]
+        return out
 
     def encoded(self, words: list[str]) -> dict[str, bytes]:
         def after_ends(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +118,12 @@ class WordIds:
         found = {}
         if plain:
             letters = [w.lower() if w.isascii() else w.translate(self.bytes_of) for w in plain]
-            ids = [i for _, i in self._joined(letters, " ", after_ends, self.merges)]
-            found = dict(zip(plain, ids, strict=True))
+            found = dict(zip(plain, self._joined(letters, " ", after_ends, self.merges), strict=True))
         rest = [w for w in words if w not in found]
         alone = [w for w in rest if BETWEEN in w] if len(self.between) == 1 else rest
         found |= {w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in alone}
-        found.update(self._joined([w for w in rest if w not in found], f" {BETWEEN} ", around_marks, self.tokenizer))
+        rest = [w for w in rest if w not in found] if alone else rest
+        found.update(zip(rest, self._joined(rest, f" {BETWEEN} ", around_marks, self.tokenizer), strict=True))
         return found
 
     def learn(self, words: list[str]) -> list[bytes]:
