@@ -324,4 +324,4 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
     removed = stash(found.filter("not kept").select(F.col("doc_id").alias("removed_id")).distinct(), "near-removed")
     drop(found)
     removed = broadcast_if_small(removed, 500_000)
-    return docs.join(removed, docs["doc_id"] == removed["removed_id"], "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(removed, docs["doc_id"] == removed["removed_id"], "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])

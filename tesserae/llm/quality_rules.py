@@ -128,7 +128,7 @@ def fails_base(s: Column) -> Column:
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs' columns as struct ``doc``, with the statistics, base_failed, rejected_by and kept."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), statistics(text_of("text")).alias("s"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), statistics(text_of("text")).alias("s"))
     rows = rows.select("doc", "s", fails_base(F.col("s")).alias("base_failed"), compiled(rules, F.col("s")).alias("rejected_by"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
