@@ -156,14 +156,27 @@ def explained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("explanation", text)
 
 
+#: What a comparison, a decision or an explanation reads of a fact; nothing else goes through the join.
+COMPARED = (
+    "id", "document_id", "subject_canonical", "predicate_canonical", "value_raw", "value_normalized", "unit_raw", "unit_canonical", "time_type", "time_start", "time_end", "time_raw", "scope", "measurement_basis", "polarity", "evidence_text",
+)
+
+
 def relationships(facts: DataFrame, mode: str = "as_shipped") -> DataFrame:
-    rows = explained(decided(compared(candidate_pairs(facts)), mode))
+    rows = explained(decided(compared(candidate_pairs(facts.select(*[c for c in COMPARED if c in facts.columns]))), mode))
     return rows.select(
         F.sha2(F.concat_ws("|", F.col("a.id"), F.col("b.id")), 256).alias("id"), F.col("a.id").alias("fact_a_id"), F.col("b.id").alias("fact_b_id"), F.col("decision.type").alias("relationship_type"),
         F.col("decision.confidence").alias("confidence"), "explanation", "dimensions", "important_differences", F.col("decision.reasoning_basis").alias("reasoning_basis"), F.col("decision.reconciliation_variable").alias("reconciliation_variable"),
     )
 
 
+def oversized_blocks(facts: DataFrame, most_pairs: int) -> DataFrame:
+    """Blocks with more candidate pairs than that, by algebra on group sizes. It warns of them; no pair is dropped."""
+    pairs = lambda n: F.expr(f"({n} * ({n} - 1)) div 2")
+    per = with_block(facts).groupBy("block", "document_id").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.sum("n").alias("n"), F.sum(pairs("n")).alias("within"))
+    return per.select("block", F.col("n").alias("facts"), (pairs("n") - F.col("within")).alias("candidate_pairs")).filter(F.col("candidate_pairs") > most_pairs)
+
+
 def new_relationships(stored: DataFrame, found: DataFrame) -> DataFrame:
     """Those found whose unordered pair isn't stored yet."""
     pair = lambda df: df.select(F.least("fact_a_id", "fact_b_id").alias("low"), F.greatest("fact_a_id", "fact_b_id").alias("high"))

@@ -153,6 +153,11 @@ def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.block_sizes(facts(spark, sf_dir))
 
 
+@query(over_facts("SELECT p.block, facts, candidate_pairs FROM (SELECT block, count(*) AS candidate_pairs FROM pairs GROUP BY ALL) p JOIN (SELECT block, count(*) AS facts FROM keyed GROUP BY ALL) k USING (block) WHERE candidate_pairs > 1000"))
+def oversized_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.oversized_blocks(facts(spark, sf_dir), 1000)
+
+
 @query(over_facts("SELECT block, a_id, b_id FROM pairs"))
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidate_pairs(facts(spark, sf_dir)).select("block", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
