@@ -41,9 +41,9 @@ INNER_PENALTY = 64
 INNER_STEP = 64
 TAIL_PENALTY = 8
 RUN = 1 << 18
-#: Words held by a worker: those of the current generation and the one before it, up to so many each.
+#: Words and marks held by a worker: those of the current generation and the one before it, up to so many each.
 CACHE = 100_000
-SLICE_CHARS = 8 << 20
+SLICE_CHARS = 4 << 20
 JOINED = 512
 MARKS = "!#$%&()*,-./:;=?@[]_{|}"
 #: Stands between words that are encoded together: no other word has its byte, and it is a pre-token and a token alone.
@@ -98,8 +98,8 @@ class WordIds:
 
     def _joined(self, words: list[str], by: str, cut: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], tokenizer: "Tokenizer") -> list[bytes]:  # noqa: F821
         out: list[bytes] = []
-        for e in tokenizer.encode_batch_fast([by.join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False):
-            ids = np.array(e.ids, dtype="<u4")
+        for i in range(0, len(words), JOINED):
+            ids = np.array(tokenizer.encode_batch_fast([by.join(words[i : i + JOINED])], add_special_tokens=False)[0].ids, dtype="<u4")
             raw = ids.tobytes()
             begins, ends = cut(ids)
             out += [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)]
@@ -126,48 +126,44 @@ class WordIds:
         found.update(zip(rest, self._joined(rest, f" {BETWEEN} ", around_marks, self.tokenizer), strict=True))
         return found
 
-    def learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words that aren't held; what stands before their marks may be."""
+    def of_parts(self, parts: list[str], repeated: list[bool]) -> list[bytes]:
+        """Ids of distinct parts of words. Parts that are learned are held if they are repeated, the others are rare."""
         recent, older = self.recent, self.older
-        cores, tails, known = [], [], {"": b""}
-        for w in words:
-            core = w.rstrip(MARKS)
-            last = core[-1:]
-            if last.isalnum() and last.isascii():
-                tail = w[len(core) :]
-                if core.isascii():
-                    core = core.lower()
-            else:
-                core, tail = w, ""
-            cores.append(core)
-            tails.append(tail)
-        new = []
-        for p in {*cores, *tails}:
-            ids = recent.get(p)
-            if ids is None and (ids := older.get(p)) is None:
-                new.append(p)
-            else:
-                known[p] = ids
-        known |= self.encoded([p for p in new if p])
-        return [known[core] + known[tail] if tail else known[core] for core, tail in zip(cores, tails, strict=True)]
-
-    def of_words(self, words: list[str], repeated: np.ndarray) -> list[bytes]:
-        """Ids of distinct words. Words that are learned are held if they are repeated, the others are rare."""
-        recent, older = self.recent, self.older
-        out = [recent.get(w) for w in words]
+        out = [recent.get(p) for p in parts]
+        missing = []
         for i in [i for i, ids in enumerate(out) if ids is None]:
-            if (ids := older.get(words[i])) is not None:
-                out[i] = recent[words[i]] = ids
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        learned = self.learn([words[i] for i in missing]) if missing else []
-        for i, ids, often in zip(missing, learned, repeated[missing].tolist(), strict=True):
-            out[i] = ids
-            if often:
-                recent[words[i]] = ids
+            if (ids := older.get(parts[i])) is not None:
+                out[i] = recent[parts[i]] = ids
+            else:
+                missing.append(i)
+        learned = self.encoded([p for i in missing if (p := parts[i])])
+        for i in missing:
+            out[i] = ids = learned.get(parts[i], b"")
+            if repeated[i]:
+                recent[parts[i]] = ids
         if len(recent) > CACHE:
             self.recent, self.older = {}, recent
         return out
 
+    def of_words(self, words: pa.StringArray, counts: np.ndarray) -> pa.Array:
+        """Ids of distinct words, which occur ``counts`` times. Words are cut before their marks, all of them at once."""
+        core = pc.ascii_rtrim(words, MARKS)
+        alone = pc.match_substring_regex(core, r"[0-9A-Za-z]\z")
+        core = pc.if_else(alone, core, words)
+        core = pc.if_else(pc.and_(alone, pc.string_is_ascii(core)), pc.ascii_lower(core), core)
+        # The marks are the bytes between a core's end and its word's.
+        begins = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        lengths = pc.binary_length(core).to_numpy()
+        marks = np.diff(begins) - lengths
+        ends = np.concatenate([[0], np.cumsum(marks)])
+        at = np.repeat(begins[:-1] + lengths - ends[:-1], marks) + np.arange(ends[-1])
+        data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[at]
+        tail = pa.StringArray.from_buffers(len(words), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        repeated = np.bincount(both.indices.to_numpy(), np.concatenate([counts, counts])) > 1
+        ids = pa.array(self.of_parts(both.dictionary.to_numpy(zero_copy_only=False).tolist(), repeated.tolist()), pa.binary())
+        return pc.binary_join_element_wise(ids.take(both.indices[: len(words)]), ids.take(both.indices[len(words) :]), pa.scalar(b"", pa.binary()))
+
     def streams(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text. Texts are taken in slices; the distinct words of a slice are looked up once."""
         lengths = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -177,8 +173,7 @@ class WordIds:
             to = max(at + 1, int(np.searchsorted(lengths, before + SLICE_CHARS, side="right")))
             split = pc.split_pattern(pc.replace_substring(texts[at:to], "\n", " "), " ")
             words = split.flatten().dictionary_encode()
-            repeated = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)) > 1
-            ids = pa.array(self.of_words(words.dictionary.to_pylist(), repeated), pa.binary())
+            ids = self.of_words(words.dictionary, np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)))
             taken = ids.cast(pa.large_binary()).take(words.indices)
             data = taken.buffers()[2]
             if len(taken):
