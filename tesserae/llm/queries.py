@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from . import fingerprints, mixing, near_dup, packing, pii, quality_model, quality_rules, secrets, tokencount, warc
 from .common import read
+from .oracles import ORACLES
+
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _tokenizer(name: str) -> str:
@@ -70,4 +74,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mix, op2_token_counts, op3_warc, op4_pack, op5_quality, op6_fingerprints, op7_near_duplicates, op8_personal_data, op9_quality_rules, op10_secrets, pipeline)
 }
-ORACLES: dict[str, str] = {}
