@@ -87,4 +87,44 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_i
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest USING (doc_id)
 """
 
-ORACLES = {"op3_warc": WARC, "op7_near_duplicates": NEAR_DUPLICATES, "op9_quality_rules": QUALITY_RULES}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)"
+
+
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    """Every round restated: distances over the components as rows, the nearest centroid, floors of means."""
+    at = lambda i: f"""a{i} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM parts v JOIN m{i} m ON m.i = v.i GROUP BY v.r, m.c) GROUP BY r
+)"""
+    move = lambda i: f"""m{i + 1} AS MATERIALIZED (
+  SELECT m.c, m.i, coalesce(x.x, m.x) AS x FROM m{i} m LEFT JOIN (
+    SELECT c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM a{i} JOIN parts USING (r) GROUP BY c, i
+  ) x ON x.c = m.c AND x.i = m.i
+)"""
+    steps = ", ".join(f"{at(i)}, {move(i)}" for i in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE} AND len(embedding) = 64
+), parts AS MATERIALIZED (
+  SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept
+), m0 AS MATERIALIZED (
+  SELECT c, i, x FROM (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k}) JOIN parts USING (r)
+), {steps}, {at(rounds)}, means AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c
+)
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN a{rounds} USING (r) JOIN means USING (c)
+"""
+
+
+TOP_K = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, {_WHOLE} AS v FROM embeddings WHERE {_FINITE}
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.v), len(x.v)) + 1), lambda i: q.v[i] * x.v[i])), 0)::BIGINT AS score
+  FROM kept q JOIN kept x ON x.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored QUALIFY rank <= 10
+"""
+
+ORACLES = {"op3_warc": WARC, "op7_near_duplicates": NEAR_DUPLICATES, "op9_quality_rules": QUALITY_RULES, "op12_clusters": _clusters(), "op13_top_k": TOP_K}
