@@ -127,4 +127,32 @@ WITH kept AS MATERIALIZED (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored QUALIFY rank <= 10
 """
 
-ORACLES = {"op3_warc": WARC, "op7_near_duplicates": NEAR_DUPLICATES, "op9_quality_rules": QUALITY_RULES, "op12_clusters": _clusters(), "op13_top_k": TOP_K}
+#: CRC-32 of the digits, bit by bit: DuckDB has no function for it.
+_BITS = "list_reduce(list_concat([x], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))"
+_CRC = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, d: {_BITS.replace('[x]', '[xor(c, d)]')}), 4294967295)"
+TRIE = f"""
+WITH turns AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(role), ':', role, ':', text))) - 1 AS place, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), whole AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 100 AS donor, ({_CRC}) % 6 AS h, list({{'role': role, 'text': text}} ORDER BY place) AS own FROM turns GROUP BY conv_id
+), rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(d.own[1 : c.h], []), c.own[c.h + 1 : ]) AS turns FROM whole c LEFT JOIN whole d ON d.conv_id = c.donor
+), entries AS MATERIALIZED (
+  SELECT conv_id, d AS depth, turns[1 : d] AS prefix, d = len(turns) AS is_last FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS MATERIALIZED (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_last), '')) AS ends_sha256,
+    CASE WHEN depth > 0 THEN (count(*) - 1) * length(prefix[depth].text) ELSE 0 END AS saved
+  FROM entries GROUP BY prefix, depth
+), children AS MATERIALIZED (
+  SELECT p.prefix, p.depth, count(*) AS n FROM nodes p JOIN nodes c ON c.depth = p.depth + 1 AND c.prefix[1 : p.depth] = p.prefix GROUP BY p.prefix, p.depth
+), below AS MATERIALIZED (
+  SELECT up AS depth, prefix[1 : up] AS prefix, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (NOT has) AS n_leaves
+  FROM (SELECT n.prefix, n.saved, c.n IS NOT NULL AS has, unnest(range(n.depth + 1)) AS up FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.depth = n.depth AND b.prefix = n.prefix LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]
+"""
+
+ORACLES = {"op3_warc": WARC, "op7_near_duplicates": NEAR_DUPLICATES, "op9_quality_rules": QUALITY_RULES, "op11_conversation_trie": TRIE, "op12_clusters": _clusters(), "op13_top_k": TOP_K}

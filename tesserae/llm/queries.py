@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, fingerprints, mixing, near_dup, packing, pii, quality_model, quality_rules, secrets, tokencount, topk, warc
+from . import clustering, conversations, fingerprints, mixing, near_dup, packing, pii, quality_model, quality_rules, secrets, tokencount, topk, warc
 from .common import read
 from .oracles import ORACLES
 
@@ -64,6 +64,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(read(spark, sf_dir, "embeddings"))
 
@@ -80,5 +84,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix, op2_token_counts, op3_warc, op4_pack, op5_quality, op6_fingerprints, op7_near_duplicates, op8_personal_data, op9_quality_rules, op10_secrets, op12_clusters, op13_top_k, pipeline)
+    for f in (op1_mix, op2_token_counts, op3_warc, op4_pack, op5_quality, op6_fingerprints, op7_near_duplicates, op8_personal_data, op9_quality_rules, op10_secrets, op11_conversation_trie, op12_clusters, op13_top_k, pipeline)
 }
