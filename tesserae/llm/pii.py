@@ -12,11 +12,14 @@ empty result; other columns, whatever their names, are ignored or passed on; a t
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, let, text_of, unboxed
-from .spans import MARK, digits, marked, redacted, spans, written
+from .spans import MARK, chunked, digits, marked, piece, redacted, spans, written
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -87,11 +90,11 @@ def _has_word(text: Column, words: str) -> Column:
     return text.rlike(f"(?i)(?<![\\p{{L}}0-9])(?:{words})(?![\\p{{L}}0-9])")
 
 
-def _scored(text: Column, array: Column, kind: str) -> Column:
+def _scored(chunks: Column, array: Column, kind: str) -> Column:
     def near(x: Column) -> Column:
         # A character more on either side shows whether the outermost word is whole.
-        before = F.substring(text, F.greatest(F.lit(0), x["s"] - NEAR - 1) + 1, F.least(F.lit(NEAR + 1), x["s"]))
-        after = F.substring(text, x["e"] + 1, F.lit(NEAR + 1))
+        before = piece(chunks, F.greatest(F.lit(0), x["s"] - NEAR - 1), x["s"])
+        after = piece(chunks, x["e"], x["e"] + NEAR + 1)
         around = F.concat(before, F.lit("\n"), after)
         shift = lambda words: F.when(_has_word(around, words), RAISE).otherwise(0.0)
         score = F.round(F.least(F.lit(1.0), SCORES[kind] + shift(FOR[kind]) - shift(AGAINST[kind])), 2)
@@ -128,7 +131,9 @@ def _found(rows: DataFrame) -> DataFrame:
         "ssn": F.filter(spans(F.col("ssn_text"), _SSN), lambda x: ~x["m"].rlike(_NO_SSN)),
     }
     rows = rows.withColumns({f"{kind}_spans": found[kind] for kind in KINDS})
-    return rows.select("doc", "t", F.concat(*[_scored(t, F.col(f"{kind}_spans"), kind) for kind in KINDS]).alias("found"))
+    some = functools.reduce(operator.or_, [F.size(f"{kind}_spans") > 0 for kind in KINDS])
+    scored = let(F.when(some, chunked(t)).otherwise(F.array().cast("array<string>")), lambda chunks: F.concat(*[_scored(chunks, F.col(f"{kind}_spans"), kind) for kind in KINDS]))
+    return rows.select("doc", "t", scored.alias("found"))
 
 
 def with_personal_data(docs: DataFrame, text: str, out: str) -> DataFrame:

@@ -44,7 +44,7 @@ def _meets(array: Column, low: Column, high: Column) -> Column:
     def further(n: Column, step: Column) -> Column:
         return F.when(F.coalesce(F.get(array, n + step - 1)["s"] <= high, F.lit(False)), n + step).otherwise(n)
 
-    begun = F.aggregate(F.array(*[F.lit(k) for k in _STEPS]), F.lit(0), further)
+    begun = F.aggregate(F.filter(F.array(*[F.lit(k) for k in _STEPS]), lambda k: k <= F.size(array)), F.lit(0), further)
     return F.when(F.size(array) == 0, False).otherwise(let(begun, lambda n: (n > 0) & (F.get(array, n - 1)["e"] >= low)))
 
 
