@@ -108,7 +108,7 @@ def with_successor(docs: DataFrame, payload: list[Column], scratch: Scratch) ->
     edges = [0, 1]
     if known:
         cuts = ids.agg(F.percentile_approx("doc_id", [i / COARSE for i in range(1, COARSE)], 10_000)).first()[0]
-        edges = [low, *sorted({c for c in cuts if low < c}), high + 1]
+        edges = [low, *sorted({c for c in cuts if low < c}), min(high + 1, (1 << 63) - 1)]
     parts = max(1, -(-n // (COARSE * ROWS_PER_BUCKET)))
     bucket = _bucket(edges, parts)
     firsts = _heads(ids, bucket, parts, scratch)
