@@ -31,13 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small, looked_up, stash
+from .modular import PRIME, mix, mulmod, powers
 
 HEADS, EVERY = 6, 100
-PRIME = (1 << 61) - 1
 _random = random.Random(20_250_611)
 #: A base for each round of fingerprints; more are needed only if all before have collided.
 BASES = [_random.randrange(1 << 40, PRIME) for _ in range(24)]
-LOW = 16
 #: Ids whose digits are joined in one row before a node's are hashed: those that are equal but for so many bits.
 CHUNK_BITS = 12
 NODE = ["depth", "fp", "split"]
@@ -45,30 +44,6 @@ TURN = ["d0", "d1", "d2", "d3"]
 MADE = ["run", "term", "part", "edge"]
 
 
-def mulmod(a: np.ndarray, b: np.ndarray, prime: int) -> np.ndarray:
-    """a b modulo a prime that is 2**61 - 1 or below 2**32, without overflow of 64 bits."""
-    if prime < 1 << 32:
-        return a * b % np.uint64(prime)
-    u = np.uint64
-    a1, a0, b1, b0 = a >> u(31), a & u((1 << 31) - 1), b >> u(31), b & u((1 << 31) - 1)
-    middle = a1 * b0 + a0 * b1
-    x = u(2) * a1 * b1 + (middle >> u(30)) + ((middle & u((1 << 30) - 1)) << u(31)) + a0 * b0
-    x = (x & u(PRIME)) + (x >> u(61))
-    return np.where(x >= u(PRIME), x - u(PRIME), x)
-
-
-def powers(base: int, exponents: np.ndarray, prime: int) -> np.ndarray:
-    """base ** exponents, from a table for each 16 bits of the exponent that occur."""
-    out, at, rest = np.ones(len(exponents), dtype=np.uint64), base % prime, exponents.astype(np.uint64)
-    while rest.any():
-        table = np.ones(1, dtype=np.uint64)
-        while len(table) < min(1 << LOW, int(rest.max()) + 1):
-            table = np.concatenate([table, mulmod(table, np.full(len(table), pow(at, len(table), prime), dtype=np.uint64), prime)])
-        out = mulmod(out, table[(rest & np.uint64((1 << LOW) - 1)).astype(np.int64)], prime)
-        rest, at = rest >> np.uint64(LOW), pow(at, 1 << LOW, prime)
-    return out
-
-
 def _sums(values: np.ndarray, first: np.ndarray, prime: int | None) -> np.ndarray:
     """Running sums of ``values`` since ``first``, a row number for each; modulo ``prime`` if there is one."""
 
@@ -173,7 +148,7 @@ def _fingerprinted(rows: DataFrame, base: int, prime: int, scratch: Scratch) ->
 
     def terms(batch: pa.RecordBatch) -> np.ndarray:
         depth = batch.column("depth").to_numpy()
-        turn = batch.column(TURN[0]).to_numpy().astype(np.uint64) % np.uint64(prime)
+        turn = mix(batch.column(TURN[0]).to_numpy().astype(np.uint64) ^ np.uint64(base)) % np.uint64(prime)
         return np.where(depth == 0, np.uint64(0), mulmod(turn, powers(base, depth, prime), prime))
 
     done = _running(rows, "conv_id", [F.col("conv_id").asc(), F.col("depth").asc()], terms, prime, scratch, "trie-prints")

@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small, drop, freed, looked_up, short_batches, stash, text_of
 from .graph import components
+from .modular import PRIME, mulmod, powers, sums
+from .modular import mix as _mix
 
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
@@ -48,28 +50,23 @@ _generator = np.random.Generator(np.random.PCG64(20_240_229))
 _A = (_generator.integers(1, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _generator.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 _BASE = np.uint64(0x9FB21C651E98DF25)
-_POWERS = np.cumprod(np.full(64, _BASE, dtype=np.uint64))
-_VALUE = _generator.integers(1, 1 << 63, 256, dtype=np.uint64)
+_POINT = int(_generator.integers(1 << 40, PRIME))
+_POWERS = powers(_POINT, np.arange(64), PRIME)
+_VALUE = _generator.integers(1, PRIME, 256, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[32, *range(9, 14)]] = False
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.full(max(n, 2 * len(_POWERS)), _BASE, dtype=np.uint64))
+        _POWERS = powers(_POINT, np.arange(max(n, 2 * len(_POWERS))), PRIME)
     return _POWERS
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words in order: polynomials over a random value for each byte, A-Z as a-z."""
+    """64-bit hashes of the words in order: polynomials modulo a prime at a random point, over a random value for each byte, A-Z as a-z."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     inside = _IN_WORD[raw]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
@@ -79,8 +76,8 @@ def word_hashes(text: str) -> np.ndarray:
     first = np.cumsum(lengths) - lengths
     letters = raw[inside]
     place = np.arange(len(letters)) - np.repeat(first, lengths)
-    sums = np.add.reduceat(_VALUE[letters] * _powers(int(lengths.max()))[place], first)
-    return _mix(sums ^ lengths.astype(np.uint64))
+    hashed = sums(mulmod(_VALUE[letters], _powers(int(lengths.max()))[place], PRIME), first)
+    return _mix(hashed ^ (lengths.astype(np.uint64) << np.uint64(40)))
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
