@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import mixing, near_dup, packing, quality_rules, secrets
-from tesserae.llm.common import drop_path, fresh_path, read
+from tesserae.llm.common import Passing, drop_path, fresh_path, read
 
 
 def passing_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with Passing(spark):  # the stage's own tables go when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             drop_path(spark, before)

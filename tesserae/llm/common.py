@@ -59,8 +59,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that were made within open ``Passing`` blocks, innermost last.
+_open: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+class Passing:
+    """All tables that operators write within a ``with`` block are deleted at its end, by when what they led to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> "Passing":
+        _open.append([])
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in _open.pop():
+            drop_path(self.spark, path)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -121,10 +143,13 @@ def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Texts are long rows: unless the session sets another size, workers get 2,000 rows at a time instead of 10,000."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "2000")
+    """Texts are long rows: unless the session sets another size, workers get 16 MB at a time instead of 64 (or 10,000 rows, if that is less).
+
+    The setting stays, as results are lazy and read it only when they run.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(key, str(16 << 20))
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
