@@ -20,14 +20,66 @@ def block_sizes(facts: DataFrame) -> DataFrame:
     return with_block(facts).groupBy("block").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("document_id").alias("documents"))
 
 
-def candidate_pairs(facts: DataFrame) -> DataFrame:
+#: Facts of a block that a task compares with as many others at once, and blocks that are cut at most: their number is broadcast.
+TILE, CUT_BLOCKS = 4096, 100_000
+
+
+def _blocked(facts: DataFrame) -> DataFrame:
+    return with_block(facts).select("block", F.struct(*facts.columns).alias("f"))
+
+
+def tiles(blocked: DataFrame, tile: int = TILE) -> DataFrame:
+    """(block, tiles) of the blocks with more facts than a tile has. A tile grows with all facts, so there are ``CUT_BLOCKS`` at most."""
+    sizes = blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    bound = F.greatest(F.lit(tile), F.expr(f"total div {CUT_BLOCKS}"))
+    return sizes.crossJoin(F.broadcast(total)).filter(F.col("n") > bound).select("block", F.ceil(F.col("n") / bound).cast("int").alias("tiles"))  # total is one row
+
+
+def _with_tile(blocked: DataFrame, cut: DataFrame, name: str) -> DataFrame:
+    rows = blocked.join(F.broadcast(cut.withColumnRenamed("tiles", name)), "block", "left")
+    return rows.withColumn(name, F.coalesce(name, F.lit(1)))
+
+
+def tile_cells(blocked: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The two sides (block, i, j, f) of a self-join by triangular cells: tile i faces tile j, i <= j, and each two tiles meet in one cell."""
+    rows = _with_tile(blocked, tiles(blocked, tile), "t").withColumn("k", F.pmod(F.xxhash64("f.id"), F.col("t")).cast("int"))
+    left = rows.select("block", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("t") - 1)).alias("j"), "f")
+    right = rows.select("block", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"), "f")
+    return left, right
+
+
+def _delta_cells(new: DataFrame, old: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of new with old facts by rectangular cells."""
+    cut_new, cut_old = tiles(new, tile), tiles(old, tile)
+    both = lambda rows: _with_tile(_with_tile(rows, cut_new, "t"), cut_old, "u")
+    at = lambda c: F.pmod(F.xxhash64("f.id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    return both(new).select("block", at("t").alias("i"), every("u").alias("j"), "f"), both(old).select("block", every("t").alias("i"), at("u").alias("j"), "f")
+
+
+def _joined(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
+    """Pairs of facts that share a cell, of two documents, the smaller id first."""
+    pairs = left.withColumnRenamed("f", "x").join(right.withColumnRenamed("f", "y"), ["block", "i", "j"]).filter((F.col("x.document_id") != F.col("y.document_id")) & once)
+    in_order = F.col("x.id") < F.col("y.id")
+    side = lambda first, second: F.struct(*[F.when(in_order, F.col(f"{first}.{c}")).otherwise(F.col(f"{second}.{c}")).alias(c) for c in left.schema["f"].dataType.names])
+    return pairs.select("block", side("x", "y").alias("a"), side("y", "x").alias("b"))
+
+
+def candidate_pairs(facts: DataFrame, known: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """Structs a and b of facts of one block and two documents, each unordered pair once, the smaller id first.
 
-    An equi-join on the block with the inequalities as its residual; a hot block is split by adaptive execution.
+    An equi-join on the block, with the inequalities as its residual. Hot blocks are cut into tiles by their sizes, and each
+    two tiles are a key of their own, so that a block of any size is many tasks' work. With ``known`` facts, whose pairs are
+    made already, only pairs of the (other) facts with each other and with known ones are made, known ones never meet.
     """
-    blocked = with_block(facts).select("block", F.struct(*facts.columns).alias("f"))
-    a, b = blocked.withColumnRenamed("f", "a"), blocked.withColumnRenamed("f", "b")
-    return a.join(b, "block").filter((F.col("a.document_id") != F.col("b.document_id")) & (F.col("a.id") < F.col("b.id")))
+    new = _blocked(facts)
+    left, right = tile_cells(new, tile)
+    pairs = _joined(left, right, (F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id")))
+    if known is None:
+        return pairs
+    left, right = _delta_cells(new, _blocked(known.select(*facts.columns)), tile)
+    return pairs.unionByName(_joined(left, right, F.col("x.id") != F.col("y.id")))
 
 
 def retrieval_metrics(facts: DataFrame) -> DataFrame:
@@ -106,14 +158,18 @@ def compared(pairs: DataFrame) -> DataFrame:
     return rows.select(*pairs.columns, dimensions.alias("dimensions"), messages.alias("important_differences"))
 
 
+#: What is compared as the raw unit.
+RAW_UNIT = {"as_shipped": "evidence_text", "unit_token": "unit_raw"}
+
+
 def decided(rows: DataFrame, mode: str = "as_shipped") -> DataFrame:
     """rows with the struct ``decision`` (type, confidence, basis, variable): the first rule that holds.
 
     mode "as_shipped" compares evidence texts for the raw unit, "unit_token" the captured tokens.
     """
     d = lambda c: F.col(f"dimensions.{c}")
-    column = {"as_shipped": "evidence_text", "unit_token": "unit_raw"}[mode]
-    raw_a, raw_b = clean(F.col(f"a.{column}")), clean(F.col(f"b.{column}"))
+    said = lambda x: F.col(f"{x}.unit_said") if "unit_said" in rows.schema[x].dataType.names else clean(F.col(f"{x}.{RAW_UNIT[mode]}"))
+    raw_a, raw_b = said("a"), said("b")
     units_differ = (raw_a != "") & (raw_b != "") & (raw_a != raw_b)
     made = lambda kind, confidence, basis, variable: F.struct(F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(basis).alias("reasoning_basis"), F.lit(variable).cast("string").alias("reconciliation_variable"))
     decision = first_of(
@@ -130,11 +186,28 @@ def decided(rows: DataFrame, mode: str = "as_shipped") -> DataFrame:
     return rows.withColumn("decision", decision)
 
 
+def cited(rows: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """rows with ``source_a`` and ``source_b``: the file and the page that each fact comes from, joined when the pairs are made.
+
+    No name, page or text goes through the join of pairs; here a narrow row of each fact does, once for either side.
+    """
+    page = F.col("page_number").cast("string") if "page_number" in facts.columns else F.lit(None).cast("string")
+    named = facts.select(F.col("id").alias("fact_id"), "document_id", page.alias("page")).join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id", "left")
+    source = F.concat(F.coalesce("filename", "document_id", F.lit("a document")), F.lit(" (page "), F.coalesce("page", F.lit("?")), F.lit(")"))
+    for x in ("a", "b"):
+        one = named.select(F.col("fact_id").alias(f"{x}_fact"), source.alias(f"source_{x}"))
+        rows = rows.join(one, F.col(f"{x}.id") == F.col(f"{x}_fact"), "left").drop(f"{x}_fact")
+    return rows
+
+
 def explained(rows: DataFrame) -> DataFrame:
-    """rows with the sentence ``explanation``."""
+    """rows with the sentence ``explanation``, which names files and pages if the rows are ``cited``."""
     a, b = lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")
     raw = lambda x: F.coalesce(x("value_raw"), F.lit("None"))
-    source = lambda x: F.concat(F.coalesce(x("document_id"), F.lit("a document")), F.lit(" states "), raw(x))
+    is_cited = "source_a" in rows.columns
+    name = lambda x: F.col("source_a" if x is a else "source_b") if is_cited else F.coalesce(x("document_id"), F.lit("a document"))
+    source = lambda x: F.concat(name(x), F.lit(" states "), raw(x))
+    told = source if is_cited else raw
     when = lambda x: filled(x("time_raw"), "unspecified period")
     basis = lambda x: filled(x("measurement_basis"), "standard")
     scope = lambda x: filled(x("scope"), "consolidated")
@@ -145,25 +218,34 @@ def explained(rows: DataFrame) -> DataFrame:
     text = first_of(
         [
             (kind == "CORROBORATES", say(what, ": the sources corroborate each other for ", when(a), " (", scope(a), ", ", basis(a), "): ", source(a), "; ", source(b))),
-            (kind == "UNIT_EQUIVALENT", say(what, ": ", raw(a), " and ", raw(b), " are the same figure in other units, ", figure)),
-            (kind == "RECONCILES", say(what, ": reconciled by context, ", raw(a), " on ", basis(a), " and ", raw(b), " on ", basis(b))),
-            (kind == "TEMPORALLY_EVOLVES", say(what, ": evolves from ", raw(a), " in ", when(a), " to ", raw(b), " in ", when(b))),
-            (kind == "SCOPE_DIFFERENCE", say(what, ": ", raw(a), " covers ", scope(a), ", ", raw(b), " covers ", scope(b))),
+            (kind == "UNIT_EQUIVALENT", say(what, ": ", told(a), " and ", told(b), " are the same figure in other units, ", figure)),
+            (kind == "RECONCILES", say(what, ": reconciled by context, ", told(a), " on ", basis(a), " and ", told(b), " on ", basis(b))),
+            (kind == "TEMPORALLY_EVOLVES", say(what, ": evolves from ", told(a), " in ", when(a), " to ", told(b), " in ", when(b))),
+            (kind == "SCOPE_DIFFERENCE", say(what, ": ", told(a), " covers ", scope(a), ", ", told(b), " covers ", scope(b))),
             (kind == "CONTRADICTS", say(what, ": contradiction for ", when(a), " (", scope(a), ", ", basis(a), "): ", source(a), "; ", source(b))),
         ],
-        say(what, ": ", raw(a), " and ", raw(b), " need clarification"),
+        say(what, ": ", told(a), " and ", told(b), " need clarification"),
     )
     return rows.withColumn("explanation", text)
 
 
-#: What a comparison, a decision or an explanation reads of a fact; nothing else goes through the join.
+#: What a comparison, a decision or an explanation reads of a fact; nothing else goes through the join, of texts only a digest.
 COMPARED = (
-    "id", "document_id", "subject_canonical", "predicate_canonical", "value_raw", "value_normalized", "unit_raw", "unit_canonical", "time_type", "time_start", "time_end", "time_raw", "scope", "measurement_basis", "polarity", "evidence_text",
+    "id", "document_id", "subject_canonical", "predicate_canonical", "value_raw", "value_normalized", "unit_canonical", "time_type", "time_start", "time_end", "time_raw", "scope", "measurement_basis", "polarity",
 )
 
 
-def relationships(facts: DataFrame, mode: str = "as_shipped") -> DataFrame:
-    rows = explained(decided(compared(candidate_pairs(facts.select(*[c for c in COMPARED if c in facts.columns]))), mode))
+def compared_columns(facts: DataFrame, mode: str = "as_shipped") -> DataFrame:
+    said = clean(F.col(RAW_UNIT[mode])) if RAW_UNIT[mode] in facts.columns else F.lit("")
+    return facts.select(*[c for c in COMPARED if c in facts.columns], F.when(said == "", said).otherwise(F.md5(said)).alias("unit_said"))
+
+
+def relationships(facts: DataFrame, mode: str = "as_shipped", known: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """Relationships of all candidate pairs; with ``known`` facts, of the pairs that aren't among those alone; with ``documents``, explained by file and page."""
+    rows = decided(compared(candidate_pairs(compared_columns(facts, mode), None if known is None else compared_columns(known, mode))), mode)
+    if documents is not None:
+        rows = cited(rows, facts if known is None else facts.unionByName(known, allowMissingColumns=True), documents)
+    rows = explained(rows)
     return rows.select(
         F.sha2(F.concat_ws("|", F.col("a.id"), F.col("b.id")), 256).alias("id"), F.col("a.id").alias("fact_a_id"), F.col("b.id").alias("fact_b_id"), F.col("decision.type").alias("relationship_type"),
         F.col("decision.confidence").alias("confidence"), "explanation", "dimensions", "important_differences", F.col("decision.reasoning_basis").alias("reasoning_basis"), F.col("decision.reconciliation_variable").alias("reconciliation_variable"),

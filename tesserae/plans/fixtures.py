@@ -74,7 +74,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Rows are distinct as they are; the aggregate keeps what follows from being planned anew for each branch.
     return rows.select(
         "document_id", F.col("subject").alias("subject_raw"), "predicate", F.lit("financial_metric").alias("predicate_type"), "value_raw", "unit_raw", F.concat(F.lit("FY"), F.col("fy").cast("string")).alias("time_raw"), "scope",
-        "measurement_basis", F.lit("positive").alias("polarity"), F.concat_ws(" ", "subject", "predicate", "value_raw").alias("evidence_text"), F.lit("HIGH").alias("confidence_level"),
+        "measurement_basis", F.lit("positive").alias("polarity"), F.concat_ws(" ", "subject", "predicate", "value_raw").alias("evidence_text"), F.lit("HIGH").alias("confidence_level"), F.lit(None).cast("int").alias("page_number"),
     ).distinct()
 
 
@@ -159,7 +159,7 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 COLUMNS = (
-    "id", "document_id", "subject_raw", "subject_canonical", "subject_type", "predicate", "predicate_canonical", "predicate_type", "value_raw", "value_normalized", "unit_raw", "unit_canonical",
+    "id", "document_id", "page_number", "subject_raw", "subject_canonical", "subject_type", "predicate", "predicate_canonical", "predicate_type", "value_raw", "value_normalized", "unit_raw", "unit_canonical",
     "time_type", "time_start", "time_end", "time_raw", "scope", "measurement_basis", "polarity", "evidence_text", "confidence_level", "fingerprint",
 )
 

@@ -247,6 +247,40 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.relationships(facts(spark, sf_dir)).select("fact_a_id", "fact_b_id", "explanation")
 
 
+_CITED = "{0}_doc || '.pdf (page ' || coalesce({0}_page::VARCHAR, '?') || ') states ' || {0}_raw"
+_CITED_SAME = _WHEN.format("a") + " || ' (' || a_scope || ', ' || a_basis || '): ' || " + _CITED.format("a") + " || '; ' || " + _CITED.format("b")
+_CITES = f"""subject || ' / ' || predicate || ': ' || CASE relationship_type
+ WHEN 'CORROBORATES' THEN 'the sources corroborate each other for ' || {_CITED_SAME} WHEN 'CONTRADICTS' THEN 'contradiction for ' || {_CITED_SAME}
+ WHEN 'UNIT_EQUIVALENT' THEN {_CITED.format("a")} || ' and ' || {_CITED.format("b")} || ' are the same figure in other units, ' || format('{{:,.2f}}', a_value)
+ WHEN 'RECONCILES' THEN 'reconciled by context, ' || {_CITED.format("a")} || ' on ' || a_basis || ' and ' || {_CITED.format("b")} || ' on ' || b_basis
+ WHEN 'TEMPORALLY_EVOLVES' THEN 'evolves from ' || {_CITED.format("a")} || ' in ' || {_WHEN.format("a")} || ' to ' || {_CITED.format("b")} || ' in ' || {_WHEN.format("b")}
+ WHEN 'SCOPE_DIFFERENCE' THEN {_CITED.format("a")} || ' covers ' || a_scope || ', ' || {_CITED.format("b")} || ' covers ' || b_scope ELSE {_CITED.format("a")} || ' and ' || {_CITED.format("b")} || ' need clarification' END"""
+
+
+@query(over_facts(f", p AS (SELECT d.*, x.page_number AS a_page, y.page_number AS b_page FROM decided d JOIN keyed x ON x.id = a_id JOIN keyed y ON y.id = b_id) SELECT a_id AS fact_a_id, b_id AS fact_b_id, {_CITES} AS explanation FROM p"))
+def explain_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanations that name the file and the page of either fact, fetched when the pairs are made."""
+    f = facts(spark, sf_dir)
+    return R.relationships(f, documents=_documents(f)).select("fact_a_id", "fact_b_id", "explanation")
+
+
+@query(over_facts("SELECT 'first' AS step, a_id AS fact_a_id, b_id AS fact_b_id, relationship_type FROM decided WHERE NOT (starts_with(a_doc, 'report_') OR a_doc = 'restated' OR starts_with(b_doc, 'report_') OR b_doc = 'restated') UNION ALL SELECT 'second', a_id, b_id, relationship_type FROM decided WHERE starts_with(a_doc, 'report_') OR a_doc = 'restated' OR starts_with(b_doc, 'report_') OR b_doc = 'restated'"))
+def resolve_in_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledgers first, then reports and restatements against each other and against what is known: together all pairs, each once."""
+    f = facts(spark, sf_dir)
+    late = F.col("document_id").startswith("report_") | (F.col("document_id") == "restated")
+    first, second = f.filter(~late), f.filter(late)
+    steps = {"first": R.relationships(first), "second": R.relationships(second, known=first)}
+    columns = lambda name: steps[name].select(F.lit(name).alias("step"), "fact_a_id", "fact_b_id", "relationship_type")
+    return columns("first").unionByName(columns("second"))
+
+
+@query(over_facts("SELECT block, a_id, b_id FROM pairs"))
+def hot_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, with every block of more than 64 facts cut into tiles of about that many."""
+    return R.candidate_pairs(facts(spark, sf_dir).select("id", "document_id", "subject_canonical", "predicate_canonical"), tile=64).select("block", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
 @query(over_facts("SELECT a_id AS fact_a_id, b_id AS fact_b_id FROM decided WHERE relationship_type <> 'RECONCILES'"))
 def upsert_pairs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.relationships(facts(spark, sf_dir)).select("fact_a_id", "fact_b_id", "relationship_type")

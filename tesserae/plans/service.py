@@ -16,7 +16,7 @@ from ..operators import extract as X
 from ..operators import resolve as R
 from ..sources import files
 from . import api
-from .store import EXTRACTION, FAILED, INGESTION, Store, materialized, new_documents, new_entities, without_document, without_facts
+from .store import EXTRACTION, FAILED, INGESTION, Store, drop, materialized, new_documents, new_entities, without_document, without_facts
 
 log = logging.getLogger("tesserae")
 
@@ -24,6 +24,7 @@ SCHEMAS = {
     "documents": "id string, filename string, content_hash string, file_size_bytes long, page_count int, storage_path string, created_at timestamp",
     "document_pages": f"{files.PAGE}, has_tables boolean, is_scanned boolean",
     "issues": "id string, document_id string, page_number int, issue_type string, description string, affected_text string, attempted_resolution string, status string, created_at timestamp",
+    "resolved": "id string, document_id string",
     "jobs": "document_id string, step int, stage string, status string, progress_percentage int, error_message string, created_at timestamp",
 }
 
@@ -127,21 +128,34 @@ class Service:
             said["facts"] = facts.count()
 
     def reprocess(self, document_id: str) -> Row:
-        """Drop the document's facts, and the relationships that hang on them, and extract it anew."""
+        """Drop the document's facts, and the relationships that hang on them, and extract it anew; its pairs are to be resolved again."""
         document = self.get("documents", document_id)
         facts = without_document(self.table("facts"), [document_id])
         if self.store.exists("relationships"):
             self.store.replace("relationships", without_facts(self.table("relationships"), facts))
         self.store.replace("facts", facts)
+        if self.store.exists("resolved"):
+            self.store.replace("resolved", without_document(self.table("resolved"), [document_id]))
         self.extract(self.spark.createDataFrame([(document_id,)], "document_id string"))
         n = self.table("facts").filter(F.col("document_id") == document_id).count()
         return Row(document_id=document_id, filename=document["filename"], status="SUCCESS", facts_extracted=n)
 
     def resolve(self, document_ids: tuple[str, ...] = ()) -> Row:
-        """Relationships of all candidate pairs that have none yet, and the summary of them all."""
+        """Relationships of all candidate pairs that have none yet, and the summary of them all.
+
+        Facts that were there when all were resolved aren't paired with each other again: only with new ones. A run for some
+        documents pairs their facts alone, and so resolves nothing for the runs after it.
+        """
         facts = api.fact_filter(self.table("facts"), document_ids=document_ids)
+        resolved = self.table("resolved").select(F.col("id"))
         with stage("RESOLUTION") as said:
-            self.store.upsert_relationships(R.relationships(facts).withColumn("created_at", F.current_timestamp()))
+            new = materialized(facts.join(resolved, "id", "left_anti"), "unresolved")
+            known = facts.join(resolved, "id", "left_semi")
+            found = R.relationships(new, known=known, documents=self.table("documents"))
+            self.store.upsert_relationships(found.withColumn("created_at", F.current_timestamp()))
+            if not document_ids:
+                self.store.append("resolved", new.select("id", "document_id"))
+            drop(new)
             summary = api.resolution_summary(facts, self.table("relationships")).first()
             said["relationships"] = summary["total_relationships_stored"]
         return summary

@@ -16,7 +16,7 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tesserae-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -24,6 +24,14 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete the folder of a ``materialized`` table, when all that reads it is written."""
+    jvm, spark = table.sparkSession.sparkContext._jvm, table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_documents(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Of equal contents the first (by file name, id and path); contents already stored are dropped. No content equals none.
 
