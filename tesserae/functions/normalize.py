@@ -20,13 +20,13 @@ def number(text: Column, hint: Column | None = None) -> Column:
     """Struct (value, multiplier, scale); parentheses or a hyphen make it negative, percentages aren't scaled."""
     t = strip(F.coalesce(text, F.lit("")))
     in_parentheses = _group(t, r"\(\s*([0-9,]+(?:\.[0-9]+)?)\s*\)")
-    negative = (in_parentheses != "") | (t.contains("-") & ~t.rlike(r"\b[0-9]{4}-[0-9]{2,4}\b"))
+    negative = (in_parentheses != "") | (t.contains("-") & ~t.rlike(r"(?U)\b[0-9]{4}-[0-9]{2,4}\b"))
     digits = F.when(in_parentheses != "", in_parentheses).otherwise(_group(t, NUMBER))
     value = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
     value = F.when(negative, -F.abs(value)).otherwise(value)
     whole = F.concat(F.lower(t), F.lit(" "), F.lower(F.coalesce(hint, F.lit("")) if hint is not None else F.lit("")))
     scaled = value.isNotNull() & ~contains_any(whole, ("%", "percent", "per cent"))
-    hits = [(scaled & whole.rlike(rf"\b{w}\b"), w, f) for w, f in SCALES]
+    hits = [(scaled & whole.rlike(rf"(?U)\b{w}\b"), w, f) for w, f in SCALES]
     multiplier = first_of([(c, F.lit(f)) for c, _, f in hits], F.lit(1.0))
     return F.struct((value * multiplier).alias("value"), multiplier.alias("multiplier"), first_of([(c, w) for c, w, _ in hits], "none").alias("scale"))
 
@@ -34,18 +34,18 @@ def number(text: Column, hint: Column | None = None) -> Column:
 def unit(raw: Column, predicate: Column | None = None) -> Column:
     u, p = clean(raw), F.lower(F.coalesce(predicate, F.lit(""))) if predicate is not None else F.lit("")
     exact = [(u.isin(*words), name) for name, words in UNITS]
-    inside = [((u != "") & u.rlike(rf"\b{literal_pattern(w)}\b"), name) for name, words in UNITS for w in words]
+    inside = [((u != "") & u.rlike(rf"(?U)\b{literal_pattern(w)}\b"), name) for name, words in UNITS for w in words]
     hinted = [((p != "") & contains_any(p, words), name) for name, words in UNIT_HINTS]
     return first_of(exact + inside + hinted, F.when(u != "", strip(raw)))
 
 
 # Patterns of periods.
-QUARTER = r"\b(q[1-4]|first quarter|second quarter|third quarter|fourth quarter)\s*(?:of|:)?\s*(?:fy\s*([0-9]{2,4})|([0-9]{4}))?"
-YEAR_RANGE = r"\b(?:fy\s*)?([0-9]{2,4})[-/]([0-9]{2,4})\b"
-FISCAL_YEAR = r"\b(?:fy\s*([0-9]{2,4})|fiscal\s*(?:year\s*)?([0-9]{4}))\b"
+QUARTER = r"(?U)\b(q[1-4]|first quarter|second quarter|third quarter|fourth quarter)\s*(?:of|:)?\s*(?:fy\s*([0-9]{2,4})|([0-9]{4}))?"
+YEAR_RANGE = r"(?U)\b(?:fy\s*)?([0-9]{2,4})[-/]([0-9]{2,4})\b"
+FISCAL_YEAR = r"(?U)\b(?:fy\s*([0-9]{2,4})|fiscal\s*(?:year\s*)?([0-9]{4}))\b"
 MONTH_FIRST = r"(?:as\s+of\s+)?([a-zA-Z]+)\s+([0-9]{1,2}),?\s+([0-9]{4})"
 DAY_FIRST = r"(?:as\s+of\s+)?([0-9]{1,2})\s+([a-zA-Z]+),?\s+([0-9]{4})"
-CALENDAR_YEAR = r"\b(201[89]|202[0-9])\b"
+CALENDAR_YEAR = r"(?U)\b(201[89]|202[0-9])\b"
 # Names of months.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 QUARTER_WORDS = ("first", "second", "third", "fourth")
@@ -74,20 +74,38 @@ def _fiscal(start: Column, end: Column) -> Column:
     return F.concat(F.lit("FY"), start.cast("string"), F.lit("-"), F.substring(end.cast("string"), -2, 2))
 
 
+def _named_day(low: Column) -> tuple[Column, Column]:
+    """The month's number, if a day of a month is named at all, and the date, if there is such a day."""
+    month_first = low.rlike(MONTH_FIRST)
+    name = F.when(month_first, _group(low, MONTH_FIRST)).otherwise(_group(low, DAY_FIRST, 2))
+    day = F.when(month_first, _group(low, MONTH_FIRST, 2)).otherwise(_group(low, DAY_FIRST, 1))
+    year = F.when(month_first, _group(low, MONTH_FIRST, 3)).otherwise(_group(low, DAY_FIRST, 3))
+    month = first_of([(name.isin(m, m[:3]), F.lit(i + 1)) for i, m in enumerate(MONTHS)], None)
+    return month, _day(year, month, day)
+
+
+def period_fault(raw: Column) -> Column:
+    """What is wrong with a period: null, or that it names a day that doesn't exist, where no rule before that of days takes it."""
+    low = F.lower(strip(F.coalesce(raw, F.lit(""))))
+    month, dated = _named_day(low)
+    taken = low.contains("since inception") | low.contains("cumulative") | low.rlike(QUARTER) | low.rlike(YEAR_RANGE) | low.rlike(FISCAL_YEAR)
+    return F.when(~taken & month.isNotNull() & dated.isNull(), F.concat(F.lit("no such day: "), low))
+
+
+def checked_period(raw: Column) -> Column:
+    """Struct (period, fault): what a period means and what is wrong with it."""
+    return F.struct(period(raw).alias("period"), period_fault(raw).alias("fault"))
+
+
 def period(raw: Column) -> Column:
-    """Struct (type, start, end, canonical, raw). A date that doesn't exist is unspecified."""
+    """Struct (type, start, end, canonical, raw). A day that doesn't exist is no day; ``period_fault`` says so."""
     t = strip(F.coalesce(raw, F.lit("")))
     low = F.lower(t)
     q, qy = _group(low, QUARTER), filled(either(_group(low, QUARTER, 2), _group(low, QUARTER, 3)), "2024")
     code, q_year = quarter_code(q), _year(qy)
     r1, r2 = _group(low, YEAR_RANGE), _group(low, YEAR_RANGE, 2)
     f = either(_group(low, FISCAL_YEAR), _group(low, FISCAL_YEAR, 2))
-    month_first = low.rlike(MONTH_FIRST)
-    name = F.when(month_first, _group(low, MONTH_FIRST)).otherwise(_group(low, DAY_FIRST, 2))
-    day = F.when(month_first, _group(low, MONTH_FIRST, 2)).otherwise(_group(low, DAY_FIRST, 1))
-    year = F.when(month_first, _group(low, MONTH_FIRST, 3)).otherwise(_group(low, DAY_FIRST, 3))
-    month = first_of([(name.isin(m, m[:3]), F.lit(i + 1)) for i, m in enumerate(MONTHS)], None)
-    dated = _day(year, month, day)
+    _, dated = _named_day(low)
     calendar = _group(t, CALENDAR_YEAR)
     none = F.lit(None).cast("date")
 

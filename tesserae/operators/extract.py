@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import CALENDAR_YEAR, QUARTER, either, entity, fingerprint, number, period, quarter_code, unit
+from ..functions.normalize import CALENDAR_YEAR, QUARTER, either, entity, fingerprint, number, period, period_fault, quarter_code, unit
 from ..functions.text import filled, first_of, inline, strip, title
 
 if TYPE_CHECKING:
@@ -298,3 +298,16 @@ def normalized(facts: DataFrame) -> DataFrame:
     named = ["evidence_id"] if "evidence_id" in facts.columns else []
     identity = F.sha2(F.concat_ws("|", "document_id", *named, "subject_canonical", "predicate", "value_raw", F.coalesce("time_raw", F.lit("")), "scope", "measurement_basis"), 256)
     return rows.withColumn("fingerprint", print_).withColumn("id", identity).drop("__e", "__n", "__p")
+
+
+def as_stored(facts: DataFrame) -> DataFrame:
+    """Normalised facts as they are stored: canonical subject and predicate, and the whole evidence, stand as raw ones; what was written moves to ``*_written``."""
+    return facts.withColumns(
+        {"subject_written": F.col("subject_raw"), "unit_written": F.col("unit_raw"), "subject_raw": F.col("subject_canonical"), "predicate_raw": F.col("predicate_canonical"), "unit_raw": F.col("evidence_text")}
+    )
+
+
+def period_issues(facts: DataFrame) -> DataFrame:
+    """An issue for every fact whose period names a day that doesn't exist; the fact stays, without that day."""
+    faults = facts.withColumn("__fault", period_fault(F.col("time_raw"))).filter("__fault is not null")
+    return issue_rows(faults, "AMBIGUOUS_DATE", "DETECTED", F.col("__fault"), F.col("time_raw"), "kept without the day")

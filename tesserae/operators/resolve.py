@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import RELATIONSHIPS
@@ -20,6 +20,14 @@ def block_sizes(facts: DataFrame) -> DataFrame:
     return with_block(facts).groupBy("block").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("document_id").alias("documents"))
 
 
+def block_members(facts: DataFrame, most: int) -> DataFrame:
+    """Blocks with their number of facts and the ids of their first members. Each task keeps ``most`` of a block before the exchange."""
+    rows = with_block(facts).select("block", "id")
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("id"))).filter(F.col("place") <= most)
+    members = first.groupBy("block").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("facts")).join(members, "block")
+
+
 #: Facts of a block that a task compares with as many others at once, and blocks that are cut at most: their number is broadcast.
 TILE, CUT_BLOCKS = 4096, 100_000
 

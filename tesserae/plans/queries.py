@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.text import text_hash
+from ..operators import aliases as L
 from ..operators import atoms as A
 from ..operators import extract as X
 from ..operators import resolve as R
-from . import api, store
+from . import api, made, store
 from .fixtures import FACTS_SQL, facts, line_pages, report_facts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,96 +34,99 @@ def over_facts(select: str) -> str:
     return f"WITH {FACTS_SQL} {select}"
 
 
-def golden(columns: str, rows: list[tuple]) -> str:
-    show = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({columns})"
+# Scalars over texts made from orders.
+@query(made.oracle(made.NUMBERS, {"text": "STRING", "hint": "STRING", "value": "DOUBLE", "multiplier": "DOUBLE", "scale": "STRING"}))
+def num_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.rows(spark, sf_dir, made.NUMBERS, ("text", "hint")).select("id", "text", "hint", N.number(F.col("text"), F.col("hint")).alias("n")).select("id", "text", "hint", "n.*")
 
 
-def literals(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+@query(made.oracle(made.UNITS, {"raw": "STRING", "hint": "STRING", "unit": "STRING"}))
+def unit_exact_word_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.rows(spark, sf_dir, made.UNITS, ("raw", "hint")).select("id", "raw", "hint", N.unit(F.col("raw"), F.col("hint")).alias("unit"))
 
 
-# Scalars on literal texts: text, hint -> expected.
-NUMBERS = [
-    ("₹8,142 Cr", None, 81420000000.0, 1e7, "cr"), ("50 Lakhs", None, 5000000.0, 1e5, "lakhs"), ("1.4 Mn Tons", None, 1400000.0, 1e6, "mn"), (">2.8 Bn", None, 2800000000.0, 1e9, "bn"),
-    ("(127) Cr", None, -1270000000.0, 1e7, "cr"), ("6.4%", None, 6.4, 1.0, "none"), ("4.7 per cent", "percent", 4.7, 1.0, "none"), ("8,142cr", None, 8142.0, 1.0, "none"),
-    ("-5 mn", None, -5000000.0, 1e6, "mn"), ("n/a", None, None, 1.0, "none"), (", 500", None, None, 1.0, "none"), ("5 thousand million", None, 5000.0, 1e3, "thousand"),
-]
+@query(made.oracle(made.PERIODS, {"raw": "STRING", "type": "STRING", "start": "STRING", "end": "STRING", "canonical": "STRING", "fault": "STRING"}))
+def time_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = made.rows(spark, sf_dir, made.PERIODS, ("raw",)).select("id", "raw", N.checked_period(F.col("raw")).alias("c")).select("id", "raw", "c.period", "c.fault")
+    return rows.select("id", "raw", "period.type", F.col("period.start").cast("string").alias("start"), F.col("period.end").cast("string").alias("end"), "period.canonical", "fault")
 
 
-@query(golden("text, value, multiplier, scale", [(t, v, m, s) for t, _, v, m, s in NUMBERS]))
-def num_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, "text string, hint string", [r[:2] for r in NUMBERS])
-    return rows.select("text", N.number(F.col("text"), F.col("hint")).alias("n")).select("text", "n.*")
+@query(made.oracle(made.ENTITIES, {"raw": "STRING", "canonical": "STRING", "type": "STRING"}))
+def entity_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.rows(spark, sf_dir, made.ENTITIES, ("raw",)).select("id", "raw", N.entity(F.col("raw")).alias("e")).select("id", "raw", "e.*")
 
 
-UNITS = [
-    ("₹", None, "INR"), ("Rs.", None, "INR"), ("Cr", None, "INR"), ("mn tons", None, "metric_tonnes"), ("express parcel shipments", None, "shipments"), ("pin codes", None, "pin_codes"), ("%", None, "percent"), ("per cent", None, "percent"),
-    (None, "service EBITDA", "INR"), (None, "real GDP growth rate", "percent"), (None, "PTL freight tonnage", "metric_tonnes"), ("bn", "revenue", "shipments"), ("mn", "revenue", "INR"), ("mn", "turnover", "mn"), (None, None, None),
-]
+@query(made.oracle(made.FAMILY, {"predicate": "STRING", "family": "STRING"}))
+def family_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.rows(spark, sf_dir, made.FAMILY, ("predicate",)).select("id", "predicate", N.family(F.col("predicate")).alias("family"))
 
 
-@query(golden("raw, hint, unit", UNITS))
-def unit_exact_word_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, "raw string, hint string", [r[:2] for r in UNITS]).select("raw", "hint", N.unit(F.col("raw"), F.col("hint")).alias("unit"))
+@query(made.stated_sql({c: f"f_{c}" for c in ("predicate", "value_raw", "subject_raw", "time_raw", "measurement_basis", "polarity")} | {"grounded": "true"}))
+def extract_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.grounded(X.extracted(made.atoms(spark, sf_dir))).select("evidence_id", "predicate", "value_raw", "subject_raw", "time_raw", "measurement_basis", "polarity", "grounded")
 
 
-PERIODS = [
-    ("FY24", "fiscal_year", "2023-04-01", "2024-03-31", "FY2023-24"), ("FY2024/25", "fiscal_year", "2024-04-01", "2025-03-31", "FY2024-25"), ("Q4 FY24", "quarter", "2024-01-01", "2024-03-31", "Q4 FY2023-24"),
-    ("Q1 FY25", "quarter", "2024-04-01", "2024-06-30", "Q1 FY2024-25"), ("since inception", "cumulative", None, None, "since_inception"), ("March 31, 2024", "as_of", "2024-03-31", "2024-03-31", "2024-03-31"),
-    ("31 March 2024", "as_of", "2024-03-31", "2024-03-31", "2024-03-31"), ("2024", "calendar_year", "2024-01-01", "2024-12-31", "CY2024"), ("Q3", "quarter", "2023-10-01", "2023-12-31", "Q3 FY2023-24"),
-    ("Q1:2024-25", "quarter", "2023-04-01", "2023-06-30", "Q1 FY2023-24"), ("2024-03-31", "fiscal_year", "2024-04-01", "2003-03-31", "FY2024-03"), ("FY97", "fiscal_year", "2096-04-01", "2097-03-31", "FY2096-97"),
-    ("1999", "unspecified", None, None, "1999"), ("", "unspecified", None, None, "unspecified"), ("second quarter of fy 2025", "quarter", "2024-07-01", "2024-09-30", "Q2 FY2024-25"), ("February 31, 2024", "calendar_year", "2024-01-01", "2024-12-31", "CY2024"),
-]
+_STORED = {
+    "subject_raw": "f_subject_raw", "predicate_raw": "f_predicate", "unit_raw": "f_evidence_text", "value_raw": "f_value_raw", "value_normalized": "CAST(f_value_normalized AS DOUBLE)", "value_type": "f_value_type", "unit_canonical": "f_unit_canonical",
+    "time_raw": "f_period", "geography": "'India'", "confidence_extraction": "0.98::DOUBLE", "confidence_normalization": "0.95::DOUBLE", "confidence_overall": "0.96::DOUBLE", "confidence_level": "'HIGH'",
+}
 
 
-@query(golden('raw, "type", "start", "end", canonical', PERIODS))
-def time_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, "raw string", [r[:1] for r in PERIODS]).select("raw", N.period(F.col("raw")).alias("p"))
-    return rows.select("raw", "p.type", F.col("p.start").cast("string").alias("start"), F.col("p.end").cast("string").alias("end"), "p.canonical")
+@query(made.stated_sql(_STORED))
+def facts_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored columns of facts: what stands as raw subject, predicate and unit, the value's type, and the constants."""
+    return X.as_stored(X.normalized(X.grounded(X.extracted(made.atoms(spark, sf_dir))))).select("evidence_id", *_STORED)
 
 
-ENTITIES = [
-    ("Delhivery Ltd.", "Delhivery Limited", "organization"), ("delhivery", "Delhivery Limited", "organization"), ("RBI", "Reserve Bank of India", "central_bank"), ("Indian Economy", "Republic of India", "country"),
-    ("IMF", "International Monetary Fund", "multilateral_institution"), ("Acme Company", "Delhivery Limited", "organization"), ("o'neil corp", "O'Neil Corp", "organization"), (" ", "Unknown Entity", "unknown"), (None, "Unknown Entity", "unknown"),
-]
+@query("SELECT CAST(id AS VARCHAR) AS evidence_id, id % 3 <> 0 AS grounded, CASE WHEN id % 3 = 0 THEN 0.4 ELSE 0.96 END::DOUBLE AS confidence_overall, CASE WHEN id % 3 = 0 THEN 'LOW' ELSE 'HIGH' END AS confidence_level, CASE WHEN id % 3 = 0 THEN concat('value ', chr(39), v + 1, chr(39), ' is not in evidence ', id) END AS issue FROM " + made.letters_sql(3))
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts whose value stands in their evidence, and others, which stay with low confidence and an issue."""
+    rows = made.letters(spark, sf_dir, 3).selectExpr(
+        "CAST(id AS STRING) AS evidence_id", "'d' AS document_id", "1 AS page_number", "'revenue: ₹' || vv || ' Cr' AS evidence_text", "CASE WHEN kind = 0 THEN CAST(v + 1 AS STRING) ELSE vv END AS value_raw",
+        "CAST(CASE WHEN kind = 0 THEN v + 1 ELSE v END AS DOUBLE) AS value_stated", "0.96D AS confidence_overall", "'HIGH' AS confidence_level",
+    )
+    out = X.grounded(rows)
+    issues = X.grounding_issues(out).select(F.regexp_extract("description", "evidence (.*)$", 1).alias("evidence_id"), F.col("description").alias("issue"))
+    return out.join(issues, "evidence_id", "left").select("evidence_id", "grounded", "confidence_overall", "confidence_level", "issue")
 
 
-@query(golden("raw, canonical, type", ENTITIES))
-def entity_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, "raw string", [r[:1] for r in ENTITIES]).select("raw", N.entity(F.col("raw")).alias("e")).select("raw", "e.*")
+_FAULTS = [i for i, case in enumerate(made.PERIODS) if case[5] != "NULL"]
 
 
-FAMILY = [
-    ("revenue from services", "REVENUE"), ("total revenue", "REVENUE"), ("service EBITDA", "EBITDA"), ("adjusted EBITDA", "EBITDA"), ("ptl freight tonnage", "FREIGHT_VOLUME"), ("express parcel shipments volume", "PARCEL_VOLUME"), ("real GDP growth rate", "GDP_GROWTH"),
-    ("gross fiscal deficit", "FISCAL_DEFICIT"), ("current account deficit", "CURRENT_ACCOUNT_DEFICIT"), ("volume", "FREIGHT_VOLUME"), (" ", "REVENUE"), ("", "UNKNOWN_FAMILY"), ("net promoter score", "NET_PROMOTER_SCORE"),
-]
+@query(f"SELECT CAST(id AS VARCHAR) AS document_id, 'AMBIGUOUS_DATE' AS issue_type, {made.chosen([case[5] for case in made.PERIODS], 'VARCHAR')} AS description, {made.chosen([case[0] for case in made.PERIODS], 'VARCHAR')} AS affected_text FROM {made.letters_sql(len(made.PERIODS))} WHERE kind IN ({', '.join(map(str, _FAULTS))})".replace("AS STRING", "AS VARCHAR"))
+def impossible_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of facts whose period names a day that doesn't exist."""
+    rows = made.rows(spark, sf_dir, made.PERIODS, ("time_raw",)).select(F.col("id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "time_raw")
+    return X.period_issues(rows).select("document_id", "issue_type", "description", "affected_text")
 
 
-@query(golden("predicate, family", FAMILY))
-def family_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, "predicate string", [r[:1] for r in FAMILY]).select("predicate", N.family(F.col("predicate")).alias("family"))
+@query(over_facts("SELECT block, count(*) AS facts, string_agg(id, ',' ORDER BY id) FILTER (place <= 5) AS first_members FROM (SELECT block, id, row_number() OVER (PARTITION BY block ORDER BY id) AS place FROM keyed) GROUP BY block"))
+def block_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their size and their first five members by id."""
+    return R.block_members(facts(spark, sf_dir), 5).select("block", "facts", F.array_join("members", ",").alias("first_members"))
 
 
-ATOMS = [
-    ("e1", "As per the first advance estimates of national accounts, India's real GDP is estimated to grow by 6.4 per cent in FY25."),
-    ("e2", "Gross fiscal deficit declining to 4.7 per cent of GDP in FY25."),
-    ("e3", "Delhivery reported revenue of ₹8,142 Cr in FY24."),
-    ("e4", "Adjusted EBITDA: ₹76 Cr in Q4 FY24"),
-    ("e5", ">2.8 Bn express parcel shipments since inception"),
-    ("e6", "18,793 pin codes covered as of March 31, 2024"),
-]
-FOUND = [
-    ("e1", "real GDP growth rate", "6.4 per cent", "Republic of India", "FY25", "First_Advance_Estimates", "positive", True), ("e2", "gross fiscal deficit", "4.7 per cent", "Republic of India", "FY25", "Standard_Reported", "negative", True),
-    ("e4", "adjusted EBITDA", "76 cr", "Delhivery Limited", "Q4 FY24", "Non-GAAP_Adjusted", "positive", True), ("e4", "EBITDA", "76 cr", "Delhivery Limited", "Q4 FY24", "Non-GAAP_Adjusted", "positive", True),
-    ("e5", "express parcel shipments volume", "2.8 bn", "Delhivery Limited", "since inception", "Standard_Reported", "positive", True), ("e6", "pin codes covered", "18,793 pin_codes", "Delhivery Limited", "March 31, 2024", "Standard_Reported", "positive", True),
-]
+_ALIASES = """WITH aliases AS (
+  SELECT p_partkey * 5 + form AS place, p_name || CASE form WHEN 0 THEN ' ' || p_partkey || ' ltd' WHEN 1 THEN ' no. ' || p_partkey || ' inc' WHEN 2 THEN ' works ' || p_partkey WHEN 3 THEN ' ' || p_partkey ELSE ' group ' || p_partkey END AS alias,
+    'Maker of ' || p_name || ' ' || p_partkey AS name, p_type AS kind FROM part, range(5) AS f(form)
+), raws AS (
+  SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN upper(p_name) || ' ' || p_partkey WHEN 1 THEN 'The ' || p_name || ' Works ' || p_partkey || '9 site' WHEN 2 THEN p_name || ' Group ' || p_partkey WHEN 3 THEN '  ' || p_name || ' No. ' || p_partkey || ' Inc ' END AS raw
+  FROM orders JOIN part ON p_partkey = o_custkey
+), texts AS (SELECT DISTINCT raw, lower(trim(raw)) AS t FROM raws WHERE raw IS NOT NULL),
+found AS (
+  SELECT raw, first(name ORDER BY NOT t = alias, place) AS name, first(kind ORDER BY NOT t = alias, place) AS kind FROM texts JOIN aliases ON t = alias OR contains(t, alias) GROUP BY raw
+) SELECT id, raw, coalesce(name, 'Unknown Entity') AS name, coalesce(kind, 'unknown') AS kind FROM raws LEFT JOIN found USING (raw)"""
 
 
-@query(golden("evidence_id, predicate, value_raw, subject_raw, time_raw, measurement_basis, polarity, grounded", FOUND))
-def extract_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literals(spark, "id string, exact_text string", ATOMS).withColumns({"document_id": F.lit("d"), "page_number": F.lit(1), "page_text": F.lit("Delhivery")})
-    return X.grounded(X.extracted(rows)).select("evidence_id", "predicate", "value_raw", "subject_raw", "time_raw", "measurement_basis", "polarity", "grounded")
+@query(_ALIASES)
+def entity_by_alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of orders' texts by a table of five aliases for each part: equal first, else the first alias that the text contains."""
+    forms = "explode(array(' ' || p_partkey || ' ltd', ' no. ' || p_partkey || ' inc', ' works ' || p_partkey, ' ' || p_partkey, ' group ' || p_partkey))"
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    aliases = parts.selectExpr("p_name", "p_partkey", "p_type", f"pos{forms} AS (form, ending)").selectExpr("p_partkey * 5 + form AS place", "p_name || ending AS alias", "'Maker of ' || p_name || ' ' || p_partkey AS name", "p_type AS kind")
+    raw = "CASE o_orderkey % 5 WHEN 0 THEN upper(p_name) || ' ' || p_partkey WHEN 1 THEN 'The ' || p_name || ' Works ' || p_partkey || '9 site' WHEN 2 THEN p_name || ' Group ' || p_partkey WHEN 3 THEN '  ' || p_name || ' No. ' || p_partkey || ' Inc ' END"
+    rows = table(spark, sf_dir, "orders").join(parts, F.col("o_custkey") == F.col("p_partkey")).selectExpr("o_orderkey AS id", f"{raw} AS raw")
+    return L.entities(rows, "raw", aliases).select("id", "raw", "name", "kind")
 
 
 # The claims and what follows from them.
@@ -501,14 +505,9 @@ def job_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.job_events(docs)
 
 
-TABLE = [("₹", ["Metric", "FY24"], [["Revenue", "₹8,142 Cr"], ["", "6.4%"], ["Orders", ""], ["x", ""]])]
-
-
-@query(golden("section_heading, row_index, exact_text", [("Table 1", 0, "Metric: Revenue | FY24: ₹8,142 Cr"), ("Table 1", 1, "FY24: 6.4%"), ("Table 1", 2, "Metric: Orders")]))
+@query(made.PAGES_SQL)
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "document_id string, page_number int, raw_text string, n_images int, blocks array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>, tables array<struct<bbox:array<double>,headers:array<string>,rows:array<array<string>>>>"
-    page = [("d", 1, "Revenue ₹8,142 Cr", 0, [], [([0.0, 0.0, 9.0, 9.0], TABLE[0][1], TABLE[0][2])])]
-    return A.table_atoms(literals(spark, schema, page)).select("section_heading", "row_index", "exact_text")
+    return A.table_atoms(made.pages(spark, sf_dir)).select("document_id", "section_heading", "row_index", "exact_text")
 
 
 @query()

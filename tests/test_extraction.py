@@ -10,7 +10,7 @@ import regex
 
 import __spark_entry__ as library
 from tesserae.operators.extract import M_, METRICS, _groups
-from tesserae.plans.queries import ATOMS
+from .test_scalars import ATOMS
 
 LINES = [text for _, text in ATOMS] + [
     "Key Figures", "OPERATIONS", "Service EBITDA: Rs. 1,204 mn", "99", "pin codes", "PTL freight tonnage: 1.4 mn tons", "no figure stands here.", "", "  ", "ab", "Retail inflation moderated to 4.9 per cent in FY25",
