@@ -70,13 +70,15 @@ class Service:
         """Ingest every file under the folder: (document_id, filename, status, message) for each."""
         if self.extractor is None:
             self.extractor = files.pdf_extractor()
-        found = materialized(files.uploads(self.spark, path, suffix), "uploads")
+        # Contents are hashed as they are read and not written; of new documents they are read once more.
+        found = materialized(files.uploads(self.spark, path, suffix).drop("content"), "uploads")
         self._issues(files.upload_issues(found))
         with stage("INGESTION", path=path) as said:
             stored = self.store.read("documents") if self.store.exists("documents") else None
             fresh = materialized(new_documents(files.documents(found), stored), "fresh")
-            pages = materialized(files.pages(fresh, self.extractor), "pages")
+            pages = materialized(files.pages(files.with_content(fresh), self.extractor), "pages")
             said |= self._ingested(fresh, pages)
+            drop(pages)
         self.extract(fresh.select(F.col("id").alias("document_id")))
         counts = self.table("facts").groupBy("document_id").agg(F.count(F.lit(1)).alias("n")) if self.store.exists("facts") else self.spark.createDataFrame([], "document_id string, n long")
         # Of files with one content the first is the document, the others are its duplicates.
@@ -90,54 +92,74 @@ class Service:
         failed = pages.filter("error is not null and page_number is null").groupBy(F.col("document_id")).agg(F.first("error").alias("error"))
         good = pages.join(failed, "document_id", "left_anti")
         counts = good.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("page_count"))
-        documents = fresh.drop("content").join(counts, "id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0))).withColumn("created_at", F.current_timestamp())
+        documents = fresh.join(counts, "id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0))).withColumn("created_at", F.current_timestamp())
         atoms = A.atoms(good)
         # Documents come last: until then a run that failed is not seen, and what it wrote is skipped by its ids.
         kept = good.withColumn("has_tables", F.size("tables") > 0).withColumn("is_scanned", A.is_scanned(F.col("raw_text"), F.col("n_images")))
         old = self.table("document_pages")
-        self.store.append("document_pages", kept.join(old.select("document_id", "page_number"), ["document_id", "page_number"], "left_anti"))
-        self.store.add_new("atoms", atoms)
+        n_pages = self.store.append("document_pages", kept.join(old.select("document_id", "page_number"), ["document_id", "page_number"], "left_anti"))
+        n_atoms = self.store.add_new("atoms", atoms)
         self._issues(A.scanned_page_issues(good).unionByName(files.extraction_issues(pages)))
         ids = fresh.select(F.col("id").alias("document_id"))
         self._jobs(ids.join(failed, "document_id", "left_anti"), INGESTION, 0)
         self._jobs(failed, FAILED, 0, "error")
-        self.store.add_new("documents", documents.select(*[c.split()[0] for c in SCHEMAS["documents"].split(", ")]))
-        return {"documents": fresh.count(), "pages": good.count(), "atoms": atoms.count()}
+        n = self.store.add_new("documents", documents.select(*[c.split()[0] for c in SCHEMAS["documents"].split(", ")]))
+        return {"documents": n, "pages": n_pages, "atoms": n_atoms}
+
+    def _extracted(self, ids: DataFrame, max_pages: int | None = None) -> DataFrame:
+        """Facts of documents(document_id) from their stored atoms, grounded and normalised, written aside; their issues are stored."""
+        pages = api.first_pages(self.table("document_pages").join(ids, "document_id", "left_semi"), max_pages)
+        atoms = self.table("atoms")
+        texts = atoms.join(pages.select("document_id", "page_number", F.col("raw_text").alias("page_text")), ["document_id", "page_number"])
+        if self.provider is None:
+            stated = X.extracted(texts)
+        else:
+            stated, issues = X.extracted_by(texts, self.provider)
+            stated = materialized(stated, "stated")
+            self._issues(issues.unionByName(X.without_evidence(stated, atoms)))
+            stated = X.with_evidence(stated, atoms)
+        grounded = materialized(X.grounded(stated), "grounded")
+        self._issues(X.grounding_issues(grounded).unionByName(X.period_issues(grounded)))
+        facts = materialized(X.normalized(grounded).withColumn("created_at", F.current_timestamp()), "normalized")
+        drop(grounded)
+        return facts
+
+    def _followed(self, facts: DataFrame, ids: DataFrame) -> None:
+        """Entities of new facts, and the states of their documents' jobs."""
+        entities = facts.select(F.col("subject_canonical").alias("canonical_name"), F.col("subject_type").alias("entity_type"), "created_at")
+        self.store.append("entities", new_entities(entities, self.store.read("entities") if self.store.exists("entities") else None))
+        done = ids.join(self.table("documents").filter("page_count > 0").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        self._jobs(done, EXTRACTION, len(INGESTION))
 
     def extract(self, ids: DataFrame, max_pages: int | None = None) -> None:
         """Facts of documents(document_id) from their stored atoms: grounded, normalised, with entities and issues."""
         with stage("FACT_EXTRACTION") as said:
-            pages = api.first_pages(self.table("document_pages").join(ids, "document_id", "left_semi"), max_pages)
-            atoms = self.table("atoms")
-            texts = atoms.join(pages.select("document_id", "page_number", F.col("raw_text").alias("page_text")), ["document_id", "page_number"])
-            if self.provider is None:
-                stated = X.extracted(texts)
-            else:
-                stated, issues = X.extracted_by(texts, self.provider)
-                stated = materialized(stated, "stated")
-                self._issues(issues.unionByName(X.without_evidence(stated, atoms)))
-                stated = X.with_evidence(stated, atoms)
-            facts = materialized(X.grounded(stated), "grounded")
-            self._issues(X.grounding_issues(facts))
-            facts = X.normalized(facts).withColumn("created_at", F.current_timestamp())
-            self.store.add_new("facts", facts)
-            entities = facts.select(F.col("subject_canonical").alias("canonical_name"), F.col("subject_type").alias("entity_type"), "created_at")
-            self.store.append("entities", new_entities(entities, self.store.read("entities") if self.store.exists("entities") else None))
-            done = ids.join(self.table("documents").filter("page_count > 0").select(F.col("id").alias("document_id")), "document_id", "left_semi")
-            self._jobs(done, EXTRACTION, len(INGESTION))
-            said["facts"] = facts.count()
+            facts = self._extracted(ids, max_pages)
+            said["facts"] = self.store.add_new("facts", facts)
+            self._followed(facts, ids)
+            drop(facts)
 
     def reprocess(self, document_id: str) -> Row:
-        """Drop the document's facts, and the relationships that hang on them, and extract it anew; its pairs are to be resolved again."""
+        """Extract the document anew; then its facts take the place of the old ones in one write, and the relationships that hung on these go.
+
+        If the extraction fails, all stays as it was. The document's pairs are to be resolved again.
+        """
         document = self.get("documents", document_id)
-        facts = without_document(self.table("facts"), [document_id])
-        if self.store.exists("relationships"):
-            self.store.replace("relationships", without_facts(self.table("relationships"), facts))
-        self.store.replace("facts", facts)
-        if self.store.exists("resolved"):
-            self.store.replace("resolved", without_document(self.table("resolved"), [document_id]))
-        self.extract(self.spark.createDataFrame([(document_id,)], "document_id string"))
-        n = self.table("facts").filter(F.col("document_id") == document_id).count()
+        ids = self.spark.createDataFrame([(document_id,)], "document_id string")
+        with stage("FACT_EXTRACTION", document_id=document_id) as said:
+            facts = self._extracted(ids)
+            others = without_document(self.table("facts"), [document_id])
+            said["facts"] = n = facts.dropDuplicates(["id"]).count()
+            kept = self.table("relationships") if self.store.exists("relationships") else None
+            kept = None if kept is None else materialized(without_facts(kept, others), "kept")
+            self.store.replace("facts", others.unionByName(facts.dropDuplicates(["id"]).select(*others.columns)))
+            if kept is not None:
+                self.store.replace("relationships", kept)
+                drop(kept)
+            if self.store.exists("resolved"):
+                self.store.replace("resolved", without_document(self.table("resolved"), [document_id]))
+            self._followed(facts, ids)
+            drop(facts)
         return Row(document_id=document_id, filename=document["filename"], status="SUCCESS", facts_extracted=n)
 
     def resolve(self, document_ids: tuple[str, ...] = ()) -> Row:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resolve import new_relationships
@@ -120,26 +120,31 @@ class Store:
             raise KeyError(name)
         return self.spark.read.parquet(*folders)
 
-    def _write(self, name: str, rows: DataFrame, replaces: bool) -> None:
-        folder, n = uuid.uuid4().hex, len(self._log(name))
-        rows.write.parquet(f"{self.path}/{name}/{folder}")
+    def _write(self, name: str, rows: DataFrame, replaces: bool, once: str | None = None) -> int:
+        """The number of rows written, which the write itself counts. What is written ``once`` under a name isn't again."""
+        log = self._log(name)
+        if once and any(line["folder"] == once for line in log):
+            return 0
+        folder, n, seen = once or uuid.uuid4().hex, len(log), Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/{name}/{folder}")
         line = self.spark.range(1).select(F.lit(n).alias("n"), F.lit(replaces).alias("replaces"), F.lit(folder).alias("folder"))
         line.coalesce(1).write.mode("append").json(f"{self.path}/{name}.log")
+        return seen.get["n"]
 
-    def replace(self, name: str, table: DataFrame) -> None:
-        self._write(name, table, True)
+    def replace(self, name: str, table: DataFrame) -> int:
+        return self._write(name, table, True)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        if self.exists(name):
-            rows = rows.select(*self.read(name).columns)
-        self._write(name, rows, False)
+    def append(self, name: str, rows: DataFrame, once: str | None = None) -> int:
+        if folders := self._folders(name):
+            rows = rows.select(*self.spark.read.parquet(folders[0]).columns)  # of all that is written the names of columns are read
+        return self._write(name, rows, False, once)
 
-    def add_new(self, name: str, rows: DataFrame, key: str = "id") -> None:
+    def add_new(self, name: str, rows: DataFrame, key: str = "id") -> int:
         """Append the rows whose key isn't stored yet, so that what is written again changes nothing."""
         rows = rows.dropDuplicates([key])
-        self.append(name, rows.join(self.read(name).select(key), key, "left_anti") if self.exists(name) else rows)
+        return self.append(name, rows.join(self.read(name).select(key), key, "left_anti") if self.exists(name) else rows)
 
-    def upsert_relationships(self, found: DataFrame) -> None:
+    def upsert_relationships(self, found: DataFrame) -> int:
         if self.exists("relationships"):
             found = new_relationships(self.read("relationships"), found)
-        self.append("relationships", found)
+        return self.append("relationships", found)

@@ -34,7 +34,57 @@ def upload_issues(uploaded: DataFrame) -> DataFrame:
 
 def documents(accepted: DataFrame) -> DataFrame:
     rows = accepted.filter("rejected is null")
-    return rows.select(F.col("content_hash").alias("id"), "filename", "content_hash", "file_size_bytes", F.col("path").alias("storage_path"), "content")
+    content = [c for c in ("content",) if c in accepted.columns]
+    return rows.select(F.col("content_hash").alias("id"), "filename", "content_hash", "file_size_bytes", F.col("path").alias("storage_path"), *content)
+
+
+def with_content(documents_: DataFrame) -> DataFrame:
+    """Documents with their files' contents, read from these files only; one that has changed meanwhile is left out.
+
+    Their paths pass the driver, as all paths do when Spark lists files.
+    """
+    spark, paths = documents_.sparkSession, [r["storage_path"] for r in documents_.select("storage_path").collect()]
+    if not paths:
+        return documents_.withColumn("content", F.lit(None).cast("binary"))
+    contents = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("storage_path"), "content")
+    return documents_.join(contents, "storage_path").filter(F.sha2("content", 256) == F.col("content_hash"))
+
+
+def paged(files: DataFrame, count: Callable[[str], int], read: Callable[[str, int, int], list[dict]], pages_per_task: int = 64) -> DataFrame:
+    """Pages of files(document_id, path) by ranges: ``count`` tells a file's pages, ``read`` gives those from a first to before a last one.
+
+    A range is a row of its own, dealt out by file and place, so that a file of any size is many tasks' work and no row holds a
+    whole file. A file whose pages can't be counted, or a range that can't be read, is a row with ``error``.
+    """
+    names = [c.split()[0] for c in ("document_id", "page_number", "raw_text", "n_images", "blocks", "tables", "error")]
+    failed = lambda document_id, error: pd.DataFrame([dict.fromkeys(names) | {"document_id": document_id, "error": str(error) or type(error).__name__}])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for document_id, path in zip(batch["document_id"], batch["path"], strict=True):
+                try:
+                    n, error = count(path), None
+                except Exception as fault:  # noqa: BLE001 - becomes a row
+                    n, error = 0, str(fault) or type(fault).__name__
+                firsts = range(0, n, pages_per_task) if error is None else [0]
+                yield pd.DataFrame([(document_id, path, first, min(first + pages_per_task, n), error) for first in firsts], columns=["document_id", "path", "first", "last", "error"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for document_id, path, first, last, error in zip(*(batch[c] for c in ("document_id", "path", "first", "last", "error")), strict=True):
+                if error is not None:
+                    yield failed(document_id, error)
+                    continue
+                try:
+                    rows = [{"document_id": document_id, "error": None, "n_images": 0, "blocks": [], "tables": [], **p} for p in read(path, int(first), int(last))]
+                except Exception as fault:  # noqa: BLE001 - becomes an issue row
+                    yield failed(document_id, fault)
+                    continue
+                if rows:
+                    yield pd.DataFrame(rows)[names]
+
+    ranges = files.select("document_id", "path").mapInPandas(counted, "document_id string, path string, first int, last int, error string")
+    return ranges.repartition("document_id", "first").mapInPandas(run, PAGE)
 
 
 def pages(documents_: DataFrame, extract: Callable[[bytes], list[dict]]) -> DataFrame:

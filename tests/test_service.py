@@ -175,3 +175,72 @@ def test_grounding(spark):
     out = X.grounded(facts).orderBy("i").collect()
     assert [r["grounded"] for r in out] == [r[3] for r in rows] and out[1]["confidence_overall"] == 0.4
     assert [r["status"] for r in X.grounding_issues(X.grounded(facts)).collect()] == ["DETECTED"]
+
+
+def test_a_batch_reads_nothing_that_is_stored(spark, folder, tmp_path, monkeypatch):
+    """With times of arrival: pages that come again are dropped by the stream's state, a batch that runs again by its name."""
+    pages = files.pages(files.documents(files.uploads(spark, str(folder / "in"))), extract).filter("error is null")
+    rows = pages.withColumn("arrived", F.lit("2024-01-01").cast("timestamp"))
+    store = S.Store(spark, str(tmp_path / "store"))
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "pages"))
+        follow(stream, store, str(tmp_path / "checkpoint"), arrived="arrived").awaitTermination()
+        return {t: store.read(t).count() for t in ("document_pages", "atoms", "facts", "issues")}
+
+    rows.write.parquet(str(tmp_path / "pages"))
+    before = run()
+    assert before["facts"] == 5 and before["document_pages"] == 3
+    monkeypatch.setattr(S.Store, "add_new", None)
+    rows.withColumn("arrived", F.lit("2024-01-01 01:00:00").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "pages"))
+    assert run() == before
+    new = rows.withColumn("document_id", F.concat(F.lit("new "), "document_id")).withColumn("arrived", F.lit("2024-01-01 02:00:00").cast("timestamp"))
+    new.write.mode("append").parquet(str(tmp_path / "pages"))
+    assert run()["document_pages"] == 6
+    one = spark.createDataFrame([(1,)], "id int")
+    assert (store.append("t", one, once="batch"), store.append("t", one, once="batch")) == (1, 0) and store.read("t").count() == 1
+
+
+def test_a_failed_reprocess_leaves_all_as_it_was(spark, folder):
+    service = Service(S.Store(spark, str(folder / "store")), extract)
+    one = {r["filename"]: r["document_id"] for r in service.upload(str(folder / "in")).collect()}["two.PDF"]
+    service.resolve()
+    before = {t: sorted(map(str, service.table(t).collect())) for t in ("facts", "relationships")}
+
+    def broken(*_):
+        raise RuntimeError("no answer")
+
+    monkeyed = service._extracted
+    service._extracted = broken
+    with pytest.raises(RuntimeError):
+        service.reprocess(one)
+    service._extracted = monkeyed
+    assert before == {t: sorted(map(str, service.table(t).collect())) for t in ("facts", "relationships")}
+
+
+def test_pages_by_ranges(spark, tmp_path):
+    """A file of many pages is read by several tasks, a range at a time; what can't be read is an error of its own."""
+    (tmp_path / "long").write_text("\f".join(f"page {i}" for i in range(100)))
+    (tmp_path / "short").write_text("only")
+    (tmp_path / "torn").write_text("\f".join(["fine"] * 10 + ["torn"]))
+    parts = lambda path: open(path).read().split("\f")
+
+    def read(path, first, last):
+        texts = parts(path)[first:last]
+        if "torn" in texts:
+            raise ValueError("torn page")
+        return [{"page_number": first + i + 1, "raw_text": x} for i, x in enumerate(texts)]
+
+    found = spark.createDataFrame([(n, str(tmp_path / n)) for n in ("long", "short", "torn", "gone")], "document_id string, path string")
+    pages = files.paged(found, lambda path: len(parts(path)), read, pages_per_task=8).withColumn("task", F.spark_partition_id()).cache()
+    assert {r["page_number"]: r["raw_text"] for r in pages.filter("document_id = 'long'").collect()} == {i + 1: f"page {i}" for i in range(100)}
+    assert pages.filter("document_id = 'short'").count() == 1 and pages.filter("document_id = 'torn' and error is null").count() == 8
+    assert {r["document_id"]: r["error"] for r in pages.filter("error is not null").collect()}.keys() == {"torn", "gone"}
+    ranges = files.paged(found, lambda path: len(parts(path)), read, pages_per_task=8)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in ranges
+
+
+def test_a_write_is_one_job(spark, tmp_path):
+    """Rows are counted by the write itself."""
+    store = S.Store(spark, str(tmp_path))
+    assert store.append("t", spark.range(7)) == 7 and store.add_new("t", spark.range(5, 12)) == 5 and store.replace("t", spark.range(3)) == 3 and store.append("t", spark.range(0)) == 0
