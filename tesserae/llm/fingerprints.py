@@ -29,7 +29,7 @@ KEPT_BITS = 32
 DIGITS = 9
 
 COARSE = 64
-ROWS_PER_BUCKET = 500
+ROWS_PER_BUCKET = 200
 
 
 def sketch(text: Column, shingle: int = SHINGLE) -> Column:
@@ -102,7 +102,10 @@ def _heads(ids: DataFrame, bucket: Column, parts: int, scratch: Scratch) -> Data
 
 
 def with_successor(docs: DataFrame, payload: list[Column], scratch: Scratch) -> DataFrame:
-    """docs(doc_id, text) with a struct ``next`` of the next document's payload; the last one's next is the first."""
+    """docs(doc_id, text) with the payload and a struct ``next`` of the next document's text and payload; the last one's next is the first.
+
+    A text crosses the exchange once; what is next is made of the rows behind it.
+    """
     ids = scratch.stash(docs.select("doc_id"), "fingerprint-ids")
     n, known, low, high = ids.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     edges = [0, 1]
@@ -112,7 +115,8 @@ def with_successor(docs: DataFrame, payload: list[Column], scratch: Scratch) ->
     parts = max(1, -(-n // (COARSE * ROWS_PER_BUCKET)))
     bucket = _bucket(edges, parts)
     firsts = _heads(ids, bucket, parts, scratch)
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.struct(*payload).alias("own"))
+    rows = docs.select("doc_id", "text", bucket.alias("bucket"), *payload)
+    names = rows.columns[3:]
     rows = rows.join(broadcast_if_small(firsts, 200_000), F.col("doc_id") == F.col("first"), "left").drop("first")
     if known < n:  # rows with a null id come first in the first bucket, and so behind the last
         last = firsts.agg(F.max("behind")).first()[0] or 0
@@ -121,16 +125,16 @@ def with_successor(docs: DataFrame, payload: list[Column], scratch: Scratch) ->
     rows = rows.withColumn("place", F.explode(F.when(F.col("behind").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(F.lit(-1).cast("long"), F.col("behind")))))
     rows = rows.withColumn("ghost", F.col("place") >= 0).withColumn("bucket", F.when(F.col("ghost"), F.col("place")).otherwise(F.col("bucket")))
     line = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.withColumn("next", F.lead("own").over(line)).filter(~F.col("ghost")).select("doc_id", "text", "own", "next")
+    return rows.withColumn("next", F.lead(F.struct("text", *names)).over(line)).filter(~F.col("ghost")).select("doc_id", "text", *names, "next")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of the texts and of their edited texts, whose last quarter is the next document's beginning."""
     own = docs.select("doc_id", text_of("text").alias("text"))
     with Scratch(docs.sparkSession) as scratch:
-        rows = with_successor(own, [F.col("text").alias("text"), sketch(F.col("text")).alias("sketch")], scratch)
+        rows = with_successor(own, [sketch(F.col("text")).alias("sketch")], scratch)
         scratch.paths = [p for p in scratch.paths if "fingerprint-firsts" not in p]  # read by the result
-    rows = rows.select("doc_id", "text", F.col("own.sketch").alias("sketch"), F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
+    rows = rows.select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
