@@ -14,7 +14,7 @@ from ..operators import atoms as A
 from ..operators import extract as X
 from ..operators import resolve as R
 from . import api, made, store
-from .fixtures import FACTS_SQL, facts, line_pages, report_facts, table
+from .fixtures import FACTS_SQL, facts, line_pages, report_facts, report_pages, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -510,14 +510,17 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table_atoms(made.pages(spark, sf_dir)).select("document_id", "section_heading", "row_index", "exact_text")
 
 
-@query()
-def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atoms, extraction and grounding over all documents, as the pipeline runs them over pages."""
-    pages = _line_pages(spark, sf_dir)
+def _extraction(pages: DataFrame) -> DataFrame:
     texts = A.atoms(pages).join(pages.select("document_id", "page_number", F.col("raw_text").alias("page_text")), ["document_id", "page_number"])
     return X.grounded(X.extracted(texts)).select("document_id", "evidence_id", "evidence_text", "predicate", "value_raw", "subject_raw", "time_raw", "measurement_basis", "polarity", "grounded")
 
 
+@query()
+def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms, extraction and grounding over all documents and all reports' pages, as a service runs them over pages."""
+    return _extraction(_line_pages(spark, sf_dir).unionByName(report_pages(spark, sf_dir)))
+
+
 @query()
 def table_row_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as tables: a row for each line, a cell for each stretch between commas, the first line as headers."""

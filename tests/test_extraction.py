@@ -10,6 +10,8 @@ import regex
 
 import __spark_entry__ as library
 from tesserae.operators.extract import M_, METRICS, _groups
+from tesserae.plans import queries as own
+
 from .test_scalars import ATOMS
 
 LINES = [text for _, text in ATOMS] + [
@@ -62,7 +64,7 @@ def hits(atom, page):
 def test_extraction_of_all_documents(spark, tables):
     folder, rows = tables
     want = sorted((str(d), a, *h) for d, t in rows if t for a in atoms(t) for h in hits(a, t))
-    got = library.queries()["extract_documents"](spark, folder).collect()
+    got = own._extraction(own._line_pages(spark, folder)).collect()
     assert sorted((r["document_id"], r["evidence_text"], r["predicate"], r["value_raw"], r["subject_raw"], r["grounded"]) for r in got) == want
     assert len({w[2] for w in want}) > 8 and "4" in {w[0] for w in want}
 
