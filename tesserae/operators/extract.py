@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import CALENDAR_YEAR, QUARTER, either, entity, fingerprint, number, period, period_fault, quarter_code, unit
-from ..functions.text import filled, first_of, inline, strip, title
+from ..functions.text import filled, first_of, inline, literal_pattern, strip, title
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -72,6 +72,9 @@ METRICS = (
 )
 
 
+LABELS = "|".join(literal_pattern(name) for name in dict.fromkeys(n for m in METRICS for n in m.names))
+
+
 def _has(t: Column, *words: str) -> Column:
     out = F.lit(False)
     for w in words:
@@ -183,7 +186,8 @@ def _hit(metric: Metric, pattern: str, text: Column) -> Column:
 
 def extracted(atoms: DataFrame) -> DataFrame:
     """atoms(id, document_id, page_number, exact_text, page_text) -> a row per metric that the atom states."""
-    rows = atoms.withColumn("__t", F.lower(inline(F.translate("exact_text", _PART, "\u0002")))).filter(F.col("__t").rlike("[0-9]"))
+    # One alternation of all labels: a text without any, or without a digit, meets none of the patterns.
+    rows = atoms.withColumn("__t", F.lower(inline(F.translate("exact_text", _PART, "\u0002")))).filter(F.col("__t").rlike("[0-9]") & F.col("__t").rlike(LABELS))
     found = F.array_compact(F.array(*[F.coalesce(*[_hit(m, p, F.col("__t")) for p in m.patterns]) for m in METRICS]))
     rows = rows.withColumn("hit", F.explode(found)).drop("__t")
     macro = F.col("hit.predicate_type") == M_
