@@ -129,7 +129,7 @@ class Store:
         rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/{name}/{folder}")
         line = self.spark.range(1).select(F.lit(n).alias("n"), F.lit(replaces).alias("replaces"), F.lit(folder).alias("folder"))
         line.coalesce(1).write.mode("append").json(f"{self.path}/{name}.log")
-        return seen.get["n"]
+        return seen.get.get("n", 0)
 
     def replace(self, name: str, table: DataFrame) -> int:
         return self._write(name, table, True)
