@@ -86,10 +86,20 @@ def _named_day(low: Column) -> tuple[Column, Column]:
 
 def period_fault(raw: Column) -> Column:
     """What is wrong with a period: null, or that it names a day that doesn't exist, where no rule before that of days takes it."""
-    low = F.lower(strip(F.coalesce(raw, F.lit(""))))
-    month, dated = _named_day(low)
-    taken = low.contains("since inception") | low.contains("cumulative") | low.rlike(QUARTER) | low.rlike(YEAR_RANGE) | low.rlike(FISCAL_YEAR)
-    return F.when(~taken & month.isNotNull() & dated.isNull(), F.concat(F.lit("no such day: "), low))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in ((m, i + 1, m[:3], i + 1) if m != m[:3] else (m, i + 1))])
+
+    def of_parts(text: Column, parts: Column) -> Column:
+        month = F.try_element_at(numbers, F.get(parts, F.lit(0)))
+        return F.when(month.isNotNull() & _day(F.get(parts, F.lit(2)), month, F.get(parts, F.lit(1))).isNull(), F.concat(F.lit("no such day: "), text))
+
+    def of_text(text: Column) -> Column:
+        taken = text.contains("since inception") | text.contains("cumulative") | text.rlike(QUARTER) | text.rlike(YEAR_RANGE) | text.rlike(FISCAL_YEAR)
+        month_first = F.array(*[_group(text, MONTH_FIRST, i) for i in (1, 2, 3)])
+        parts = F.when(text.rlike(MONTH_FIRST), month_first).otherwise(F.array(*[_group(text, DAY_FIRST, i) for i in (2, 1, 3)]))
+        return F.when(~taken, once(parts, lambda found: of_parts(text, found)))
+
+    return once(F.lower(strip(F.coalesce(raw, F.lit("")))), of_text)
 
 
 def checked_period(raw: Column) -> Column:

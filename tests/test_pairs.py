@@ -87,11 +87,10 @@ def test_service_resolves_by_steps(spark, tmp_path):
     """What comes in later is paired with what is there; a reprocessed document is paired anew; a run for some documents hides nothing."""
     service = Service(S.Store(spark, str(tmp_path / "store")), extract)
     texts = {"a": "Delhivery reported revenue: ₹8,142 Cr in FY24.", "b": "Delhivery reported revenue: ₹8,500 Cr in FY24.", "c": "Delhivery reported revenue: ₹8,900 Cr in FY23."}
-    ids = {}
+    (tmp_path / "ab").mkdir()
     for name in "ab":
-        (tmp_path / name).mkdir()
-        (tmp_path / name / f"{name}.pdf").write_text(texts[name])
-        ids[name] = service.upload(str(tmp_path / name)).first()["document_id"]
+        (tmp_path / "ab" / f"{name}.pdf").write_text(texts[name])
+    ids = {r["filename"][0]: r["document_id"] for r in service.upload(str(tmp_path / "ab")).collect()}
     assert service.resolve((ids["a"],))["total_relationships_stored"] == 0
     assert service.resolve()["total_relationships_stored"] == 1
     assert "a.pdf (page 1) states" in service.relationships().first()["explanation"]
