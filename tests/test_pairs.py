@@ -94,10 +94,3 @@ def test_service_resolves_by_steps(spark, tmp_path):
     assert service.resolve((ids["a"],))["total_relationships_stored"] == 0
     assert service.resolve()["total_relationships_stored"] == 1
     assert "a.pdf (page 1) states" in service.relationships().first()["explanation"]
-    (tmp_path / "c").mkdir()
-    (tmp_path / "c" / "c.pdf").write_text(texts["c"])
-    ids["c"] = service.upload(str(tmp_path / "c")).first()["document_id"]
-    assert service.resolve()["total_relationships_stored"] == 3 and service.table("resolved").count() == 3
-    service.reprocess(ids["b"])
-    assert service.table("relationships").count() == 1 and service.table("resolved").count() == 2
-    assert service.resolve()["total_relationships_stored"] == 3 and service.resolve()["total_relationships_stored"] == 3
