@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.resolve import new_relationships
 
@@ -97,14 +98,20 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._logs: dict[str, tuple[list[str], list]] = {}
+        self._schemas: dict[str, StructType] = {}
 
     def _log(self, name: str) -> list:
-        try:
-            return self.spark.read.schema("n int, replaces boolean, folder string").json(f"{self.path}/{name}.log").orderBy("n").collect()
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
+        """Lines of the table's log. They are read by a job only when its folder lists other files than at the last look."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.log")
+        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return []
+        files = sorted(f for s in system.listStatus(path) if (f := s.getPath().getName()).startswith("part-"))
+        if self._logs.get(name, ([], []))[0] != files:
+            lines = self.spark.read.schema("n int, replaces boolean, folder string").json([f"{self.path}/{name}.log/{f}" for f in files])
+            self._logs[name] = (files, lines.orderBy("n").collect())
+        return self._logs[name][1] if files else []
 
     def _folders(self, name: str) -> list[str]:
         folders: list[str] = []
@@ -118,7 +125,13 @@ class Store:
     def read(self, name: str) -> DataFrame:
         if not (folders := self._folders(name)):
             raise KeyError(name)
-        return self.spark.read.parquet(*folders)
+        return self.spark.read.schema(self._schema(folders)).parquet(*folders)
+
+    def _schema(self, folders: list[str]) -> StructType:
+        """All folders of a table have the columns of its first one, which never changes."""
+        if folders[0] not in self._schemas:
+            self._schemas[folders[0]] = self.spark.read.parquet(*folders).schema
+        return self._schemas[folders[0]]
 
     def _write(self, name: str, rows: DataFrame, replaces: bool, once: str | None = None) -> int:
         """The number of rows written, which the write itself counts. What is written ``once`` under a name isn't again."""
@@ -136,7 +149,7 @@ class Store:
 
     def append(self, name: str, rows: DataFrame, once: str | None = None) -> int:
         if folders := self._folders(name):
-            rows = rows.select(*self.spark.read.parquet(folders[0]).columns)  # of all that is written the names of columns are read
+            rows = rows.select(*self._schema(folders).names)
         return self._write(name, rows, False, once)
 
     def add_new(self, name: str, rows: DataFrame, key: str = "id") -> int:

@@ -115,6 +115,19 @@ def test_a_write_that_failed_is_never_seen(spark, tmp_path):
     assert [tuple(r) for r in store.read("t").collect()] == [(3, "d")] and not store.exists("u")
 
 
+def test_a_store_sees_what_another_one_wrote(spark, tmp_path):
+    """Logs and columns are remembered, but never older than the files of the log."""
+    one, two = S.Store(spark, str(tmp_path)), S.Store(spark, str(tmp_path))
+    assert not two.exists("t")
+    one.append("t", spark.createDataFrame([(1, "a")], "id int, x string"))
+    assert [tuple(r) for r in two.read("t").collect()] == [(1, "a")]
+    two.append("t", spark.createDataFrame([("b", 2)], "x string, id int"))
+    assert sorted(tuple(r) for r in one.read("t").collect()) == [(1, "a"), (2, "b")]
+    one.replace("t", spark.createDataFrame([(3.5,)], "y double"))
+    assert [r.asDict() for r in two.read("t").collect()] == [{"y": 3.5}] and two.append("t", spark.createDataFrame([(4.5, 0)], "y double, z int")) == 1
+    assert sorted(r["y"] for r in one.read("t").collect()) == [3.5, 4.5]
+
+
 def test_first_of_equal_contents(spark):
     rows = [("3", "b", "h", b"x"), ("1", "b", "h", b"x"), ("2", "a", "h", b"x"), ("4", "c", None, None), ("5", "c", None, None), ("6", "d", "k", b"y")]
     docs = spark.createDataFrame(rows, "id string, filename string, content_hash string, content binary")
