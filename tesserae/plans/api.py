@@ -57,8 +57,13 @@ def get(df: DataFrame, row_id: str) -> Row:
 
 
 def shown_number(value: Column) -> Column:
-    """A double as a console writes it: whole ones without a point."""
-    return F.when((value == F.floor(value)) & (F.abs(value) < 1e21), value.cast("decimal(38,0)").cast("string")).otherwise(value.cast("string"))
+    """A double as a console writes it: all its digits, without an exponent, and whole ones without a point.
+
+    15 digits count, so that 8.1234 times ten million is 81234000, not 81233999.99999999 or 8.123399999999999E7.
+    """
+    digits = F.format_string("%.14e", value).cast("decimal(38,15)").cast("string")
+    plain = F.when(value % 1 == 0, value.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(digits, r"\.?0*$", ""))
+    return F.when((F.abs(value) < 1e21) & ((value == 0) | (F.abs(value) >= 1e-6)), plain).otherwise(value.cast("string"))
 
 
 def console_filter(facts: DataFrame, *, subject: str = "ALL", predicate_type: str = "ALL", confidence: str = "ALL", search: str = "") -> DataFrame:

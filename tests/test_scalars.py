@@ -10,6 +10,7 @@ from tesserae.functions import normalize as N
 from tesserae.operators import aliases as L
 from tesserae.operators import extract as X
 from tesserae.operators import resolve as R
+from tesserae.plans import api
 
 from .test_pairs import FACT, some
 
@@ -103,3 +104,15 @@ def test_members_of_blocks(spark):
     assert got == {b: (len(ids), sorted(ids)[:4]) for b, ids in by.items()}
     plan = R.block_members(facts, 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # before the exchange and after it
+
+
+def test_numbers_as_a_console_writes_them(spark):
+    """Products of decimals by ten million keep the digits that were written, however the double comes out."""
+    cases = [(8.1234 * 1e7, "81234000"), (1.1281 * 1e7, "11281000"), (38.1811 * 1e7, "381811000"), (0.0581 * 1e7, "581000"), (81e8, "8100000000"), (6.4, "6.4"), (1234567.75, "1234567.75"), (12345678.25, "12345678.25"), (-2.5, "-2.5"), (0.0, "0"), (1e20, "1" + "0" * 20), (None, None)]
+    cases += [(n / 10000 * 1e7, str(n * 1000)) for n in range(1, 60000, 7)]
+    rows = spark.createDataFrame(cases, "value double, want string")
+    wrong = rows.withColumn("got", api.shown_number(F.col("value"))).filter("not got <=> want")
+    assert [tuple(r) for r in wrong.limit(5).collect()] == []
+    assert any(v % 1 for v, _ in cases[12:])
+    facts = spark.createDataFrame([("a", 32.3811 * 1e7), ("b", 6.0e7)], "id string, value_normalized double").withColumns({c: F.lit("x") for c in ("subject_canonical", "subject_raw", "predicate_canonical", "predicate", "value_raw", "evidence_text")})
+    assert [r["id"] for r in api.console_filter(facts, search="323811").collect()] == ["a"]
