@@ -94,6 +94,17 @@ def test_entities_by_aliases(spark):
     assert got == {i: brute_alias(t, aliases) for i, t in enumerate(texts)}
 
 
+def test_aliases_are_not_broadcast_and_meet_few_texts(spark):
+    """However small the tables seem, no alias goes through the driver, and aliases that differ by a number meet few texts."""
+    aliases = spark.range(3000).selectExpr("id AS place", "'large ring works ' || id || ' ltd' AS alias", "'name ' || id AS name", "'kind' AS kind")
+    texts = spark.range(3000).selectExpr("'the large ring works ' || id || ' ltd site' AS t")
+    plan = L.matches(texts, aliases)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "CartesianProduct" not in plan
+    assert 3000 <= L.candidates(texts, aliases.select("alias")).count() <= 30_000
+    found = L.entities(texts.selectExpr("t AS raw"), "raw", aliases)
+    assert found.filter("regexp_extract(raw, '[0-9]+', 0) = substr(name, 6)").count() == 3000
+
+
 def test_members_of_blocks(spark):
     rows = some(3, 120)
     facts = spark.createDataFrame(rows, FACT)
