@@ -6,7 +6,9 @@ tables: array<struct<bbox,headers,rows>>). Everything stays within a page, so no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_title, is_upper, strip, text_hash
@@ -20,7 +22,10 @@ def is_scanned(raw_text: Column, n_images: Column) -> Column:
 
 
 def is_heading(text: Column) -> Column:
-    s = strip(text)
+    return _is_heading(strip(text))
+
+
+def _is_heading(s: Column) -> Column:
     return (F.length(s) < HEADING_CHARS) & (s != "") & ~s.contains("\n") & (is_upper(s) | (is_title(s) & ~s.endswith(".")))
 
 
@@ -67,16 +72,34 @@ def table_atoms(pages: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sections(marked: Column) -> Column:
+    """Blocks with the heading before them, the last one of all and the block after them, cut at headings, so that none is searched for."""
+    at = F.array_compact(F.transform(marked, lambda m, i: F.when(m["is_heading"], i)))
+
+    def section(m: Column, starts: Column, last: Column, k: Column) -> Column:
+        start, heading = starts[k], F.when(k > 0, F.get(m, starts[k])["stripped"])
+        members = F.slice(m, start + 1, F.coalesce(F.get(starts, k + 1), F.size(m)) - start)
+        cell = lambda x, j: F.struct(x["block"].alias("block"), x["is_heading"].alias("is_heading"), heading.alias("heading"), last.alias("last_heading"), F.get(m, start + j + 1)["block"].alias("next_block"))
+        return F.transform(members, cell)
+
+    cut = lambda m, starts: _let(F.when(F.size(starts) > 1, m[F.element_at(starts, -1)]["stripped"]), lambda last: F.flatten(F.transform(starts, lambda _, k: section(m, starts, last, k))))
+    return _let(F.concat(F.array(F.lit(0)), at), lambda starts: cut(marked, starts))
+
+
 def blocks_with_headings(pages: DataFrame) -> DataFrame:
-    """A row per block with ``heading`` carried forward, ``last_heading`` of the page and the block after it."""
-    blocks = pages.select("document_id", "page_number", "raw_text", "tables", F.posexplode("blocks").alias("block_no", "block"))
-    blocks = blocks.withColumn("text", F.col("block.text")).withColumn("is_heading", is_heading(F.col("text")))
-    page = Window.partitionBy("document_id", "page_number").orderBy("block_no")
-    own = F.when(F.col("is_heading"), strip(F.col("text")))
-    return blocks.select(
-        "*", F.last(own, ignorenulls=True).over(page).alias("heading"), F.last(own, ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last_heading"),
-        F.lead("block").over(page).alias("next_block"),
-    )
+    """A row per block with ``heading`` carried forward, ``last_heading`` of the page and the block after it.
+
+    All within the page's row: no text crosses an exchange, let alone once for each of its blocks.
+    """
+    stripped = F.transform("blocks", lambda b: F.struct(b.alias("block"), strip(b["text"]).alias("stripped")))
+    marked = F.transform(stripped, lambda m: F.struct(m["block"].alias("block"), m["stripped"].alias("stripped"), _is_heading(m["stripped"]).alias("is_heading")))
+    rows = pages.select("document_id", "page_number", "raw_text", "tables", F.posexplode(_let(marked, _sections)).alias("block_no", "of"))
+    return rows.select("document_id", "page_number", "raw_text", "tables", "block_no", "of.block", F.col("of.block.text").alias("text"), "of.is_heading", "of.heading", "of.last_heading", "of.next_block")
 
 
 def paragraph_atoms(pages: DataFrame) -> DataFrame:
