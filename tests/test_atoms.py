@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tesserae.operators import atoms as A
 
 PAGE = "document_id string, page_number int, raw_text string, n_images int, blocks array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>, tables array<struct<bbox:array<double>,headers:array<string>,rows:array<array<string>>>>"
@@ -45,3 +43,15 @@ def test_paragraphs_take_the_heading_before_them_without_an_exchange(spark):
     paragraphs = A.paragraph_atoms(pages(spark)).select("document_id", "block_no", "exact_text", "section_heading")
     assert in_order(tuple(r) for r in paragraphs.collect()) == in_order((d, i, t.strip(), h) for d, i, t, h, _, _ in carried() if t and len(t.strip()) >= 3 and not is_heading(t))
     assert "Exchange" not in paragraphs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cards_take_the_block_after_them_without_an_exchange(spark):
+    short = lambda t: any(c in "0123456789" for c in t) and len(t) < A.CARD_CHARS
+    want = []
+    for d, i, t, _, last, after in carried():
+        one, two = (t or "").strip(), (after or "").strip()
+        if len(one) > 1 and len(two) > 1 and (short(one) or short(two)):
+            want.append((d, i, f"{one}\n{two}", last))
+    cards = A.card_atoms(pages(spark)).select("document_id", "block_no", "exact_text", "section_heading")
+    assert in_order(tuple(r) for r in cards.collect()) == in_order(want) and len(want) > 5000
+    assert "Exchange" not in cards._jdf.queryExecution().executedPlan().toString()
