@@ -194,26 +194,22 @@ def decided(rows: DataFrame, mode: str = "as_shipped") -> DataFrame:
     return rows.withColumn("decision", decision)
 
 
-def cited(rows: DataFrame, facts: DataFrame, documents: DataFrame) -> DataFrame:
-    """rows with ``source_a`` and ``source_b``: the file and the page that each fact comes from, joined when the pairs are made.
+def cited(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """facts with ``source``, the file and the page that each comes from, so that no pair has to look for it.
 
-    No name, page or text goes through the join of pairs; here a narrow row of each fact does, once for either side.
+    A caller whose documents are few may pass them with a broadcast hint; then the facts aren't shuffled for it either.
     """
     page = F.col("page_number").cast("string") if "page_number" in facts.columns else F.lit(None).cast("string")
-    named = facts.select(F.col("id").alias("fact_id"), "document_id", page.alias("page")).join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id", "left")
-    source = F.concat(F.coalesce("filename", "document_id", F.lit("a document")), F.lit(" (page "), F.coalesce("page", F.lit("?")), F.lit(")"))
-    for x in ("a", "b"):
-        one = named.select(F.col("fact_id").alias(f"{x}_fact"), source.alias(f"source_{x}"))
-        rows = rows.join(one, F.col(f"{x}.id") == F.col(f"{x}_fact"), "left").drop(f"{x}_fact")
-    return rows
+    named = facts.join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id", "left")
+    return named.withColumn("source", F.concat(F.coalesce("filename", "document_id", F.lit("a document")), F.lit(" (page "), F.coalesce(page, F.lit("?")), F.lit(")"))).drop("filename", "page_number")
 
 
 def explained(rows: DataFrame) -> DataFrame:
     """rows with the sentence ``explanation``, which names files and pages if the rows are ``cited``."""
     a, b = lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")
     raw = lambda x: F.coalesce(x("value_raw"), F.lit("None"))
-    is_cited = "source_a" in rows.columns
-    name = lambda x: F.col("source_a" if x is a else "source_b") if is_cited else F.coalesce(x("document_id"), F.lit("a document"))
+    is_cited = "source" in rows.schema["a"].dataType.names
+    name = lambda x: x("source") if is_cited else F.coalesce(x("document_id"), F.lit("a document"))
     source = lambda x: F.concat(name(x), F.lit(" states "), raw(x))
     told = source if is_cited else raw
     when = lambda x: filled(x("time_raw"), "unspecified period")
@@ -237,23 +233,21 @@ def explained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("explanation", text)
 
 
-#: What a comparison, a decision or an explanation reads of a fact; nothing else goes through the join, of texts only a digest.
+#: What a comparison, a decision or an explanation reads of a fact; nothing else goes through the join, of texts only a digest, of files and pages a name.
 COMPARED = (
     "id", "document_id", "subject_canonical", "predicate_canonical", "value_raw", "value_normalized", "unit_canonical", "time_type", "time_start", "time_end", "time_raw", "scope", "measurement_basis", "polarity",
 )
 
 
-def compared_columns(facts: DataFrame, mode: str = "as_shipped") -> DataFrame:
+def compared_columns(facts: DataFrame, mode: str = "as_shipped", documents: DataFrame | None = None) -> DataFrame:
     said = clean(F.col(RAW_UNIT[mode])) if RAW_UNIT[mode] in facts.columns else F.lit("")
-    return facts.select(*[c for c in COMPARED if c in facts.columns], F.when(said == "", said).otherwise(F.md5(said)).alias("unit_said"))
+    kept = facts.select(*[c for c in COMPARED if c in facts.columns], F.when(said == "", said).otherwise(F.md5(said)).alias("unit_said"), *[c for c in ("page_number",) if documents is not None and c in facts.columns])
+    return kept if documents is None else cited(kept, documents)
 
 
 def relationships(facts: DataFrame, mode: str = "as_shipped", known: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
     """Relationships of all candidate pairs; with ``known`` facts, of the pairs that aren't among those alone; with ``documents``, explained by file and page."""
-    rows = decided(compared(candidate_pairs(compared_columns(facts, mode), None if known is None else compared_columns(known, mode))), mode)
-    if documents is not None:
-        rows = cited(rows, facts if known is None else facts.unionByName(known, allowMissingColumns=True), documents)
-    rows = explained(rows)
+    rows = explained(decided(compared(candidate_pairs(compared_columns(facts, mode, documents), None if known is None else compared_columns(known, mode, documents))), mode))
     return rows.select(
         F.sha2(F.concat_ws("|", F.col("a.id"), F.col("b.id")), 256).alias("id"), F.col("a.id").alias("fact_a_id"), F.col("b.id").alias("fact_b_id"), F.col("decision.type").alias("relationship_type"),
         F.col("decision.confidence").alias("confidence"), "explanation", "dimensions", "important_differences", F.col("decision.reasoning_basis").alias("reasoning_basis"), F.col("decision.reconciliation_variable").alias("reconciliation_variable"),

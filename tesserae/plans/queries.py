@@ -263,9 +263,9 @@ _CITES = f"""subject || ' / ' || predicate || ': ' || CASE relationship_type
 
 @query(over_facts(f", p AS (SELECT d.*, x.page_number AS a_page, y.page_number AS b_page FROM decided d JOIN keyed x ON x.id = a_id JOIN keyed y ON y.id = b_id) SELECT a_id AS fact_a_id, b_id AS fact_b_id, {_CITES} AS explanation FROM p"))
 def explain_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explanations that name the file and the page of either fact, fetched when the pairs are made."""
+    """Explanations that name the file and the page of either fact. There are eight ledgers and a report for each nation, whatever the scale."""
     f = facts(spark, sf_dir)
-    return R.relationships(f, documents=_documents(f)).select("fact_a_id", "fact_b_id", "explanation")
+    return R.relationships(f, documents=F.broadcast(_documents(f))).select("fact_a_id", "fact_b_id", "explanation")
 
 
 @query(over_facts("SELECT 'first' AS step, a_id AS fact_a_id, b_id AS fact_b_id, relationship_type FROM decided WHERE NOT (starts_with(a_doc, 'report_') OR a_doc = 'restated' OR starts_with(b_doc, 'report_') OR b_doc = 'restated') UNION ALL SELECT 'second', a_id, b_id, relationship_type FROM decided WHERE starts_with(a_doc, 'report_') OR a_doc = 'restated' OR starts_with(b_doc, 'report_') OR b_doc = 'restated'"))

@@ -83,6 +83,15 @@ def test_explanations_name_file_and_page(spark):
     assert "? " not in said["f00001f00003"] and "(page ?)" in R.relationships(facts.drop("page_number"), documents=documents).first()["explanation"]
 
 
+def test_no_pair_is_shuffled_for_its_sources(spark):
+    facts = spark.createDataFrame(some(5, 60), FACT)
+    documents = spark.createDataFrame([("d1", "one.pdf")], "id string, filename string")
+    for known in (None, facts.limit(20)):
+        plan = R.relationships(facts, known=known, documents=documents)._jdf.queryExecution().executedPlan().toString().split("\n")
+        joins = [i for i, line in enumerate(plan) if "Join [" in line or "JoinExec" in line]
+        assert "[block#" in plan[joins[0]] and not any("Exchange" in line for line in plan[: joins[0]])
+
+
 def test_service_resolves_by_steps(spark, tmp_path):
     """What comes in later is paired with what is there; a reprocessed document is paired anew; a run for some documents hides nothing."""
     service = Service(S.Store(spark, str(tmp_path / "store")), extract)
