@@ -261,11 +261,33 @@ def oversized_blocks(facts: DataFrame, most_pairs: int) -> DataFrame:
     return per.select("block", F.col("n").alias("facts"), (pairs("n") - F.col("within")).alias("candidate_pairs")).filter(F.col("candidate_pairs") > most_pairs)
 
 
+#: Bits of the table of marks by which pairs that can't be stored are told, in words of 64: at most 2^18 words are broadcast.
+MARK_BITS = 1 << 24
+
+
+def _pair(df: DataFrame) -> DataFrame:
+    return df.withColumns({"low": F.least("fact_a_id", "fact_b_id"), "high": F.greatest("fact_a_id", "fact_b_id")})
+
+
+def _marked(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """found with ``marked``: false for pairs that surely aren't stored. Others may be, all that are stored among them."""
+    place = F.pmod(F.xxhash64("low", "high"), F.lit(MARK_BITS))
+    bit = lambda rows: rows.withColumn("place", place).withColumns({"word": F.expr("place div 64"), "bit": F.expr("shiftleft(1L, CAST(place % 64 AS INT))")})
+    words = bit(stored).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    return bit(found).join(F.broadcast(words), "word", "left").withColumn("marked", marked).drop("place", "word", "bit", "bits")
+
+
 def new_relationships(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """Those found whose unordered pair isn't stored yet."""
-    pair = lambda df: df.select(F.least("fact_a_id", "fact_b_id").alias("low"), F.greatest("fact_a_id", "fact_b_id").alias("high"))
-    keyed = found.withColumn("low", F.least("fact_a_id", "fact_b_id")).withColumn("high", F.greatest("fact_a_id", "fact_b_id"))
-    return keyed.join(pair(stored).distinct(), ["low", "high"], "left_anti").drop("low", "high")
+    """Those found whose unordered pair isn't stored yet.
+
+    Only pairs that a table of marks of a fixed size can't tell from stored ones are shuffled to be compared. The more are stored, the more
+    these are; it never changes the result.
+    """
+    known = _pair(stored).select("low", "high")
+    rows = _marked(known, _pair(found))
+    asked = rows.filter("marked").join(known.distinct(), ["low", "high"], "left_anti")
+    return rows.filter("NOT marked").unionByName(asked).select(*found.columns)
 
 
 def breakdown(rows: DataFrame) -> DataFrame:

@@ -289,6 +289,7 @@ def hot_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_pairs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.relationships(facts(spark, sf_dir)).select("fact_a_id", "fact_b_id", "relationship_type")
     stored = found.filter("relationship_type = 'RECONCILES'").select(F.col("fact_b_id").alias("fact_a_id"), F.col("fact_a_id").alias("fact_b_id"))
+    stored = store.materialized(stored, "stored-pairs")  # pairs are stored when more are found
     return R.new_relationships(stored, found).select("fact_a_id", "fact_b_id")
 
 

@@ -92,6 +92,19 @@ def test_no_pair_is_shuffled_for_its_sources(spark):
         assert "[block#" in plan[joins[0]] and not any("Exchange" in line for line in plan[: joins[0]])
 
 
+def test_few_pairs_are_shuffled_when_few_are_stored(spark, monkeypatch):
+    """Pairs are new unless stored in either order, with marks that tell nearly all and with marks that tell nothing."""
+    found = spark.range(20_000).selectExpr("'a' || id AS fact_a_id", "'b' || id % 500 AS fact_b_id", "id")
+    found = found.unionByName(spark.createDataFrame([(None, None, -1), ("a1", None, -2)], "fact_a_id string, fact_b_id string, id long"))
+    stored = found.filter("id % 1000 = 7 OR id = -1").selectExpr("fact_b_id AS fact_a_id", "fact_a_id AS fact_b_id", "id").unionByName(found.filter("id = 5")).unionByName(found.filter("id = 5"))
+    assert R._marked(R._pair(stored).select("low", "high"), R._pair(found)).filter("marked").count() < 60
+    for bits in (R.MARK_BITS, 64):
+        monkeypatch.setattr(R, "MARK_BITS", bits)
+        got = R.new_relationships(stored, found)
+        assert got.columns == found.columns and sorted(r["id"] for r in got.collect()) == sorted([i for i in range(20_000) if i % 1000 != 7 and i != 5] + [-1, -2])
+        assert R.new_relationships(stored.limit(0), found).count() == 20_002
+
+
 def test_service_resolves_by_steps(spark, tmp_path):
     """What comes in later is paired with what is there; a reprocessed document is paired anew; a run for some documents hides nothing."""
     service = Service(S.Store(spark, str(tmp_path / "store")), extract)
